@@ -1,12 +1,13 @@
 """Exact top-n over products of two long-form matrices, computed tile by tile.
 
-``left`` holds rows ``(l, col, x…)`` and ``right`` holds ``(r, col, a…)``. Each wanted score of a pair
-``(l, r)`` is built from sums over the shared columns, ``Σ x·a``. A plain join on ``col`` would emit
+``left`` holds rows ``(l, col, w…)`` and ``right`` holds ``(r, col, w…)``. Each wanted score of a pair
+``(l, r)`` is built from sums over the shared columns, ``Σ w·w``. A plain join on ``col`` would emit
 every pair that shares a column, so a column used by a third of all rows would explode. Here rows are
-dealt into blocks by hash; Spark shuffles each entry to the tiles (left block × right block) that need
-it, sorted by column, and a task adds the products into one small dense tile as the entries stream by.
-Only the best n of each tile leave the task. Memory is bounded by ``rows_per_block²`` and one column
-slice, whatever the length of a row or column, and no candidate is ever dropped early.
+dealt into blocks by hash, the entries of one block and column are packed into one record (at most
+``rows_per_block`` entries), and Spark shuffles each record to the tiles (left block × right block)
+that need it, sorted by column. A task adds the products into one dense tile as the records stream by;
+only the best n of each tile leave it. Memory is bounded by ``rows_per_block²`` and one Arrow batch,
+whatever the length of a row or column, and no candidate is ever dropped early.
 """
 
 from __future__ import annotations
@@ -15,20 +16,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.config import DEFAULTS
 from tastegrid.operators.ranking import top_n
 
-# rows a task gathers before it multiplies a slice of columns, and products expanded per step
-_SLICE_ROWS = 200_000
-_STEP_PRODUCTS = 2_000_000
+_STEP_PRODUCTS = 2_000_000  # products expanded per step for rare columns
+_DENSE_COLUMNS = 256        # frequent columns multiplied per matrix product
+_DENSE_SHARE = 400          # a column is frequent when its products exceed tile area / this
 _MIN_BLOCKS = 4
+_TASKS_PER_SLOT = 4         # finer than the slots, so that tiles of uneven cost even out
 
-# kinds of record sent to a tile
+# kinds of record sent to a tile; a left record sorts right before the right record of its column
 _SKIP, _BIAS, _LEFT, _RIGHT = 0, 1, 2, 3
+_SETUP, _FIRST, _SECOND = 0, 1, 2  # phases within a tile
 
 Finish = Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]
+_EMPTY = pa.RecordBatch.from_pydict(
+    {"l": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+)
 
 
 def finish_dot(acc: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,20 +68,25 @@ def half_up(values: np.ndarray, digits: int) -> np.ndarray:
 
 def best_of_tile(
     score: np.ndarray, valid: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, n: int, digits: int
-) -> pd.DataFrame:
+) -> pa.RecordBatch:
     """Top ``n`` per tile row by rounded score, then right id; ties at the edge are settled by id."""
-    key = np.where(valid, -half_up(score, digits), np.inf)
-    if n < key.shape[1]:
-        edge = np.partition(key, n - 1, axis=1)[:, n - 1]
-        rows, cols = np.nonzero((key <= edge[:, None]) & np.isfinite(key))
+    raw = np.where(valid, score, -np.inf)
+    if n < raw.shape[1]:
+        # anything that can still tie with the n-th value after rounding stays in
+        edge = np.partition(raw, raw.shape[1] - n, axis=1)[:, raw.shape[1] - n] - 10.0**-digits
+        rows, cols = np.nonzero((raw >= edge[:, None]) & np.isfinite(raw))
     else:
-        rows, cols = np.nonzero(np.isfinite(key))
-    order = np.lexsort((right_ids[cols], key[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < n
-    rows, cols = rows[keep], cols[keep]
-    return pd.DataFrame({"l": left_ids[rows], "r": right_ids[cols], "score": score[rows, cols]})
+        rows, cols = np.nonzero(np.isfinite(raw))
+    values, ids = raw[rows, cols], right_ids[cols]
+    order = np.lexsort((ids, -half_up(values, digits), rows))
+    rows, values, ids = rows[order], values[order], ids[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < n
+    return pa.RecordBatch.from_pydict({"l": left_ids[rows[keep]], "r": ids[keep], "score": values[keep]})
+
+
+def runs(counts: np.ndarray) -> np.ndarray:
+    """0, 1, … within each run of the given lengths."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class _Places:
@@ -84,14 +96,43 @@ class _Places:
         self.at: dict[int, int] = {}
 
     def of(self, ids: np.ndarray) -> np.ndarray:
-        uniq, inverse = np.unique(ids, return_inverse=True)
+        codes, uniq = pd.factorize(ids)
         at = self.at
-        return np.array([at.setdefault(int(u), len(at)) for u in uniq], dtype=np.int64)[inverse]
+        return np.array([at.setdefault(u, len(at)) for u in uniq.tolist()], dtype=np.int64)[codes]
+
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        """Place or -1, without handing out new ones."""
+        return np.array([self.at.get(i, -1) for i in ids.tolist()], dtype=np.int64)
 
     def ids(self) -> np.ndarray:
         return np.fromiter(self.at.keys(), dtype=np.int64, count=len(self.at))
 
 
+class _Packed:
+    """Column view of a batch of packed records."""
+
+    def __init__(self, batch: pa.RecordBatch, sums: int) -> None:
+        get = lambda name: batch.column(batch.schema.get_field_index(name))
+        self.tile = get("lb").to_numpy(zero_copy_only=False).astype(np.int64) * (1 << 31) + get("rb").to_numpy(
+            zero_copy_only=False
+        )
+        self.phase = get("phase").to_numpy(zero_copy_only=False)
+        self.kind = get("kind").to_numpy(zero_copy_only=False)
+        self.col = get("col")
+        self.ident = get("id").fill_null(-1).to_numpy(zero_copy_only=False)
+        lists = get("e")
+        self.start = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        self.size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        inner = lists.values
+        self.ids = inner.field("id").to_numpy(zero_copy_only=False)
+        self.w = [inner.field(f"w{i}").to_numpy(zero_copy_only=False) for i in range(sums)]
+
+    def entries(self, records: np.ndarray) -> np.ndarray:
+        """Positions of all entries of the given records."""
+        sizes = self.size[records]
+        return np.repeat(self.start[records], sizes) + runs(sizes)
+
+
 class _Tile:
     """Accumulators of one left block × right block."""
 
@@ -105,128 +146,213 @@ class _Tile:
         need = (len(self.lefts.at), len(self.rights.at))
         have = self.acc[0].shape
         if need[0] > have[0] or need[1] > have[1]:
-            grown = tuple(max(h, int(m * 1.5) + 16) if m > h else h for m, h in zip(need, have))
+            grown = tuple(max(h, int(m * 1.25) + 16) if m > h else h for m, h in zip(need, have))
             for i, old in enumerate(self.acc):
                 new = np.zeros(grown)
                 new[: have[0], : have[1]] = old
                 self.acc[i] = new
 
-    def setup(self, pdf: pd.DataFrame) -> None:
-        bias = pdf[pdf["kind"] == _BIAS]
+    def setup(self, p: _Packed, records: np.ndarray) -> None:
+        bias = p.entries(records[p.kind[records] == _BIAS])
         if len(bias):
-            self.bias.update(zip(bias["id"].tolist(), bias["w0"].tolist()))
-            self.rights.of(bias["id"].to_numpy(np.int64))
-        skip = pdf[pdf["kind"] == _SKIP]
+            self.bias.update(zip(p.ids[bias].tolist(), p.w[0][bias].tolist()))
+            self.rights.of(p.ids[bias])
+        skip = records[p.kind[records] == _SKIP]
         if len(skip):
-            self.skip.append((skip["id"].to_numpy(np.int64), skip["other"].to_numpy(np.int64)))
+            self.skip.append((p.ids[p.entries(skip)], np.repeat(p.ident[skip], p.size[skip])))
 
-    def add(self, pdf: pd.DataFrame) -> None:
-        """Add the products of a slice of complete columns, sorted by column."""
-        is_left = (pdf["kind"] == _LEFT).to_numpy()
-        l_at = self.lefts.of(pdf["id"].to_numpy(np.int64)[is_left])
-        r_at = self.rights.of(pdf["id"].to_numpy(np.int64)[~is_left])
+    def add(self, p: _Packed, left: np.ndarray, right: np.ndarray) -> None:
+        """Add the products of matching left and right records (same column, same order)."""
+        l_pos, r_pos = p.entries(left), p.entries(right)
+        l_at, r_at = self.lefts.of(p.ids[l_pos]), self.rights.of(p.ids[r_pos])
         self._fit()
-        codes = pd.factorize(pdf["col"])[0]
-        l_code, r_code = codes[is_left], codes[~is_left]
-        start = np.searchsorted(r_code, l_code, side="left")
-        counts = np.searchsorted(r_code, l_code, side="right") - start
+        l_size, r_size = p.size[left], p.size[right]
+        area = len(self.lefts.at) * len(self.rights.at)
+        frequent = l_size * r_size * _DENSE_SHARE > area
+        l_col = np.repeat(np.arange(len(left)), l_size)
+        r_col = np.repeat(np.arange(len(right)), r_size)
+        l_w, r_w = [w[l_pos] for w in p.w], [w[r_pos] for w in p.w]
+        self._add_frequent(np.flatnonzero(frequent), l_col, r_col, l_at, r_at, l_w, r_w)
+        rare = ~frequent[l_col]
+        counts = r_size[l_col[rare]]
+        begin = (np.cumsum(r_size) - r_size)[l_col[rare]]
+        self._add_rare(counts, begin, l_at[rare], r_at, [w[rare] for w in l_w], r_w)
+
+    def _add_frequent(self, columns, l_col, r_col, l_at, r_at, l_w, r_w) -> None:
+        slot = np.full(int(max(l_col.max(initial=-1), r_col.max(initial=-1))) + 1, -1)
+        nl, nr = len(self.lefts.at), len(self.rights.at)
+        for lo in range(0, len(columns), _DENSE_COLUMNS):
+            part = columns[lo : lo + _DENSE_COLUMNS]
+            slot[:] = -1
+            slot[part] = np.arange(len(part))
+            li, ri = np.flatnonzero(slot[l_col] >= 0), np.flatnonzero(slot[r_col] >= 0)
+            for acc, lw, rw in zip(self.acc, l_w, r_w):
+                a, b = np.zeros((nl, len(part))), np.zeros((nr, len(part)))
+                a[l_at[li], slot[l_col[li]]] = lw[li]
+                b[r_at[ri], slot[r_col[ri]]] = rw[ri]
+                acc[:nl, :nr] += a @ b.T
+
+    def _add_rare(self, counts, begin, l_at, r_at, l_w, r_w) -> None:
         ends = np.cumsum(counts)
         width = self.acc[0].shape[1]
-        weights = [pdf[f"w{i}"].to_numpy(np.float64) for i in range(len(self.acc))]
         lo = 0
         while lo < len(l_at):
             done = ends[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, done + _STEP_PRODUCTS, side="right")))
             c = counts[lo:hi]
             li = np.repeat(np.arange(lo, hi), c)
-            ri = np.repeat(start[lo:hi], c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c))
+            ri = np.repeat(begin[lo:hi], c) + runs(c)
             cells = l_at[li] * width + r_at[ri]
-            for acc, w in zip(self.acc, weights):
-                np.add.at(acc.reshape(-1), cells, w[is_left][li] * w[~is_left][ri])
+            for acc, lw, rw in zip(self.acc, l_w, r_w):
+                np.add.at(acc.reshape(-1), cells, lw[li] * rw[ri])
             lo = hi
 
-    def best(self, n: int | None, digits: int, finish: Finish) -> pd.DataFrame:
+    def best(self, n: int | None, digits: int, finish: Finish) -> pa.RecordBatch:
         self._fit()
         left_ids, right_ids = self.lefts.ids(), self.rights.ids()
         if not len(left_ids) or not len(right_ids):
-            return pd.DataFrame({"l": [], "r": [], "score": []})
+            return _EMPTY
         acc = [a[: len(left_ids), : len(right_ids)] for a in self.acc]
-        bias = np.array([self.bias.get(int(r), np.nan) for r in right_ids]) if self.bias else np.zeros(len(right_ids))
+        bias = np.array([self.bias.get(r, np.nan) for r in right_ids.tolist()]) if self.bias else np.zeros(len(right_ids))
         score, valid = finish(acc, bias)
-        if self.skip:
-            valid = np.array(valid)
-            for ls, rs in self.skip:
-                li = np.array([self.lefts.at.get(int(v), -1) for v in ls])
-                ri = np.array([self.rights.at.get(int(v), -1) for v in rs])
-                known = (li >= 0) & (ri >= 0)
-                valid[li[known], ri[known]] = False
-        return best_of_tile(score, valid, left_ids, right_ids, n or len(right_ids), digits)
+        return best_of_tile(score, self.allowed(valid), left_ids, right_ids, n or len(right_ids), digits)
+
+    def allowed(self, valid: np.ndarray, offset: _Places | None = None) -> np.ndarray:
+        if not self.skip:
+            return valid
+        valid = np.array(valid)
+        rights = offset or self.rights
+        for ls, rs in self.skip:
+            li, ri = self.lefts.known(ls), rights.known(rs)
+            both = (li >= 0) & (ri >= 0)
+            valid[li[both], ri[both]] = False
+        return valid
+
+
+def _pairs(p: _Packed, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left records directly followed by the right record of the same column."""
+    a, b = records[:-1], records[1:]
+    turn = (p.kind[a] == _LEFT) & (p.kind[b] == _RIGHT)
+    a, b = a[turn], b[turn]
+    if len(a):
+        same = pa.compute.equal(p.col.take(pa.array(a)), p.col.take(pa.array(b))).to_numpy(zero_copy_only=False)
+        a, b = a[same.astype(bool)], b[same.astype(bool)]
+    return a, b
+
+
+def _stream(batches: Iterator[pa.RecordBatch], sums: int) -> Iterator[tuple[int, int, _Packed, np.ndarray]]:
+    """``(tile, phase, batch, records)`` in order; a trailing left record waits for its partner."""
+    carry: pa.RecordBatch | None = None
+    for batch in batches:
+        if carry is not None:
+            batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            carry = None
+        p = _Packed(batch, sums)
+        total = len(p.kind)
+        if not total:
+            continue
+        if p.kind[-1] == _LEFT:
+            carry = batch.slice(total - 1)
+            total -= 1
+        marks = p.tile[:total] * 4 + p.phase[:total]
+        edges = np.flatnonzero(np.diff(marks)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), total]):
+            if lo < hi:
+                yield int(p.tile[lo]), int(p.phase[lo]), p, np.arange(lo, hi)
 
 
 def _tiles(sums: int, n: int | None, digits: int, finish: Finish):
-    """``mapInPandas`` body: entries arrive sorted by tile, set-up records first, then by column."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tile, held = None, None, []
-
-        def flush(final: bool) -> None:
-            nonlocal held
-            if not held:
-                return
-            pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            held = []
-            if not final:  # the last column may continue in the next batch
-                last = (pdf["col"] == pdf["col"].iloc[-1]).to_numpy()
-                held, pdf = [pdf[last]], pdf[~last]
-            if len(pdf):
-                tile.add(pdf)
-
-        for batch in batches:
-            marks = batch["lb"].to_numpy(np.int64) * (1 << 31) + batch["rb"].to_numpy(np.int64)
-            edges = np.flatnonzero(np.diff(marks)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(batch)]):
-                if lo == hi:
-                    continue
-                if marks[lo] != key:
-                    if tile is not None:
-                        flush(True)
-                        yield tile.best(n, digits, finish)
-                    key, tile, held = marks[lo], _Tile(sums), []
-                part = batch.iloc[lo:hi]
-                setup = part["kind"] <= _BIAS
-                if setup.any():
-                    tile.setup(part[setup])
-                    part = part[~setup]
-                if len(part):
-                    held.append(part)
-                    if sum(map(len, held)) >= _SLICE_ROWS:
-                        flush(False)
+    """``mapInArrow`` body: records arrive sorted by tile, set-up first, then by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile = None, None
+        for mark, phase, p, records in _stream(batches, sums):
+            if mark != key:
+                if tile is not None:
+                    yield tile.best(n, digits, finish)
+                key, tile = mark, _Tile(sums)
+            if phase == _SETUP:
+                tile.setup(p, records)
+            else:
+                left, right = _pairs(p, records)
+                if len(left):
+                    tile.add(p, left, right)
         if tile is not None:
-            flush(True)
             yield tile.best(n, digits, finish)
 
     return run
 
 
-def _block(ident: str, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(ident), blocks).cast("int")
-
-
-def block_count(df: DataFrame, ident: str, rows_per_block: int) -> Column:
+def block_count(df: DataFrame, ident: str, rows_per_block: int, least: int = _MIN_BLOCKS) -> Column:
     """Number of blocks as a scalar subquery: a sketch is enough, block sizes need not be exact.
 
     Small inputs still get a few blocks so that their tiles use all cores; an empty side gets none.
     """
     n = df.agg(F.approx_count_distinct(ident).alias("n")).scalar()
-    some = F.greatest(F.lit(_MIN_BLOCKS), F.ceil(n / F.lit(rows_per_block))).cast("int")
+    some = F.greatest(F.lit(least), F.ceil(n / F.lit(rows_per_block))).cast("int")
     return F.when(n == 0, F.lit(0)).otherwise(some)
 
 
 def _every(blocks: Column) -> Column:
-    """One copy of the row per block of the other side."""
+    """One copy of the record per block of the other side."""
     return F.explode(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")))
 
 
+def _block(ident: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(ident), blocks).cast("int")
+
+
+def _entry(ident: str, weights: list[str], *, blank: bool = False) -> Column:
+    values = [(F.lit(None).cast("double") if blank else F.col(w).cast("double")).alias(w) for w in weights]
+    return F.struct(F.col(ident).cast("long").alias("id"), *values)
+
+
+def _packed(df: DataFrame, ident: str, side: str, blocks: Column, weights: list[str]) -> DataFrame:
+    """Entries of one block and column as one record: at most as many as the block has rows."""
+    return (
+        df.withColumn(side, _block(ident, blocks)).groupBy(side, "col").agg(F.collect_list(_entry(ident, weights)).alias("e"))
+    )
+
+
+def _record(df: DataFrame, lb: Column, rb: Column, phase: int, kind: int, col: Column, ident: Column) -> DataFrame:
+    return df.select(
+        lb.alias("lb"), rb.alias("rb"), F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), col.alias("col"),
+        ident.cast("long").alias("id"), "e",
+    )
+
+
+def _setup_records(
+    skip: DataFrame | None, bias: DataFrame | None, left_blocks: Column, right_blocks: Column, weights: list[str], no_col: Column
+) -> list[DataFrame]:
+    none, parts = F.lit(None), []
+    if skip is not None:
+        packed = (
+            skip.withColumn("lb", _block("l", left_blocks)).groupBy("lb", "r")
+            .agg(F.collect_list(_entry("l", weights, blank=True)).alias("e"))
+        )
+        parts.append(_record(packed, F.col("lb"), _block("r", right_blocks), _SETUP, _SKIP, no_col, F.col("r")))
+    if bias is not None:
+        value = F.struct(
+            F.col("r").cast("long").alias("id"), F.col("bias").cast("double").alias("w0"),
+            *[F.lit(None).cast("double").alias(w) for w in weights[1:]],
+        )
+        packed = bias.withColumn("rb", _block("r", right_blocks)).groupBy("rb").agg(F.collect_list(value).alias("e"))
+        parts.append(_record(packed, _every(left_blocks), F.col("rb"), _SETUP, _BIAS, no_col, none))
+    return parts
+
+
+def _run_tiles(parts: list[DataFrame], body) -> DataFrame:
+    records = parts[0]
+    for part in parts[1:]:
+        records = records.unionByName(part)
+    tasks = _TASKS_PER_SLOT * records.sparkSession.sparkContext.defaultParallelism
+    return (
+        records.repartition(tasks, "lb", "rb")
+        .sortWithinPartitions("lb", "rb", "phase", "col", "kind")
+        .mapInArrow(body, "l long, r long, score double")
+    )
+
+
 def block_top(
     left: DataFrame,
     right: DataFrame,
@@ -241,54 +367,109 @@ def block_top(
 ) -> DataFrame:
     """``(l, rank, r, score)``: exact best ``n`` right rows of each left row.
 
-    ``left``: ``l, col, w0…``; ``right``: ``r, col, w0…`` with ``sums`` weight columns each;
-    ``skip``: pairs ``l, r`` that may not be returned; ``bias``: ``r, bias``. ``n=None`` returns every
-    valid pair (rank is then left out).
+    ``left``: ``l, col, w0…``; ``right``: ``r, col, w0…`` with ``sums`` weight columns each and one row
+    per cell; ``skip``: pairs ``l, r`` that may not be returned; ``bias``: ``r, bias``. ``n=None``
+    returns every valid pair (rank is then left out).
     """
     weights = [f"w{i}" for i in range(sums)]
     left_blocks = block_count(left, "l", rows_per_block)
     right_blocks = block_count(right if bias is None else bias, "r", rows_per_block)
-    nothing = F.lit(None).cast("long")
     col_type = left.schema["col"].dataType
-    no_col = F.lit(None).cast(col_type)
-    pad = [F.lit(None).cast("double").alias(w) for w in weights[1:]]
-
-    records = left.select(
-        _block("l", left_blocks).alias("lb"), _every(right_blocks).alias("rb"),
-        F.lit(_LEFT).alias("kind"), "col", F.col("l").alias("id"), nothing.alias("other"), *weights,
-    ).unionByName(
-        right.select(
-            _every(left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"),
-            F.lit(_RIGHT).alias("kind"), F.col("col").cast(col_type).alias("col"), F.col("r").alias("id"),
-            nothing.alias("other"), *weights,
-        )
-    )
-    if skip is not None:
-        records = records.unionByName(
-            skip.select(
-                _block("l", left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"),
-                F.lit(_SKIP).alias("kind"), no_col.alias("col"), F.col("l").alias("id"),
-                F.col("r").alias("other"), F.lit(None).cast("double").alias("w0"), *pad,
-            )
-        )
-    if bias is not None:
-        records = records.unionByName(
-            bias.select(
-                _every(left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"),
-                F.lit(_BIAS).alias("kind"), no_col.alias("col"), F.col("r").alias("id"),
-                nothing.alias("other"), F.col("bias").alias("w0"), *pad,
-            )
-        )
-    tiles = (
-        records.withColumn("entry", F.col("kind") > _BIAS)
-        .repartition("lb", "rb")
-        .sortWithinPartitions("lb", "rb", "entry", "col")
-        .drop("entry")
-        .mapInPandas(_tiles(sums, n, digits, finish), "l long, r long, score double")
-    )
+    none, no_col = F.lit(None), F.lit(None).cast(col_type)
+    lefts = _packed(left, "l", "lb", left_blocks, weights)
+    rights = _packed(right.withColumn("col", F.col("col").cast(col_type)), "r", "rb", right_blocks, weights)
+    parts = [
+        _record(lefts, F.col("lb"), _every(right_blocks), _FIRST, _LEFT, F.col("col"), none),
+        _record(rights, _every(left_blocks), F.col("rb"), _FIRST, _RIGHT, F.col("col"), none),
+        *_setup_records(skip, bias, left_blocks, right_blocks, weights, no_col),
+    ]
+    tiles = _run_tiles(parts, _tiles(sums, n, digits, finish))
     return tiles if n is None else top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
 
 
+def _chained_tiles(n: int, digits: int, width: int, slice_rows: int):
+    """First product builds the profiles of a left block, the second scores documents against them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile, profile, norm = None, None, None, None
+        docs: list[int] = []
+        scores: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            if not scores or not len(tile.lefts.at):
+                return _EMPTY
+            score = np.stack(scores, axis=1)
+            places = _Places()
+            places.of(np.array(docs))
+            valid = tile.allowed(score >= 0.5 * 10.0**-digits, places)
+            return best_of_tile(score, valid, tile.lefts.ids(), np.array(docs), n, digits)
+
+        for mark, phase, p, records in _stream(batches, 1):
+            if mark != key:
+                if tile is not None:
+                    yield flush()
+                key, tile, profile = mark, _Tile(1), None
+                docs, scores = [], []
+            if phase == _SETUP:
+                tile.setup(p, records)
+            elif phase == _FIRST:
+                left, right = _pairs(p, records)
+                if len(left):
+                    tile.add(p, left, right)
+            else:
+                if profile is None:  # one row per term, so that a document reads whole rows
+                    terms = tile.rights
+                    profile = np.ascontiguousarray(tile.acc[0][: len(tile.lefts.at), : len(terms.at)].T)
+                    norm = np.sqrt((profile * profile).sum(axis=0))
+                    norm[norm == 0] = 1.0
+                for rec in records.tolist():
+                    at = slice(p.start[rec], p.start[rec] + p.size[rec])
+                    rows = tile.rights.known(p.ids[at])
+                    known = rows >= 0
+                    scores.append(p.w[0][at][known] @ profile[rows[known]] / norm)
+                    docs.append(int(p.ident[rec]))
+                    if len(docs) >= slice_rows:
+                        yield flush()
+                        docs, scores = [], []
+        if tile is not None:
+            yield flush()
+
+    return run
+
+
+def chained_top(
+    likes: DataFrame,
+    docs: DataFrame,
+    *,
+    n: int,
+    width: int,
+    skip: DataFrame | None = None,
+    rows_per_block: int = DEFAULTS.rows_per_block // 2,
+    digits: int = DEFAULTS.score_digits,
+) -> DataFrame:
+    """``(l, rank, r, score)``: documents closest to the weighted sum of the liked documents' vectors.
+
+    ``likes``: ``l, col, w0`` with ``col`` a document; ``docs``: ``r, col, w0`` with ``col`` a term out
+    of at most ``width``. The sums (left row × term) exist only inside a task, ``rows_per_block`` by
+    ``width`` numbers at a time; what is shuffled are the likes and, per left block, the documents.
+    """
+    left_blocks = block_count(likes, "l", rows_per_block)
+    right_blocks = block_count(docs, "r", rows_per_block * 16, 1)
+    none = F.lit(None)
+    lefts = _packed(likes.withColumn("col", F.col("col").cast("long")), "l", "lb", left_blocks, ["w0"])
+    vectors = docs.groupBy("r").agg(F.collect_list(_entry("col", ["w0"])).alias("e"))  # ≤ width entries
+    parts = [
+        _record(lefts, F.col("lb"), _every(right_blocks), _FIRST, _LEFT, F.col("col"), none),
+        _record(
+            vectors.withColumn("rb", _every(right_blocks)), _every(left_blocks), F.col("rb"), _FIRST, _RIGHT, F.col("r"), none
+        ),
+        _record(vectors, _every(left_blocks), _block("r", right_blocks), _SECOND, _RIGHT, F.col("r"), F.col("r")),
+        *_setup_records(skip, None, left_blocks, right_blocks, ["w0"], F.lit(None).cast("long")),
+    ]
+    tiles = _run_tiles(parts, _chained_tiles(n, digits, width, DEFAULTS.rows_per_block))
+    return top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
+
+
 def _dense_tiles(n: int, digits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
@@ -307,7 +488,7 @@ def _dense_tiles(n: int, digits: int):
                 ri = pd.Index(r_ids).get_indexer(skips["other"].astype("int64"))
                 known = (li >= 0) & (ri >= 0)
                 valid[li[known], ri[known]] = False
-            return best_of_tile(score, valid, l_ids, r_ids, n, digits)
+            return best_of_tile(score, valid, l_ids, r_ids, n, digits).to_pandas()
 
         for batch in batches:
             marks = batch["lb"].to_numpy(np.int64) * (1 << 31) + batch["rb"].to_numpy(np.int64)
@@ -363,7 +544,7 @@ def dense_top(
             )
         )
     tiles = (
-        records.repartition("lb", "rb")
+        records.repartition(_TASKS_PER_SLOT * left.sparkSession.sparkContext.defaultParallelism, "lb", "rb")
         .sortWithinPartitions("lb", "rb")
         .mapInPandas(_dense_tiles(n, digits), "l long, r long, score double")
     )

@@ -13,7 +13,6 @@ SQL_SETTINGS = {
     # split a skewed join side even if that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
 }
 
 
