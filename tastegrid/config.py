@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class Params:
     # --- ranking -------------------------------------------------------------
     top_n: int = 10
-    score_digits: int = 6          # scores are ranked after rounding, ties go to the lower id
+    score_digits: int = 7          # scores are ranked after rounding, ties go to the lower id
     page_size: int = 12
     pool_size: int = 500           # candidates each component hands to the blend
     # --- splits --------------------------------------------------------------

@@ -12,12 +12,13 @@ whatever the length of a row or column, and no candidate is ever dropped early.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tastegrid.config import DEFAULTS
 from tastegrid.operators.ranking import top_n
@@ -70,14 +71,13 @@ def best_of_tile(
     score: np.ndarray, valid: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, n: int, digits: int
 ) -> pa.RecordBatch:
     """Top ``n`` per tile row by rounded score, then right id; ties at the edge are settled by id."""
-    raw = np.where(valid, score, -np.inf)
-    if n < raw.shape[1]:
+    if n < score.shape[1] and np.count_nonzero(valid) * 8 > valid.size:
         # anything that can still tie with the n-th value after rounding stays in
+        raw = np.where(valid, score, -np.inf)
         edge = np.partition(raw, raw.shape[1] - n, axis=1)[:, raw.shape[1] - n] - 10.0**-digits
-        rows, cols = np.nonzero((raw >= edge[:, None]) & np.isfinite(raw))
-    else:
-        rows, cols = np.nonzero(np.isfinite(raw))
-    values, ids = raw[rows, cols], right_ids[cols]
+        valid = valid & (raw >= edge[:, None])
+    rows, cols = np.nonzero(valid)
+    values, ids = score[rows, cols], right_ids[cols]
     order = np.lexsort((ids, -half_up(values, digits), rows))
     rows, values, ids = rows[order], values[order], ids[order]
     keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < n
@@ -207,7 +207,7 @@ class _Tile:
                 np.add.at(acc.reshape(-1), cells, lw[li] * rw[ri])
             lo = hi
 
-    def best(self, n: int | None, digits: int, finish: Finish) -> pa.RecordBatch:
+    def best(self, n: int | None, digits: int, finish: Finish, same: bool) -> pa.RecordBatch:
         self._fit()
         left_ids, right_ids = self.lefts.ids(), self.rights.ids()
         if not len(left_ids) or not len(right_ids):
@@ -215,6 +215,8 @@ class _Tile:
         acc = [a[: len(left_ids), : len(right_ids)] for a in self.acc]
         bias = np.array([self.bias.get(r, np.nan) for r in right_ids.tolist()]) if self.bias else np.zeros(len(right_ids))
         score, valid = finish(acc, bias)
+        if not same:
+            self.skip.append((left_ids, left_ids))
         return best_of_tile(score, self.allowed(valid), left_ids, right_ids, n or len(right_ids), digits)
 
     def allowed(self, valid: np.ndarray, offset: _Places | None = None) -> np.ndarray:
@@ -261,7 +263,7 @@ def _stream(batches: Iterator[pa.RecordBatch], sums: int) -> Iterator[tuple[int,
                 yield int(p.tile[lo]), int(p.phase[lo]), p, np.arange(lo, hi)
 
 
-def _tiles(sums: int, n: int | None, digits: int, finish: Finish):
+def _tiles(sums: int, n: int | None, digits: int, finish: Finish, same: bool):
     """``mapInArrow`` body: records arrive sorted by tile, set-up first, then by column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +271,7 @@ def _tiles(sums: int, n: int | None, digits: int, finish: Finish):
         for mark, phase, p, records in _stream(batches, sums):
             if mark != key:
                 if tile is not None:
-                    yield tile.best(n, digits, finish)
+                    yield tile.best(n, digits, finish, same)
                 key, tile = mark, _Tile(sums)
             if phase == _SETUP:
                 tile.setup(p, records)
@@ -278,28 +280,32 @@ def _tiles(sums: int, n: int | None, digits: int, finish: Finish):
                 if len(left):
                     tile.add(p, left, right)
         if tile is not None:
-            yield tile.best(n, digits, finish)
+            yield tile.best(n, digits, finish, same)
 
     return run
 
 
-def block_count(df: DataFrame, ident: str, rows_per_block: int, least: int = _MIN_BLOCKS) -> Column:
-    """Number of blocks as a scalar subquery: a sketch is enough, block sizes need not be exact.
+def block_count(df: DataFrame, ident: str, rows_per_block: int, least: int = _MIN_BLOCKS) -> int:
+    """Number of blocks from a distinct-count sketch: sizes need not be exact.
 
-    Small inputs still get a few blocks so that their tiles use all cores; an empty side gets none.
+    One number reaches the driver. Small inputs still get a few blocks so that their tiles use all
+    cores; an empty side gets none. Callers hand in stored frames, so the count is one column scan.
     """
-    n = df.agg(F.approx_count_distinct(ident).alias("n")).scalar()
-    some = F.greatest(F.lit(least), F.ceil(n / F.lit(rows_per_block))).cast("int")
-    return F.when(n == 0, F.lit(0)).otherwise(some)
+    n = df.agg(F.approx_count_distinct(ident)).first()[0]
+    return max(least, math.ceil(n / rows_per_block)) if n else 0
 
 
-def _every(blocks: Column) -> Column:
+def _every(blocks: int) -> Column:
     """One copy of the record per block of the other side."""
-    return F.explode(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")))
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
 
-def _block(ident: str, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(ident), blocks).cast("int")
+def _block(ident: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
+
+
+def _no_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "l long, rank long, r long, score double")
 
 
 def _entry(ident: str, weights: list[str], *, blank: bool = False) -> Column:
@@ -307,7 +313,7 @@ def _entry(ident: str, weights: list[str], *, blank: bool = False) -> Column:
     return F.struct(F.col(ident).cast("long").alias("id"), *values)
 
 
-def _packed(df: DataFrame, ident: str, side: str, blocks: Column, weights: list[str]) -> DataFrame:
+def _packed(df: DataFrame, ident: str, side: str, blocks: int, weights: list[str]) -> DataFrame:
     """Entries of one block and column as one record: at most as many as the block has rows."""
     return (
         df.withColumn(side, _block(ident, blocks)).groupBy(side, "col").agg(F.collect_list(_entry(ident, weights)).alias("e"))
@@ -322,7 +328,7 @@ def _record(df: DataFrame, lb: Column, rb: Column, phase: int, kind: int, col: C
 
 
 def _setup_records(
-    skip: DataFrame | None, bias: DataFrame | None, left_blocks: Column, right_blocks: Column, weights: list[str], no_col: Column
+    skip: DataFrame | None, bias: DataFrame | None, left_blocks: Column, right_blocks: int, weights: list[str], no_col: Column
 ) -> list[DataFrame]:
     none, parts = F.lit(None), []
     if skip is not None:
@@ -362,18 +368,21 @@ def block_top(
     finish: Finish = finish_dot,
     skip: DataFrame | None = None,
     bias: DataFrame | None = None,
+    same: bool = True,
     rows_per_block: int = DEFAULTS.rows_per_block,
     digits: int = DEFAULTS.score_digits,
 ) -> DataFrame:
     """``(l, rank, r, score)``: exact best ``n`` right rows of each left row.
 
     ``left``: ``l, col, w0…``; ``right``: ``r, col, w0…`` with ``sums`` weight columns each and one row
-    per cell; ``skip``: pairs ``l, r`` that may not be returned; ``bias``: ``r, bias``. ``n=None``
-    returns every valid pair (rank is then left out).
+    per cell; ``skip``: pairs ``l, r`` that may not be returned; ``same=False`` leaves out a row's own
+    id; ``bias``: ``r, bias``. ``n=None`` returns every valid pair (rank is then left out).
     """
     weights = [f"w{i}" for i in range(sums)]
     left_blocks = block_count(left, "l", rows_per_block)
     right_blocks = block_count(right if bias is None else bias, "r", rows_per_block)
+    if not left_blocks or not right_blocks:
+        return _no_rows(left.sparkSession)
     col_type = left.schema["col"].dataType
     none, no_col = F.lit(None), F.lit(None).cast(col_type)
     lefts = _packed(left, "l", "lb", left_blocks, weights)
@@ -383,7 +392,7 @@ def block_top(
         _record(rights, _every(left_blocks), F.col("rb"), _FIRST, _RIGHT, F.col("col"), none),
         *_setup_records(skip, bias, left_blocks, right_blocks, weights, no_col),
     ]
-    tiles = _run_tiles(parts, _tiles(sums, n, digits, finish))
+    tiles = _run_tiles(parts, _tiles(sums, n, digits, finish, same))
     return tiles if n is None else top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
 
 
@@ -455,6 +464,8 @@ def chained_top(
     """
     left_blocks = block_count(likes, "l", rows_per_block)
     right_blocks = block_count(docs, "r", rows_per_block * 16, 1)
+    if not left_blocks or not right_blocks:
+        return _no_rows(likes.sparkSession)
     none = F.lit(None)
     lefts = _packed(likes.withColumn("col", F.col("col").cast("long")), "l", "lb", left_blocks, ["w0"])
     vectors = docs.groupBy("r").agg(F.collect_list(_entry("col", ["w0"])).alias("e"))  # ≤ width entries
@@ -523,6 +534,8 @@ def dense_top(
     """
     left_blocks = block_count(left, "l", rows_per_block)
     right_blocks = block_count(right, "r", rows_per_block)
+    if not left_blocks or not right_blocks:
+        return _no_rows(left.sparkSession)
     nothing = F.lit(None).cast("long").alias("other")
     no_shift = F.lit(None).cast("double").alias("shift")
     vec = F.col("vec").cast("array<double>").alias("vec")

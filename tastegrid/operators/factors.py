@@ -14,7 +14,7 @@ from tastegrid.config import DEFAULTS
 from tastegrid.functions.numeric import hash_position, keyed_hash
 from tastegrid.operators.blocks import dense_top
 from tastegrid.operators.neighbours import centred
-from tastegrid.operators.skew import hot_from_counts, split_join
+from tastegrid.operators.skew import checked, hot_from_counts, hot_keys, split_join
 from tastegrid.operators.staging import stage
 
 
@@ -61,9 +61,9 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _spread_sum(entries: DataFrame, factors: DataFrame, on: str, to: str, width: int) -> DataFrame:
+def _spread_sum(entries: DataFrame, factors: DataFrame, on: str, to: str, width: int, hot: DataFrame | bool) -> DataFrame:
     """Sparse matrix × factor table: ``(to, Σ dev · vec)`` with map-side partial sums."""
-    joined = split_join(factors.select(on, "vec"), entries, on, to)
+    joined = split_join(factors.select(on, "vec"), entries, on, to, hot=hot)
     sums = joined.groupBy(to).agg(*[F.sum(F.col("dev") * F.col("vec")[j]).alias(f"s{j}") for j in range(width)])
     return sums.select(to, F.array(*[f"s{j}" for j in range(width)]).alias("vec"))
 
@@ -102,12 +102,13 @@ def fit_svd(
     )
     long = entries.select("userId", "movieId", "dev")
     items = stage(entries.select("movieId").distinct().withColumn("vec", start), "svd-start")
+    hot_users, hot_items = checked(hot_keys(long, "userId")), checked(hot_keys(long, "movieId"))
     for _ in range(rounds):
-        users = _spread_sum(long, items, "movieId", "userId", width)
-        raw = stage(_spread_sum(long, users, "userId", "movieId", width), "svd-round")
+        users = _spread_sum(long, items, "movieId", "userId", width, hot_items)
+        raw = stage(_spread_sum(long, users, "userId", "movieId", width, hot_users), "svd-round")
         items = raw.select("movieId", times("vec", _orthonormal(gram(raw, width))).alias("vec"))
     items = stage(items, "svd-items")
-    users = stage(_spread_sum(long, items, "movieId", "userId", width), "svd-users")
+    users = stage(_spread_sum(long, items, "movieId", "userId", width, hot_items), "svd-users")
     value, vector = np.linalg.eigh(gram(users, width))
     order = np.argsort(value)[::-1][:k]
     turn = vector[:, order]

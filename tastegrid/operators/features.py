@@ -9,6 +9,7 @@ from tastegrid.config import DEFAULTS
 from tastegrid.functions.numeric import DAY
 from tastegrid.operators.ranking import average_rank
 from tastegrid.operators.skew import split_join
+from tastegrid.operators.staging import stage
 
 
 def user_features(ratings: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def movie_popularity(ratings: DataFrame) -> DataFrame:
         "rating_consistency", 1.0 / (1.0 + F.coalesce("std_rating", F.lit(0.0)))
     )
     # ranked after rounding so that means equal up to float noise share their rank
-    df = df.withColumn("_mean", F.round("avg_rating", 9))
+    df = stage(df.withColumn("_mean", F.round("avg_rating", 9)), "movie-spread")
     return average_rank(average_rank(df, "n_ratings", "popularity_rank"), "_mean", "avg_rating_rank").drop("_mean")
 
 

@@ -27,9 +27,10 @@ def first_score(df: DataFrame) -> Column:
 
 
 def stack_components(components: dict[str, DataFrame]) -> DataFrame:
-    """Long form ``(userId, component, movieId, score)`` of several component lists."""
+    """Long form ``(userId, component, movieId, score)`` of several component lists, scores rounded."""
+    digits = DEFAULTS.score_digits
     parts = [
-        df.select("userId", F.lit(name).alias("component"), "movieId", first_score(df).alias("score"))
+        df.select("userId", F.lit(name).alias("component"), "movieId", F.round(first_score(df), digits).alias("score"))
         for name, df in components.items()
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tastegrid.config import DEFAULTS
 from tastegrid.operators.blocks import block_top, finish_biased, finish_overlap_bias
 from tastegrid.operators.ranking import global_rank, score_key, top_n
+from tastegrid.operators.staging import stage
 
 
 def bayes_popularity(ratings: DataFrame, quantile: float = DEFAULTS.smoothing_quantile) -> DataFrame:
@@ -59,7 +60,7 @@ def popular_for_users(
     tile by tile.
     """
     seen = seen.select("userId", "movieId").distinct().join(users.select("userId"), "userId", "left_semi")
-    quota = _quota(users, seen)
+    quota = stage(_quota(users, seen), "quota")
     order = ranked(popularity.select("movieId", "score")).withColumnRenamed("rank", "_place")
     head = F.broadcast(order.where(F.col("_place") <= n + light_history))
     light = (
@@ -68,7 +69,10 @@ def popular_for_users(
         .join(head, "_place")
         .join(seen, ["userId", "movieId"], "left_anti")
     )
+    light = light.select("userId", "movieId", "score")
     heavy_users = quota.where(F.col("_seen") > light_history).select("userId")
+    if heavy_users.isEmpty():
+        return top_n(light, "userId", "score", "movieId", n)
     heavy = block_top(
         heavy_users.select(F.col("userId").alias("l"), F.lit(0).alias("col"), F.lit(0.0).alias("w0")),
         order.select(F.col("movieId").alias("r"), F.lit(0).alias("col"), F.lit(0.0).alias("w0")),
@@ -77,8 +81,7 @@ def popular_for_users(
         skip=seen.join(heavy_users, "userId", "left_semi").select(F.col("userId").alias("l"), F.col("movieId").alias("r")),
         bias=order.select(F.col("movieId").alias("r"), F.col("score").alias("bias")),
     ).select(F.col("l").alias("userId"), F.col("r").alias("movieId"), "score")
-    both = light.select("userId", "movieId", "score").unionByName(heavy)
-    return top_n(both, "userId", "score", "movieId", n)
+    return top_n(light.unionByName(heavy), "userId", "score", "movieId", n)
 
 
 def popular_in_genres(
@@ -97,7 +100,7 @@ def popular_in_genres(
     """
     wanted = wanted.select("userId", "genre").distinct()
     seen = seen.select("userId", "movieId").distinct().join(wanted, "userId", "left_semi")
-    quota = _quota(wanted, seen)
+    quota = stage(_quota(wanted, seen), "quota")
     scored = tags.select("movieId", "genre").distinct().join(popularity.select("movieId", "score"), "movieId")
     place = Window.partitionBy("genre").orderBy(score_key("score").desc(), F.col("movieId"))
     heads = scored.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= n + light_history)
@@ -110,6 +113,8 @@ def popular_in_genres(
         .join(seen, ["userId", "movieId"], "left_anti")
     )
     heavy_users = quota.where(F.col("_seen") > light_history).select("userId")
+    if heavy_users.isEmpty():
+        return top_n(light, "userId", "score", "movieId", n)
     heavy = block_top(
         wanted.join(heavy_users, "userId", "left_semi").select(
             F.col("userId").alias("l"), F.col("genre").alias("col"), F.lit(1.0).alias("w0")

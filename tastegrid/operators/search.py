@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tastegrid.config import DEFAULTS
 from tastegrid.functions.text import grams, joined, squash
 from tastegrid.operators.ranking import top_n
+from tastegrid.operators.staging import stage
 
 _GRAM_SIZES = (1, 2, 3)
 
@@ -83,7 +84,9 @@ def search_titles(
         + flag((F.size("q_words") > 0) & F.forall("q_words", inside), 1.0)
         + flag(F.col("t_genres").contains(F.col("q_raw")), 0.5)
     )
-    judged = pairs.select("query_id", "movieId", match.alias("match"), F.exists("q_words", inside).alias("word"))
+    judged = stage(
+        pairs.select("query_id", "movieId", match.alias("match"), F.exists("q_words", inside).alias("word")), "matches"
+    )
     hits = judged.where(F.col("match") > 0)
     lost = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
     loose = judged.where("word").join(lost, "query_id", "left_semi").withColumn("match", F.lit(0.5))

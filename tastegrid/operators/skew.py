@@ -26,23 +26,33 @@ def hot_from_counts(counts: DataFrame, key: str, n: str, rows_per_split: int = D
     )
 
 
+NO_HOT_KEYS = False  # value of ``hot`` when a caller has already found that there are none
+
+
+def checked(hot: DataFrame) -> DataFrame | bool:
+    """The table of hot keys, or ``NO_HOT_KEYS`` when it is empty; for callers that join repeatedly."""
+    return NO_HOT_KEYS if hot.isEmpty() else hot
+
+
 def split_join(
     small: DataFrame,
     long: DataFrame,
     key: str,
     spread: str,
     *,
-    hot: DataFrame | None = None,
+    hot: DataFrame | bool | None = None,
     rows_per_split: int = DEFAULTS.rows_per_split,
 ) -> DataFrame:
     """Inner equi-join whose ``long`` side may be dominated by single keys.
 
     Rows of a hot key are dealt over ``_splits`` sub-keys by the hash of ``spread``; the matching rows
     of the other side are repeated once per sub-key. Cold keys keep one sub-key, so nothing is copied
-    for them.
+    for them. Without any hot key (one light counting job tells) it is an ordinary join.
     """
     if hot is None:
         hot = hot_keys(long, key, rows_per_split)
+    if hot is NO_HOT_KEYS or checked(hot) is NO_HOT_KEYS:
+        return small.join(long, key)
     hot = F.broadcast(hot.select(key, "_splits"))
     dealt = long.join(hot, key, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_splits")).cast("int"), F.lit(0))
@@ -68,6 +78,11 @@ def numbered_per_key(
     and shifted by the sizes of the ranges before it. All other keys use one ordinary window.
     """
     hot = hot_keys(df, key, rows_per_split)
+    if hot.isEmpty():
+        whole = Window.partitionBy(key)
+        return df.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn(
+            "_rn", F.row_number().over(whole.orderBy(*order))
+        )
     cut = df.join(F.broadcast(hot), key, "left").withColumn(
         "_range",
         F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(F.floor(position * F.col("_splits")).cast("int")),

@@ -14,8 +14,8 @@ from tastegrid.sources.fixtures import with_views
 ORACLE: dict[str, str] = {}
 
 
-def r6(x: str) -> str:
-    return f"CASE WHEN round({x}, 6) = 0 THEN 0.0::DOUBLE ELSE round({x}, 6) END"
+def r7(x: str) -> str:
+    return f"CASE WHEN round({x}, 7) = 0 THEN 0.0::DOUBLE ELSE round({x}, 7) END"
 
 
 def text(x: str) -> str:
@@ -46,7 +46,7 @@ def bayes(source: str = "ratings", name: str = "bayes") -> list[tuple[str, str]]
 
 
 def top(source: str, key: str, item: str, n: int, score: str = "score") -> str:
-    return f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round({score}, 6) DESC, {item}) AS rank
+    return f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round({score}, 7) DESC, {item}) AS rank
                FROM {source} QUALIFY rank <= {n}"""
 
 
@@ -101,7 +101,7 @@ def tag_recs(train: str, users: str, scores: str, n: int, name: str) -> list[tup
         (
             f"{name}_own",
             f"""SELECT userId, kind, tag FROM {name}_means
-                QUALIFY row_number() OVER (PARTITION BY userId, kind ORDER BY round(m, 6) DESC, tag) <= 5""",
+                QUALIFY row_number() OVER (PARTITION BY userId, kind ORDER BY round(m, 7) DESC, tag) <= 5""",
         ),
         (
             f"{name}_default",
@@ -157,9 +157,9 @@ def user_cf(n: int) -> list[tuple[str, str]]:
         (
             "sims",
             """SELECT l, r, s / (x.z * y.z) AS sim FROM dots JOIN len x ON x.userId = l JOIN len y ON y.userId = r
-               WHERE x.z > 0 AND y.z > 0 AND round(s / (x.z * y.z), 6) > 0""",
+               WHERE x.z > 0 AND y.z > 0 AND round(s / (x.z * y.z), 7) > 0""",
         ),
-        ("near", "SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY l ORDER BY round(sim, 6) DESC, r) <= 50"),
+        ("near", "SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY l ORDER BY round(sim, 7) DESC, r) <= 50"),
         (
             "cf_all",
             """SELECT n.l AS userId, d.movieId, any_value(mu.m) + sum(sim * d.d) / sum(sim) AS score
@@ -172,7 +172,7 @@ def user_cf(n: int) -> list[tuple[str, str]]:
         (
             "user_cf",
             f"""SELECT userId, movieId, score, row_number() OVER (PARTITION BY userId
-                    ORDER BY round(score - m, 6) DESC, movieId) AS rank
+                    ORDER BY round(score - m, 7) DESC, movieId) AS rank
                 FROM cf_all JOIN mu USING (userId) QUALIFY rank <= {n}""",
         ),
     ]
@@ -224,7 +224,7 @@ def similar(where: str = "true", n: int = 10) -> list[tuple[str, str]]:
         (
             "cosines",
             f"""SELECT a.movieId, b.movieId AS similarId, sum(a.w * b.w) AS score FROM tw a JOIN tw b
-                ON a.term = b.term AND a.movieId <> b.movieId WHERE {where} GROUP BY ALL HAVING round(sum(a.w * b.w), 6) > 0""",
+                ON a.term = b.term AND a.movieId <> b.movieId WHERE {where} GROUP BY ALL HAVING round(sum(a.w * b.w), 7) > 0""",
         ),
         ("sims", top("cosines", "movieId", "similarId", n)),
     ]
@@ -244,7 +244,7 @@ def profile(n: int) -> list[tuple[str, str]]:
         (
             "prof_all",
             """SELECT p.userId, t.movieId, sum(p.w * t.w) AS score FROM prof p JOIN tw t USING (term)
-               GROUP BY p.userId, t.movieId HAVING round(sum(p.w * t.w), 6) > 0""",
+               GROUP BY p.userId, t.movieId HAVING round(sum(p.w * t.w), 7) > 0""",
         ),
         (
             "prof_new",
@@ -263,7 +263,7 @@ IMPLICIT = (
        FROM interactions WHERE movieId IS NOT NULL GROUP BY ALL HAVING weight IS NOT NULL""",
 )
 
-RECS = f"SELECT userId, rank, movieId, {r6('score')} AS score FROM "
+RECS = f"SELECT userId, rank, movieId, {r7('score')} AS score FROM "
 
 # --- cleaning -------------------------------------------------------------------------------------
 
@@ -274,13 +274,13 @@ add(
     f"""SELECT userId, movieId, CAST(floor("timestamp" / 31557600.0::DOUBLE + 1970) AS BIGINT) AS year,
         CAST(floor(("timestamp"::DOUBLE / (30.44::DOUBLE * 86400)) % 12 + 1) AS BIGINT) AS month,
         CAST(floor(("timestamp"::DOUBLE / 86400) % 7) AS BIGINT) AS day_of_week,
-        {r6('(rating - 0.5) / 4.5')} AS rating_normalized FROM ratings""",
+        {r7('(rating - 0.5) / 4.5')} AS rating_normalized FROM ratings""",
     ("ratings",),
 )
 add(
     "clean_catalog",
     f"""SELECT movieId AS id, title, CASE WHEN budget = 0 THEN NULL ELSE budget END AS budget,
-        CASE WHEN movieId % 13 = 0 THEN NULL ELSE {r6('revenue')} END AS revenue, runtime, year, month,
+        CASE WHEN movieId % 13 = 0 THEN NULL ELSE {r7('revenue')} END AS revenue, runtime, year, month,
         {text('genre_names')} AS genre_names FROM movies
         WHERE movieId % 97 <> 0 AND movieId % 89 <> 0 AND runtime BETWEEN 30 AND 300 AND year BETWEEN 1900 AND 2026""",
     ("movies",),
@@ -315,7 +315,7 @@ add(
     "catalog_zscore",
     "SELECT movieId, "
     + ", ".join(
-        r6(f"({c} - (SELECT avg({c}) FROM movies)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM movies)")
+        r7(f"({c} - (SELECT avg({c}) FROM movies)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM movies)")
         + f" AS {c}_normalized"
         for c in q.Z_COLUMNS
     )
@@ -339,26 +339,26 @@ add(
         {text('keyword_names[1:1]')} AS keyword_names, year FROM catalog""",
     ("catalog",),
 )
-add("vote_popularity", f"SELECT movieId, {r6('vote_average * ln(1 + vote_count)')} AS score FROM movies", ("movies",))
+add("vote_popularity", f"SELECT movieId, {r7('vote_average * ln(1 + vote_count)')} AS score FROM movies", ("movies",))
 
 # --- features -------------------------------------------------------------------------------------
 
 add(
     "user_features",
-    f"""SELECT userId, {r6('avg(rating)')} AS avg_rating, {r6('stddev_samp(rating)')} AS std_rating, count(rating) AS n_ratings,
+    f"""SELECT userId, {r7('avg(rating)')} AS avg_rating, {r7('stddev_samp(rating)')} AS std_rating, count(rating) AS n_ratings,
         min("timestamp") AS first_rating, max("timestamp") AS last_rating,
         CAST(floor((max("timestamp") - min("timestamp")) / 86400) AS BIGINT) AS rating_span_days FROM ratings GROUP BY userId""",
     ("ratings",),
 )
 add(
     "movie_features",
-    f"""SELECT movieId, {r6('avg(rating)')} AS avg_rating, {r6('stddev_samp(rating)')} AS std_rating, count(rating) AS n_ratings,
+    f"""SELECT movieId, {r7('avg(rating)')} AS avg_rating, {r7('stddev_samp(rating)')} AS std_rating, count(rating) AS n_ratings,
         count(DISTINCT userId) AS n_unique_users FROM ratings_raw GROUP BY movieId""",
     ("ratings_raw",),
 )
 add(
     "user_activity",
-    f"""SELECT userId, count(rating) AS n_ratings, {r6('avg(rating)')} AS avg_rating, {r6('stddev_samp(rating)')} AS std_rating,
+    f"""SELECT userId, count(rating) AS n_ratings, {r7('avg(rating)')} AS avg_rating, {r7('stddev_samp(rating)')} AS std_rating,
         min(rating) AS min_rating, max(rating) AS max_rating, count(DISTINCT movieId) AS n_unique_movies,
         max(rating) - min(rating) AS rating_diversity FROM ratings_raw GROUP BY userId""",
     ("ratings_raw",),
@@ -388,15 +388,15 @@ MOVIE_RANKS = [
 ]
 add(
     "movie_popularity",
-    f"""SELECT movieId, n_ratings, {r6('a')} AS avg_rating, {r6('s')} AS std_rating, lo AS min_rating, hi AS max_rating,
-        u AS n_unique_users, {r6('1.0 / (1.0 + coalesce(s, 0))')} AS rating_consistency, popularity_rank, avg_rating_rank FROM ranked""",
+    f"""SELECT movieId, n_ratings, {r7('a')} AS avg_rating, {r7('s')} AS std_rating, lo AS min_rating, hi AS max_rating,
+        u AS n_unique_users, {r7('1.0 / (1.0 + coalesce(s, 0))')} AS rating_consistency, popularity_rank, avg_rating_rank FROM ranked""",
     ("ratings",),
     *MOVIE_RANKS,
 )
 add(
     "bias",
-    f"""SELECT 'user' AS side, userId AS id, {r6('avg(rating) - (SELECT avg(rating) FROM ratings)')} AS bias FROM ratings GROUP BY userId
-        UNION ALL SELECT 'movie', movieId, {r6('avg(rating) - (SELECT avg(rating) FROM ratings)')} FROM ratings GROUP BY movieId""",
+    f"""SELECT 'user' AS side, userId AS id, {r7('avg(rating) - (SELECT avg(rating) FROM ratings)')} AS bias FROM ratings GROUP BY userId
+        UNION ALL SELECT 'movie', movieId, {r7('avg(rating) - (SELECT avg(rating) FROM ratings)')} FROM ratings GROUP BY movieId""",
     ("ratings",),
 )
 add(
@@ -407,24 +407,24 @@ add(
 )
 add(
     "user_engineered",
-    f"""SELECT userId, count(rating) AS n_ratings, {r6('avg(rating)')} AS avg_rating, max(rating) - min(rating) AS rating_diversity,
-        any_value(top_genres) AS top_genres, {r6('avg(rating) - (SELECT avg(rating) FROM ratings)')} AS user_rating_bias
+    f"""SELECT userId, count(rating) AS n_ratings, {r7('avg(rating)')} AS avg_rating, max(rating) - min(rating) AS rating_diversity,
+        any_value(top_genres) AS top_genres, {r7('avg(rating) - (SELECT avg(rating) FROM ratings)')} AS user_rating_bias
         FROM ratings LEFT JOIN favourites USING (userId) GROUP BY userId""",
     ("ratings", "movies"),
     *TOP_GENRES,
 )
 add(
     "movie_engineered",
-    f"""SELECT movieId, n_ratings, {r6('a')} AS avg_rating, popularity_rank, avg_rating_rank, year,
+    f"""SELECT movieId, n_ratings, {r7('a')} AS avg_rating, popularity_rank, avg_rating_rank, year,
         (SELECT max(year) FROM movies) - year AS movie_age_years, year // 10 * 10 AS decade,
-        {r6('a - (SELECT avg(rating) FROM ratings)')} AS movie_rating_bias FROM ranked LEFT JOIN movies USING (movieId)""",
+        {r7('a - (SELECT avg(rating) FROM ratings)')} AS movie_rating_bias FROM ranked LEFT JOIN movies USING (movieId)""",
     ("ratings", "movies"),
     *MOVIE_RANKS,
 )
 PER_MOVIE = ("per_movie", "SELECT movieId, avg(rating) AS m, count(rating) AS c FROM ratings GROUP BY movieId")
 add(
     "genre_stats",
-    f"""SELECT genre, {r6('avg(m)')} AS avg_rating, CAST(sum(c) AS BIGINT) AS n_ratings, {r6('stddev_samp(m)')} AS std_rating,
+    f"""SELECT genre, {r7('avg(m)')} AS avg_rating, CAST(sum(c) AS BIGINT) AS n_ratings, {r7('stddev_samp(m)')} AS std_rating,
         count(*) AS n_movies FROM tags JOIN per_movie USING (movieId) GROUP BY genre""",
     ("ratings", "movies"),
     GENRES,
@@ -432,7 +432,7 @@ add(
 )
 add(
     "keyword_stats",
-    f"""SELECT keyword, {r6('avg(m)')} AS avg_rating, CAST(sum(c) AS BIGINT) AS n_ratings, count(*) AS n_movies
+    f"""SELECT keyword, {r7('avg(m)')} AS avg_rating, CAST(sum(c) AS BIGINT) AS n_ratings, count(*) AS n_movies
         FROM words JOIN per_movie USING (movieId) GROUP BY keyword""",
     ("ratings", "movies"),
     KEYWORDS,
@@ -447,7 +447,7 @@ GAPPY = (
 add(
     "low_variance",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", round(round(var_samp({c}), 2), 6) AS variance, CASE WHEN var_samp({c}) < 0.01 THEN 1 ELSE 0 END::BIGINT AS dropped FROM gappy"
+        f"SELECT '{c}' AS \"column\", round(round(var_samp({c}), 2), 7) AS variance, CASE WHEN var_samp({c}) < 0.01 THEN 1 ELSE 0 END::BIGINT AS dropped FROM gappy"
         for c in ("movieId", "revenue", "runtime", "constant")
     ),
     ("movies",),
@@ -455,7 +455,7 @@ add(
 )
 add(
     "fill_missing",
-    f"""SELECT movieId, {r6('coalesce(revenue, (SELECT median(revenue) FROM gappy))')} AS revenue,
+    f"""SELECT movieId, {r7('coalesce(revenue, (SELECT median(revenue) FROM gappy))')} AS revenue,
         coalesce(runtime, (SELECT median(runtime) FROM gappy)) AS runtime, coalesce(title, 'Unknown') AS title,
         coalesce({text('genre_names')}, 'Unknown') AS genre_names FROM gappy""",
     ("movies",),
@@ -463,8 +463,8 @@ add(
 )
 add(
     "select_features",
-    f"""SELECT userId, count(rating) AS n_ratings, {r6('avg(rating)')} AS avg_rating, count(DISTINCT movieId) AS n_unique_movies,
-        {r6('avg(rating) - (SELECT avg(rating) FROM ratings)')} AS user_rating_bias, max(rating) - min(rating) AS rating_diversity,
+    f"""SELECT userId, count(rating) AS n_ratings, {r7('avg(rating)')} AS avg_rating, count(DISTINCT movieId) AS n_unique_movies,
+        {r7('avg(rating) - (SELECT avg(rating) FROM ratings)')} AS user_rating_bias, max(rating) - min(rating) AS rating_diversity,
         any_value(top_genres) AS top_genres FROM ratings LEFT JOIN favourites USING (userId) GROUP BY userId""",
     ("ratings", "movies"),
     *TOP_GENRES,
@@ -501,12 +501,12 @@ add(
 )
 add(
     "eda_summary",
-    f"""SELECT {r6('avg(rating)')} AS mean, {r6('median(rating)')} AS median, {r6('stddev_samp(rating)')} AS std,
+    f"""SELECT {r7('avg(rating)')} AS mean, {r7('median(rating)')} AS median, {r7('stddev_samp(rating)')} AS std,
         min(rating) AS min, max(rating) AS max, count(*) AS n_ratings, count(DISTINCT userId) AS n_users,
         count(DISTINCT movieId) AS n_movies,
-        {r6('count(*) / (count(DISTINCT userId)::DOUBLE * count(DISTINCT movieId))')} AS density,
-        {r6('1.0 - count(*) / (count(DISTINCT userId)::DOUBLE * count(DISTINCT movieId))')} AS sparsity,
-        {r6('count(*) / count(DISTINCT userId)')} AS ratings_per_user, {r6('count(*) / count(DISTINCT movieId)')} AS ratings_per_movie
+        {r7('count(*) / (count(DISTINCT userId)::DOUBLE * count(DISTINCT movieId))')} AS density,
+        {r7('1.0 - count(*) / (count(DISTINCT userId)::DOUBLE * count(DISTINCT movieId))')} AS sparsity,
+        {r7('count(*) / count(DISTINCT userId)')} AS ratings_per_user, {r7('count(*) / count(DISTINCT movieId)')} AS ratings_per_movie
         FROM ratings""",
     ("ratings",),
 )
@@ -555,20 +555,20 @@ add("cf_filter", "SELECT userId, movieId, rating FROM act", ("ratings",), active
 
 add(
     "bayes_popularity",
-    f"SELECT movieId, n AS n_ratings, {r6('a')} AS avg_rating, {r6('score')} AS score FROM bayes",
+    f"SELECT movieId, n AS n_ratings, {r7('a')} AS avg_rating, {r7('score')} AS score FROM bayes",
     ("ratings",),
     *bayes(),
 )
 add(
     "popularity_pages",
-    f"""SELECT rank, (rank - 1) // 12 + 1 AS page, movieId, {r6('score')} AS score FROM
-        (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, movieId) AS rank FROM bayes)""",
+    f"""SELECT rank, (rank - 1) // 12 + 1 AS page, movieId, {r7('score')} AS score FROM
+        (SELECT *, row_number() OVER (ORDER BY round(score, 7) DESC, movieId) AS rank FROM bayes)""",
     ("ratings",),
     *bayes(),
 )
 add(
     "genre_top",
-    f"""SELECT row_number() OVER (ORDER BY round(score, 6) DESC, movieId) AS rank, movieId, {r6('score')} AS score FROM bayes
+    f"""SELECT row_number() OVER (ORDER BY round(score, 7) DESC, movieId) AS rank, movieId, {r7('score')} AS score FROM bayes
         WHERE movieId IN (SELECT movieId FROM movies WHERE list_has_any(genre_names, ['SMALL', 'red']))""",
     ("ratings", "movies"),
     *bayes(),
@@ -592,9 +592,9 @@ add(
     ),
     (
         "pairs",
-        """SELECT l, r, s / (x.z * y.z) AS sim, row_number() OVER (PARTITION BY l ORDER BY round(s / (x.z * y.z), 6) DESC, r) AS rn
+        """SELECT l, r, s / (x.z * y.z) AS sim, row_number() OVER (PARTITION BY l ORDER BY round(s / (x.z * y.z), 7) DESC, r) AS rn
            FROM dots JOIN len x ON x.movieId = l JOIN len y ON y.movieId = r
-           WHERE x.z > 0 AND y.z > 0 AND round(s / (x.z * y.z), 6) > 0""",
+           WHERE x.z > 0 AND y.z > 0 AND round(s / (x.z * y.z), 7) > 0""",
     ),
     (
         "scored",
@@ -621,7 +621,7 @@ add(
 )
 add(
     "factor_predict",
-    f"""SELECT r.userId, r.movieId, {r6('''CASE WHEN u.vec_id IS NULL THEN 3.0 ELSE 2.5 END::DOUBLE + CASE WHEN u.vec_id IS NULL OR i.vec_id IS NULL
+    f"""SELECT r.userId, r.movieId, {r7('''CASE WHEN u.vec_id IS NULL THEN 3.0 ELSE 2.5 END::DOUBLE + CASE WHEN u.vec_id IS NULL OR i.vec_id IS NULL
         THEN 0 ELSE list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) END''')} AS pred
         FROM ratings r LEFT JOIN embeddings u ON u.vec_id = r.userId AND u.vec_id < 50
         LEFT JOIN embeddings i ON i.vec_id = r.movieId AND i.vec_id >= 50""",
@@ -631,14 +631,14 @@ add(
 # --- text -----------------------------------------------------------------------------------------
 
 add("soup", "SELECT movieId, soup FROM soups", ("catalog",), SOUP)
-add("tfidf", f"SELECT movieId, term, {r6('w')} AS weight FROM tw", ("catalog",), *TFIDF)
-SIMS = f"SELECT movieId, rank, similarId, {r6('score')} AS score FROM sims"
+add("tfidf", f"SELECT movieId, term, {r7('w')} AS weight FROM tw", ("catalog",), *TFIDF)
+SIMS = f"SELECT movieId, rank, similarId, {r7('score')} AS score FROM sims"
 add("similar_items", SIMS, ("catalog",), *TFIDF, *similar())
 add(
     "similar_or_popular",
     SIMS
-    + f""" UNION ALL SELECT u.movieId, b.rank, b.movieId, {r6('b.score')} FROM asked u CROSS JOIN
-        (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, movieId) AS rank FROM bayes QUALIFY rank <= 10) b
+    + f""" UNION ALL SELECT u.movieId, b.rank, b.movieId, {r7('b.score')} FROM asked u CROSS JOIN
+        (SELECT *, row_number() OVER (ORDER BY round(score, 7) DESC, movieId) AS rank FROM bayes QUALIFY rank <= 10) b
         WHERE u.movieId NOT IN (SELECT movieId FROM tw)""",
     ("catalog", "ratings", "interactions", "links"),
     *TFIDF,
@@ -652,7 +652,7 @@ add(
 )
 add(
     "because_you_watched",
-    f"""SELECT s.movieId, rank, similarId, {r6('score')} AS score, m.title AS context, 'Because you watched ' || m.title AS reason
+    f"""SELECT s.movieId, rank, similarId, {r7('score')} AS score, m.title AS context, 'Because you watched ' || m.title AS reason
         FROM sims s JOIN movies m ON m.movieId = s.movieId""",
     ("catalog", "interactions"),
     *TFIDF,
@@ -660,7 +660,7 @@ add(
 )
 add(
     "latest_like_similar",
-    f"SELECT userId, l.movieId, rank, similarId, {r6('score')} AS score FROM latest l JOIN sims s ON s.movieId = l.movieId",
+    f"SELECT userId, l.movieId, rank, similarId, {r7('score')} AS score FROM latest l JOIN sims s ON s.movieId = l.movieId",
     ("catalog", "interactions"),
     *TFIDF,
     (
@@ -684,7 +684,7 @@ def normed(source: str) -> str:
 VOTES = ("votes", "SELECT movieId, vote_average * ln(1 + vote_count) AS score FROM movies")
 add(
     "minmax",
-    f"SELECT userId, component, movieId, {r6('norm')} AS norm FROM scaled",
+    f"SELECT userId, component, movieId, {r7('norm')} AS norm FROM scaled",
     ("ratings", "movies"),
     *bayes(),
     USERS,
@@ -693,8 +693,8 @@ add(
     *popular("votes", "ratings", "users", q.POOL, "voted"),
     (
         "stacked",
-        """SELECT userId, 'popularity' AS component, movieId, score FROM pop
-           UNION ALL SELECT userId, 'votes', movieId, score FROM voted""",
+        """SELECT userId, 'popularity' AS component, movieId, round(score, 7) AS score FROM pop
+           UNION ALL SELECT userId, 'votes', movieId, round(score, 7) FROM voted""",
     ),
     ("scaled", normed("stacked")),
 )
@@ -710,9 +710,9 @@ add(
     *user_cf(q.POOL),
     (
         "stacked",
-        """SELECT userId, 'popularity' AS component, movieId, score FROM pop
-           UNION ALL SELECT userId, 'content', movieId, score FROM profile
-           UNION ALL SELECT userId, 'user_cf', movieId, score FROM user_cf""",
+        """SELECT userId, 'popularity' AS component, movieId, round(score, 7) AS score FROM pop
+           UNION ALL SELECT userId, 'content', movieId, round(score, 7) FROM profile
+           UNION ALL SELECT userId, 'user_cf', movieId, round(score, 7) FROM user_cf""",
     ),
     ("scaled", normed("stacked")),
     (
@@ -826,14 +826,14 @@ def searched(n: int) -> list[tuple[str, str]]:
 
 add(
     "search_titles",
-    f"SELECT query_id, rank, movieId, {r6('score')} AS score FROM best",
+    f"SELECT query_id, rank, movieId, {r7('score')} AS score FROM best",
     ("ratings", "movies", "queries"),
     *bayes(),
     *searched(20),
 )
 add(
     "suggest",
-    f"""SELECT query_id, rank, b.movieId, m.title, {text('m.genre_names[1:2]')} AS genres, {r6('score')} AS score
+    f"""SELECT query_id, rank, b.movieId, m.title, {text('m.genre_names[1:2]')} AS genres, {r7('score')} AS score
         FROM best b JOIN movies m ON m.movieId = b.movieId""",
     ("ratings", "movies", "queries"),
     *bayes(),
@@ -850,13 +850,13 @@ add(
 _F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
 add(
     "eval_global",
-    f"""SELECT {r6('p')} AS precision, {r6('r')} AS recall, {r6(_F1)} AS f1, {r6('h')} AS hit_rate, n AS evaluated_users,
+    f"""SELECT {r7('p')} AS precision, {r7('r')} AS recall, {r7(_F1)} AS f1, {r7('h')} AS hit_rate, n AS evaluated_users,
         CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage, (SELECT count(*) FROM shown)::DOUBLE AS catalog_coverage
         FROM (SELECT avg(hits / 10) AS p, avg(hits / relevant) AS r, sum(hits) / (count(*) * 10) AS h, count(*) AS n FROM per_user)""",
     ("ratings",),
     *SPLIT,
     *bayes("train"),
-    ("shown", "SELECT movieId FROM bayes ORDER BY round(score, 6) DESC, movieId LIMIT 10"),
+    ("shown", "SELECT movieId FROM bayes ORDER BY round(score, 7) DESC, movieId LIMIT 10"),
     (
         "per_user",
         """SELECT userId, count(*) FILTER (movieId IN (SELECT movieId FROM shown)) AS hits, count(*) AS relevant
@@ -890,9 +890,9 @@ PERSONAL = [
     ),
     (
         "metrics",
-        f"""SELECT t.model, {r6('p')} AS precision, {r6('r')} AS recall, {r6(_F1)} AS f1, {r6('h')} AS hit_rate, n AS evaluated_users,
-            {r6('n / (SELECT count(*) FROM picked)')} AS coverage,
-            {r6('s.c / (SELECT count(DISTINCT movieId) FROM test)')} AS catalog_coverage
+        f"""SELECT t.model, {r7('p')} AS precision, {r7('r')} AS recall, {r7(_F1)} AS f1, {r7('h')} AS hit_rate, n AS evaluated_users,
+            {r7('n / (SELECT count(*) FROM picked)')} AS coverage,
+            {r7('s.c / (SELECT count(DISTINCT movieId) FROM test)')} AS catalog_coverage
             FROM totals t JOIN (SELECT model, count(DISTINCT movieId) AS c FROM lists GROUP BY model) s ON s.model = t.model""",
     ),
 ]
@@ -908,10 +908,10 @@ ERRORS = (
     """SELECT sqrt(avg((m - rating) * (m - rating))) AS rmse, avg(abs(m - rating)) AS mae, count(*) AS n FROM test
        JOIN (SELECT userId, avg(rating) AS m FROM train GROUP BY userId) USING (userId)""",
 )
-add("rmse", f"SELECT {r6('rmse')} AS rmse, {r6('mae')} AS mae, n FROM errors", ("ratings",), *SPLIT, ERRORS)
+add("rmse", f"SELECT {r7('rmse')} AS rmse, {r7('mae')} AS mae, n FROM errors", ("ratings",), *SPLIT, ERRORS)
 add(
     "gates",
-    f"""SELECT gate, {r6('value')} AS value, bound::DOUBLE AS bound,
+    f"""SELECT gate, {r7('value')} AS value, bound::DOUBLE AS bound,
         CASE WHEN (gate = 'rmse' AND value < bound) OR (gate <> 'rmse' AND value >= bound) THEN 1 ELSE 0 END::BIGINT AS ok FROM (
         SELECT 'overlap_users' AS gate, (SELECT count(DISTINCT userId) FROM test WHERE userId IN (SELECT userId FROM train))::DOUBLE AS value, 95.0 AS bound
         UNION ALL SELECT 'cf_rows', (SELECT count(*) FROM train), 15000.0 UNION ALL SELECT 'rmse', (SELECT rmse FROM errors), 1.0

@@ -16,7 +16,7 @@ from tastegrid.operators import (
     popularity as pop, search, selection, splits, textmodel,
 )
 from tastegrid.operators.staging import stage
-from tastegrid.sources.fixtures import Views
+from tastegrid.sources.fixtures import StoredViews, Views
 from tastegrid.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +37,15 @@ def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
     return fn
 
 
-def r6(column: str | Column, name: str | None = None) -> Column:
+def model(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+    """A query that reads ratings or items several times and so starts from stored tables."""
+    QUERIES[fn.__name__] = lambda spark, folder: fn(StoredViews(spark, folder))
+    return fn
+
+
+def r7(column: str | Column, name: str | None = None) -> Column:
     col = F.col(column) if isinstance(column, str) else column
-    return F.round(col, 6).alias(name or column)
+    return F.round(col, 7).alias(name or column)
 
 
 def text(column: str) -> Column:
@@ -66,7 +72,7 @@ def user_item(v: Views) -> DataFrame:
 @query
 def ratings_temporal(v: Views) -> DataFrame:
     df = cleaning.rating_time_features(v.ratings)
-    return df.select("userId", "movieId", "year", "month", "day_of_week", r6("rating_normalized"))
+    return df.select("userId", "movieId", "year", "month", "day_of_week", r7("rating_normalized"))
 
 
 def raw_movies(v: Views) -> DataFrame:
@@ -87,7 +93,7 @@ def raw_movies(v: Views) -> DataFrame:
 @query
 def clean_catalog(v: Views) -> DataFrame:
     df = cleaning.clean_movies(raw_movies(v))
-    return df.select("id", "title", "budget", r6("revenue"), "runtime", num("year"), num("month"), text("genre_names"))
+    return df.select("id", "title", "budget", r7("revenue"), "runtime", num("year"), num("month"), text("genre_names"))
 
 
 @query
@@ -157,7 +163,7 @@ Z_COLUMNS = ["runtime", "vote_average", "vote_count", "budget", "revenue"]
 @query
 def catalog_zscore(v: Views) -> DataFrame:
     df = cat.zscores(v.movies, Z_COLUMNS)
-    return df.select("movieId", *[r6(f"{c}_normalized") for c in Z_COLUMNS])
+    return df.select("movieId", *[r7(f"{c}_normalized") for c in Z_COLUMNS])
 
 
 @query
@@ -175,7 +181,7 @@ def display_rows(v: Views) -> DataFrame:
 
 @query
 def vote_popularity(v: Views) -> DataFrame:
-    return cat.vote_popularity(v.movies).select("movieId", r6("score"))
+    return cat.vote_popularity(v.movies).select("movieId", r7("score"))
 
 
 # --- features -------------------------------------------------------------------------------------
@@ -184,21 +190,21 @@ def vote_popularity(v: Views) -> DataFrame:
 @query
 def user_features(v: Views) -> DataFrame:
     return features.user_features(v.ratings).select(
-        "userId", r6("avg_rating"), r6("std_rating"), "n_ratings", "first_rating", "last_rating", "rating_span_days"
+        "userId", r7("avg_rating"), r7("std_rating"), "n_ratings", "first_rating", "last_rating", "rating_span_days"
     )
 
 
 @query
 def movie_features(v: Views) -> DataFrame:
     return features.movie_features(v.ratings_raw).select(
-        "movieId", r6("avg_rating"), r6("std_rating"), "n_ratings", "n_unique_users"
+        "movieId", r7("avg_rating"), r7("std_rating"), "n_ratings", "n_unique_users"
     )
 
 
 @query
 def user_activity(v: Views) -> DataFrame:
     return features.user_activity(v.ratings_raw).select(
-        "userId", "n_ratings", r6("avg_rating"), r6("std_rating"), "min_rating", "max_rating", "n_unique_movies",
+        "userId", "n_ratings", r7("avg_rating"), r7("std_rating"), "min_rating", "max_rating", "n_unique_movies",
         "rating_diversity",
     )
 
@@ -208,18 +214,18 @@ def user_top_genres(v: Views) -> DataFrame:
     return features.user_top_genres(v.ratings, v.movies).select("userId", text("top_genres"))
 
 
-@query
+@model
 def movie_popularity(v: Views) -> DataFrame:
     return features.movie_popularity(v.ratings).select(
-        "movieId", "n_ratings", r6("avg_rating"), r6("std_rating"), "min_rating", "max_rating", "n_unique_users",
-        r6("rating_consistency"), "popularity_rank", "avg_rating_rank",
+        "movieId", "n_ratings", r7("avg_rating"), r7("std_rating"), "min_rating", "max_rating", "n_unique_users",
+        r7("rating_consistency"), "popularity_rank", "avg_rating_rank",
     )
 
 
 @query
 def bias(v: Views) -> DataFrame:
-    users = features.bias(v.ratings, "userId", "bias").select(F.lit("user").alias("side"), F.col("userId").alias("id"), r6("bias"))
-    movies = features.bias(v.ratings, "movieId", "bias").select(F.lit("movie").alias("side"), F.col("movieId").alias("id"), r6("bias"))
+    users = features.bias(v.ratings, "userId", "bias").select(F.lit("user").alias("side"), F.col("userId").alias("id"), r7("bias"))
+    movies = features.bias(v.ratings, "movieId", "bias").select(F.lit("movie").alias("side"), F.col("movieId").alias("id"), r7("bias"))
     return users.unionByName(movies)
 
 
@@ -228,32 +234,32 @@ def temporal_features(v: Views) -> DataFrame:
     return features.release_features(v.movies)
 
 
-@query
+@model
 def user_engineered(v: Views) -> DataFrame:
     return features.engineered_users(v.ratings, v.movies).select(
-        "userId", "n_ratings", r6("avg_rating"), "rating_diversity", text("top_genres"), r6("user_rating_bias")
+        "userId", "n_ratings", r7("avg_rating"), "rating_diversity", text("top_genres"), r7("user_rating_bias")
     )
 
 
-@query
+@model
 def movie_engineered(v: Views) -> DataFrame:
     return features.engineered_movies(v.ratings, v.movies).select(
-        "movieId", "n_ratings", r6("avg_rating"), "popularity_rank", "avg_rating_rank", "year", "movie_age_years",
-        "decade", r6("movie_rating_bias"),
+        "movieId", "n_ratings", r7("avg_rating"), "popularity_rank", "avg_rating_rank", "year", "movie_age_years",
+        "decade", r7("movie_rating_bias"),
     )
 
 
 @query
 def genre_stats(v: Views) -> DataFrame:
     df = features.tag_stats(v.ratings, features.item_tags(v.movies, "genre_names", "genre"), "genre")
-    return df.select("genre", r6("avg_rating"), "n_ratings", r6("std_rating"), "n_movies")
+    return df.select("genre", r7("avg_rating"), "n_ratings", r7("std_rating"), "n_movies")
 
 
 @query
 def keyword_stats(v: Views) -> DataFrame:
     tags = features.item_tags(v.movies, "keyword_names", "keyword")
     return features.tag_stats(v.ratings, tags, "keyword", deviation=False).select(
-        "keyword", r6("avg_rating"), "n_ratings", "n_movies"
+        "keyword", r7("avg_rating"), "n_ratings", "n_movies"
     )
 
 
@@ -273,22 +279,22 @@ def _gappy_movies(v: Views) -> DataFrame:
 @query
 def low_variance(v: Views) -> DataFrame:
     df = selection.variances(_gappy_movies(v))
-    return df.select("column", r6(F.round("variance", 2), "variance"), (F.col("variance") < 0.01).cast("long").alias("dropped"))
+    return df.select("column", r7(F.round("variance", 2), "variance"), (F.col("variance") < 0.01).cast("long").alias("dropped"))
 
 
-@query
+@model
 def fill_missing(v: Views) -> DataFrame:
     df = selection.fill_missing(selection.drop_low_variance(_gappy_movies(v)))
-    return df.select("movieId", r6("revenue"), "runtime", "title", text("genre_names"))
+    return df.select("movieId", r7("revenue"), "runtime", "title", text("genre_names"))
 
 
-@query
+@model
 def select_features(v: Views) -> DataFrame:
     users = features.engineered_users(v.ratings, v.movies)
     movies = features.engineered_movies(v.ratings, v.movies)
     picked, _ = selection.process_features(users, movies)
     return picked.select(
-        "userId", "n_ratings", r6("avg_rating"), "n_unique_movies", r6("user_rating_bias"), "rating_diversity",
+        "userId", "n_ratings", r7("avg_rating"), "n_unique_movies", r7("user_rating_bias"), "rating_diversity",
         text("top_genres"),
     )
 
@@ -336,7 +342,7 @@ def year_histogram(v: Views) -> DataFrame:
 @query
 def eda_summary(v: Views) -> DataFrame:
     df = eda.summary(v.ratings)
-    return df.select(*[r6(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[r7(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # --- splits ---------------------------------------------------------------------------------------
@@ -357,19 +363,19 @@ def split_time(v: Views) -> DataFrame:
     return splits.mark_time_split(v.ratings).select("userId", "movieId", "timestamp", num("is_test"))
 
 
-@query
+@model
 def eval_users(v: Views) -> DataFrame:
     return splits.evaluation_users(*_train_test(v))
 
 
-@query
+@model
 def cf_subset(v: Views) -> DataFrame:
     train, test = _train_test(v)
     users = splits.evaluation_users(train, test)
     return splits.cf_training_subset(train, users, target=CF_TARGET).select("userId", "movieId", "rating")
 
 
-@query
+@model
 def sampled_training(v: Views) -> DataFrame:
     train, test = splits.train_test(stage(splits.mark_time_split(v.ratings), "time-split"))
     late = test.where(F.col("userId") % 7 == 0)
@@ -398,31 +404,31 @@ def cf_filter(v: Views) -> DataFrame:
 
 
 def recs(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*(keys or ("userId",)), "rank", "movieId", r6("score"))
+    return df.select(*(keys or ("userId",)), "rank", "movieId", r7("score"))
 
 
 @query
 def bayes_popularity(v: Views) -> DataFrame:
-    return pop.bayes_popularity(v.ratings).select("movieId", "n_ratings", r6("avg_rating"), r6("score"))
+    return pop.bayes_popularity(v.ratings).select("movieId", "n_ratings", r7("avg_rating"), r7("score"))
 
 
 @query
 def popularity_pages(v: Views) -> DataFrame:
-    return pop.pages(pop.bayes_popularity(v.ratings)).select("rank", "page", "movieId", r6("score"))
+    return pop.pages(pop.bayes_popularity(v.ratings)).select("rank", "page", "movieId", r7("score"))
 
 
 @query
 def genre_top(v: Views) -> DataFrame:
     rows = pop.with_any_tag(pop.bayes_popularity(v.ratings), v.movies, ["SMALL", "red"])
-    return pop.ranked(rows).select("rank", "movieId", r6("score"))
+    return pop.ranked(rows).select("rank", "movieId", r7("score"))
 
 
-@query
+@model
 def pop_recs(v: Views) -> DataFrame:
     return recs(pop.popular_for_users(pop.bayes_popularity(v.ratings), v.users, v.ratings))
 
 
-@query
+@model
 def genre_recs(v: Views) -> DataFrame:
     return recs(content.tag_recommendations(v.ratings, v.movies, pop.bayes_popularity(v.ratings), v.users))
 
@@ -432,29 +438,29 @@ def _user_cf(v: Views, n: int) -> DataFrame:
     return neighbours.user_cf(active, v.users, n=n)
 
 
-@query
+@model
 def user_cf(v: Views) -> DataFrame:
     return recs(_user_cf(v, 10))
 
 
-@query
+@model
 def item_cf(v: Views) -> DataFrame:
     active = features.filter_active(v.ratings, min_movie_ratings=5)
     return recs(neighbours.item_cf(active, v.users))
 
 
-@query
+@model
 def svd_recs(v: Views) -> DataFrame:
     model = factors.fit_svd(features.filter_active(v.ratings), k=SVD_K)
     return recs(factors.factor_top_n(model.users, model.items, v.ratings))
 
 
-@query
+@model
 def svd_grid(v: Views) -> DataFrame:
     return factors.svd_grid(features.filter_active(v.ratings), grid=GRID)
 
 
-@query
+@model
 def svd_fold_in(v: Views) -> DataFrame:
     """Serving form on the rated interactions: ridge, global mean, at least two known items."""
     base = features.filter_active(v.ratings)
@@ -469,13 +475,13 @@ def _rated_once(v: Views) -> DataFrame:
     return interactions.rated_items(v.interactions).groupBy("userId", "movieId").agg(F.max("rating").alias("rating"))
 
 
-@query
+@model
 def als_recs(v: Views) -> DataFrame:
     model = factors.als_factors(factors.fit_als(features.filter_active(v.ratings, min_movie_ratings=1), **ALS_RUN))
     return recs(factors.factor_top_n(model.users, model.items, v.ratings))
 
 
-@query
+@model
 def als_fold_in(v: Views) -> DataFrame:
     model = factors.als_factors(factors.fit_als(features.filter_active(v.ratings, min_movie_ratings=1), **ALS_RUN))
     rated = _rated_once(v)
@@ -496,7 +502,7 @@ def _vector_pairs(v: Views) -> DataFrame:
 @query
 def factor_predict(v: Views) -> DataFrame:
     model = factors.FactorModel(v.user_vectors.withColumn("mean", F.lit(2.5)), v.item_vectors, [])
-    return factors.predict(_vector_pairs(v), model, 3.0).select("userId", "movieId", r6("pred"))
+    return factors.predict(_vector_pairs(v), model, 3.0).select("userId", "movieId", r7("pred"))
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -513,12 +519,12 @@ def _weights(v: Views) -> DataFrame:
 
 @query
 def tfidf(v: Views) -> DataFrame:
-    return textmodel.fit_tfidf(textmodel.feature_soup(v.catalog)).select("movieId", "term", r6("weight"))
+    return textmodel.fit_tfidf(textmodel.feature_soup(v.catalog)).select("movieId", "term", r7("weight"))
 
 
 @query
 def similar_items(v: Views) -> DataFrame:
-    return textmodel.similar_items(_weights(v)).select("movieId", "rank", "similarId", r6("score"))
+    return textmodel.similar_items(_weights(v)).select("movieId", "rank", "similarId", r7("score"))
 
 
 def _asked(v: Views) -> DataFrame:
@@ -527,10 +533,10 @@ def _asked(v: Views) -> DataFrame:
     return touched.unionByName(v.links.where("tmdbId % 40 = 1").select(F.col("tmdbId").alias("movieId"))).distinct()
 
 
-@query
+@model
 def similar_or_popular(v: Views) -> DataFrame:
     df = textmodel.similar_or_popular(_asked(v), _weights(v), pop.bayes_popularity(v.ratings))
-    return df.select("movieId", "rank", "similarId", r6("score"))
+    return df.select("movieId", "rank", "similarId", r7("score"))
 
 
 @query
@@ -539,7 +545,7 @@ def because_you_watched(v: Views) -> DataFrame:
     sims = textmodel.similar_items(_weights(v), of=watched)
     titles = v.movies.select("movieId", F.col("title").alias("context"))
     return sims.join(titles, "movieId").select(
-        "movieId", "rank", "similarId", r6("score"), "context",
+        "movieId", "rank", "similarId", r7("score"), "context",
         F.concat(F.lit("Because you watched "), F.col("context")).alias("reason"),
     )
 
@@ -548,14 +554,14 @@ def because_you_watched(v: Views) -> DataFrame:
 def latest_like_similar(v: Views) -> DataFrame:
     liked = stage(interactions.latest_liked(v.interactions), "latest-likes")
     sims = textmodel.similar_items(_weights(v), of=liked)
-    return liked.join(sims, "movieId").select("userId", "movieId", "rank", "similarId", r6("score"))
+    return liked.join(sims, "movieId").select("userId", "movieId", "rank", "similarId", r7("score"))
 
 
 def _profile(v: Views, n: int) -> DataFrame:
     return textmodel.profile_recommendations(textmodel.liked_items(v.ratings), _weights(v), v.ratings, n=n)
 
 
-@query
+@model
 def profile_recs(v: Views) -> DataFrame:
     return recs(_profile(v, 10))
 
@@ -571,15 +577,15 @@ def _components(v: Views) -> DataFrame:
     )
 
 
-@query
+@model
 def minmax(v: Views) -> DataFrame:
     popular = pop.popular_for_users(pop.bayes_popularity(v.ratings), v.users, v.ratings, n=POOL)
     voted = pop.popular_for_users(cat.vote_popularity(v.movies), v.users, v.ratings, n=POOL)
     long = hybrid.stack_components({"popularity": popular, "votes": voted})
-    return hybrid.minmax(long).select("userId", "component", "movieId", r6("norm"))
+    return hybrid.minmax(long).select("userId", "component", "movieId", r7("norm"))
 
 
-@query
+@model
 def hybrid_recs(v: Views) -> DataFrame:
     counts = v.ratings.groupBy("userId").agg(F.count(F.lit(1)).alias("n_ratings"))
     return recs(hybrid.blend(_components(v), counts, cold_start_ratings=BLEND_COLD_START))
@@ -601,14 +607,14 @@ def strategy(v: Views) -> DataFrame:
     return _assigned(v).select("userId", "rated", "liked", "genres", "strategy", "label")
 
 
-@query
+@model
 def genre_cold_start(v: Views) -> DataFrame:
     tags = features.item_tags(v.movies, "genre_names", "genre")
     seen = interactions.viewed_items(v.interactions)
     return recs(pop.popular_in_genres(pop.bayes_popularity(v.ratings), tags, _wanted_genres(v), seen))
 
 
-@query
+@model
 def served_recs(v: Views) -> DataFrame:
     """The whole serving waterfall for every user."""
     from tastegrid.plans.serving import recommend_all
@@ -616,7 +622,7 @@ def served_recs(v: Views) -> DataFrame:
     df = recommend_all(
         v.users, v.interactions, v.preferences, v.movies, v.ratings, _weights(v), components=SVD_K
     )
-    return df.select("userId", "strategy", "rank", "movieId", r6("score"), "reason")
+    return df.select("userId", "strategy", "rank", "movieId", r7("score"), "reason")
 
 
 @query
@@ -648,15 +654,15 @@ def user_status(v: Views) -> DataFrame:
 # --- search ---------------------------------------------------------------------------------------
 
 
-@query
+@model
 def search_titles(v: Views) -> DataFrame:
     return recs(search.search_titles(v.queries, v.movies, pop.bayes_popularity(v.ratings)), "query_id")
 
 
-@query
+@model
 def suggest(v: Views) -> DataFrame:
     df = search.suggest(v.queries, v.movies, pop.bayes_popularity(v.ratings))
-    return df.select("query_id", "rank", "movieId", "title", text("genres"), r6("score"))
+    return df.select("query_id", "rank", "movieId", "title", text("genres"), r7("score"))
 
 
 @query
@@ -667,13 +673,13 @@ def lookup(v: Views) -> DataFrame:
 # --- evaluation -----------------------------------------------------------------------------------
 
 
-@query
+@model
 def eval_global(v: Views) -> DataFrame:
     train, test = _train_test(v)
-    shown = pop.bayes_popularity(train).orderBy(F.round("score", 6).desc(), "movieId").limit(10)
+    shown = pop.bayes_popularity(train).orderBy(F.round("score", 7).desc(), "movieId").limit(10)
     ranked = shown.select("movieId", F.lit(1).alias("rank"))
     df = evaluation.global_metrics(ranked, test, min_rating=4.0)
-    return df.select(*[F.col(c) if c == "evaluated_users" else r6(c) for c in df.columns])
+    return df.select(*[F.col(c) if c == "evaluated_users" else r7(c) for c in df.columns])
 
 
 def _personal(v: Views) -> DataFrame:
@@ -693,15 +699,15 @@ def _personal(v: Views) -> DataFrame:
 
 
 def _rounded_metrics(df: DataFrame) -> DataFrame:
-    return df.select(*[r6(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[r7(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@query
+@model
 def eval_personal(v: Views) -> DataFrame:
     return _rounded_metrics(_personal(v))
 
 
-@query
+@model
 def compare_models(v: Views) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -717,7 +723,7 @@ def rmse(v: Views) -> DataFrame:
     return _rounded_metrics(evaluation.rating_errors(test.join(users, "userId")))
 
 
-@query
+@model
 def gates(v: Views) -> DataFrame:
     train, test = _train_test(v)
     metrics = _personal(v).where("model = 'popularity'")
@@ -735,7 +741,7 @@ def gates(v: Views) -> DataFrame:
     values = rows[0]
     for row in rows[1:]:
         values = values.unionByName(row)
-    return evaluation.gates(values).select("gate", r6("value"), "bound", num("ok"))
+    return evaluation.gates(values).select("gate", r7("value"), "bound", num("ok"))
 
 
 # --- streams --------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tastegrid.functions.numeric import epoch_seconds
 from tastegrid.operators.cleaning import user_item
+from tastegrid.operators.staging import stage
 from tastegrid.session import tune
 
 # Part types in the order used for onboarding preferences, and the search batch.
@@ -136,6 +137,18 @@ class Views:
         return self.spark.createDataFrame(rows, "query_id long, q string")
 
 
+class StoredViews(Views):
+    """The same views with the rating and item tables written out first, as the layered store holds them."""
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        return stage(super().ratings, "ratings")
+
+    @cached_property
+    def movies(self) -> DataFrame:
+        return stage(super().movies, "movies")
+
+
 def interaction_rows(events: DataFrame) -> DataFrame:
     """Interaction log over the event table; also used on the stream of the same rows."""
     kind, even = F.col("event_type"), F.col("event_id") % 5 == 0
