@@ -261,6 +261,9 @@ def _stream(batches: Iterator[pa.RecordBatch], sums: int) -> Iterator[tuple[int,
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), total]):
             if lo < hi:
                 yield int(p.tile[lo]), int(p.phase[lo]), p, np.arange(lo, hi)
+    if carry is not None:
+        p = _Packed(carry, sums)
+        yield int(p.tile[0]), int(p.phase[0]), p, np.arange(1)
 
 
 def _tiles(sums: int, n: int | None, digits: int, finish: Finish, same: bool):
@@ -276,6 +279,8 @@ def _tiles(sums: int, n: int | None, digits: int, finish: Finish, same: bool):
             if phase == _SETUP:
                 tile.setup(p, records)
             else:
+                if finish is finish_biased:  # rows without any shared column rank the items too
+                    tile.lefts.of(p.ids[p.entries(records[p.kind[records] == _LEFT])])
                 left, right = _pairs(p, records)
                 if len(left):
                     tile.add(p, left, right)
