@@ -26,6 +26,7 @@ from tastegrid.operators.ranking import top_n
 _STEP_PRODUCTS = 2_000_000  # products expanded per step for rare columns
 _DENSE_COLUMNS = 256        # frequent columns multiplied per matrix product
 _DENSE_SHARE = 400          # a column is frequent when its products exceed tile area / this
+_CACHED_CELLS = 1 << 18    # tile cells ranked at a time
 _MIN_BLOCKS = 4
 _TASKS_PER_SLOT = 4         # finer than the slots, so that tiles of uneven cost even out
 
@@ -207,28 +208,36 @@ class _Tile:
                 np.add.at(acc.reshape(-1), cells, lw[li] * rw[ri])
             lo = hi
 
-    def best(self, n: int | None, digits: int, finish: Finish, same: bool) -> pa.RecordBatch:
+    def best(self, n: int | None, digits: int, finish: Finish, same: bool) -> Iterator[pa.RecordBatch]:
+        """Winners of a few rows at a time, so that temporaries stay in the cache."""
         self._fit()
         left_ids, right_ids = self.lefts.ids(), self.rights.ids()
         if not len(left_ids) or not len(right_ids):
-            return _EMPTY
-        acc = [a[: len(left_ids), : len(right_ids)] for a in self.acc]
+            return
         bias = np.array([self.bias.get(r, np.nan) for r in right_ids.tolist()]) if self.bias else np.zeros(len(right_ids))
-        score, valid = finish(acc, bias)
         if not same:
             self.skip.append((left_ids, left_ids))
-        return best_of_tile(score, self.allowed(valid), left_ids, right_ids, n or len(right_ids), digits)
-
-    def allowed(self, valid: np.ndarray, offset: _Places | None = None) -> np.ndarray:
+        li, ri = self.skipped(self.rights)
+        step = max(1, _CACHED_CELLS // len(right_ids))
+        for lo in range(0, len(left_ids), step):
+            hi = min(lo + step, len(left_ids))
+            score, valid = finish([a[lo:hi, : len(right_ids)] for a in self.acc], bias)
+            first, last = np.searchsorted(li, [lo, hi])
+            if first < last:
+                valid = np.array(valid)
+                valid[li[first:last] - lo, ri[first:last]] = False
+            yield best_of_tile(score, valid, left_ids[lo:hi], right_ids, n or len(right_ids), digits)
+
+    def skipped(self, rights: _Places) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column places of the forbidden pairs, sorted by row."""
         if not self.skip:
-            return valid
-        valid = np.array(valid)
-        rights = offset or self.rights
-        for ls, rs in self.skip:
-            li, ri = self.lefts.known(ls), rights.known(rs)
-            both = (li >= 0) & (ri >= 0)
-            valid[li[both], ri[both]] = False
-        return valid
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        li = np.concatenate([self.lefts.known(ls) for ls, _ in self.skip])
+        ri = np.concatenate([rights.known(rs) for _, rs in self.skip])
+        both = (li >= 0) & (ri >= 0)
+        li, ri = li[both], ri[both]
+        order = np.argsort(li, kind="stable")
+        return li[order], ri[order]
 
 
 def _pairs(p: _Packed, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +283,7 @@ def _tiles(sums: int, n: int | None, digits: int, finish: Finish, same: bool):
         for mark, phase, p, records in _stream(batches, sums):
             if mark != key:
                 if tile is not None:
-                    yield tile.best(n, digits, finish, same)
+                    yield from tile.best(n, digits, finish, same)
                 key, tile = mark, _Tile(sums)
             if phase == _SETUP:
                 tile.setup(p, records)
@@ -285,7 +294,7 @@ def _tiles(sums: int, n: int | None, digits: int, finish: Finish, same: bool):
                 if len(left):
                     tile.add(p, left, right)
         if tile is not None:
-            yield tile.best(n, digits, finish, same)
+            yield from tile.best(n, digits, finish, same)
 
     return run
 
@@ -415,7 +424,8 @@ def _chained_tiles(n: int, digits: int, width: int, slice_rows: int):
             score = np.stack(scores, axis=1)
             places = _Places()
             places.of(np.array(docs))
-            valid = tile.allowed(score >= 0.5 * 10.0**-digits, places)
+            valid = score >= 0.5 * 10.0**-digits
+            valid[tile.skipped(places)] = False
             return best_of_tile(score, valid, tile.lefts.ids(), np.array(docs), n, digits)
 
         for mark, phase, p, records in _stream(batches, 1):
