@@ -1,34 +1,38 @@
 """Write an intermediate table once to the shared folder and read it back.
 
 Used where a result is consumed several times, where two branches must see the very same rows, or
-where an iterative job would otherwise grow its lineage. The copy is a plain Parquet table in the
-folder named by ``spark.checkpoint.dir``, so losing executors costs a re-read, never a recompute.
+where an iterative job would otherwise grow its lineage. The copy is a plain Parquet table, so losing
+executors costs a re-read, never a recompute.
+
+The folder is the one named by ``spark.checkpoint.dir``; where a session leaves it unset, a folder inside
+the warehouse takes its place, which all executors share as well. Each session writes below one run
+folder of its own, which is removed when the session's JVM ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_test_root: list[str] = []
+_runs: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if not _test_root:
-        _test_root.append(tempfile.mkdtemp(prefix="tastegrid-"))
-    return _test_root[0]
+    """The run folder of this session's application."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        configured = spark.conf.get("spark.checkpoint.dir", "")
+        parent = configured.rstrip("/") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
+        _runs[app] = f"{parent}/tastegrid-{app}-{uuid4().hex[:8]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_runs[app])
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return _runs[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` as Parquet under the shared folder and return a scan of it."""
+    """Materialise ``df`` as Parquet under the run folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/tastegrid-{name}-{uuid4().hex}"
+    path = f"{stage_root(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
