@@ -3,3 +3,28 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "coalesce(regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+ORACLE["op3_positional"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, w[s : s + 9] AS g, len(w[s : s + 9]) AS n
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(s) WHERE len(w) > 0
+),
+runs AS (
+  SELECT doc_id, s, n, w[s : s + n - 1] AS g
+  FROM d, (SELECT DISTINCT n FROM win) l, unnest(range(1, len(w) - n + 2)) t(s) WHERE len(w) >= n
+),
+hit AS (SELECT doc_id, s, r.n, item_id FROM runs r JOIN win ON r.n = win.n AND r.g = win.g),
+placed AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN placed USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

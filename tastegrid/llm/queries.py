@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import shards, simhash
+from tastegrid.llm import positional, shards, simhash
 from tastegrid.llm.common import table
 
 SHARDS = 40
 
 
+def op3_positional(spark: SparkSession, folder: str) -> DataFrame:
+    return positional.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign(table(spark, folder, "documents"), "doc_id", "text", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
@@ -21,5 +25,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_rendezvous, op10_simhash)
+    f.__name__: f for f in (op3_positional, op7_rendezvous, op10_simhash)
 }
