@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import positional, shards, simhash
+from tastegrid.llm import bpe, positional, shards, simhash
 from tastegrid.llm.common import table
 
 SHARDS = 40
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op3_positional(spark: SparkSession, folder: str) -> DataFrame:
     return positional.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op7_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign(table(spark, folder, "documents"), "doc_id", "text", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
@@ -25,5 +31,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_positional, op7_rendezvous, op10_simhash)
+    f.__name__: f for f in (op3_positional, op4_automaton, op7_rendezvous, op10_simhash)
 }
