@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import bpe, positional, shards, simhash
+from tastegrid.llm import bpe, positional, shards, simhash, token_counts, token_files
 from tastegrid.llm.common import table
+from tastegrid.operators.staging import stage_root
 
 SHARDS = 40
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def op1_elias_fano(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{stage_root(spark)}/token-files-{uuid4().hex}"
+    token_files.write(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), files)
+    return token_files.read(spark, files)
+
+
+def op2_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
 def op3_positional(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,5 +44,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_positional, op4_automaton, op7_rendezvous, op10_simhash)
+    f.__name__: f for f in (op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op7_rendezvous, op10_simhash)
 }
