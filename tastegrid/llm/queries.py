@@ -8,11 +8,19 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import bpe, positional, shards, simhash, token_counts, token_files
+from tastegrid.llm import bpe, hosts, lattice, positional, shards, simhash, token_counts, token_files
 from tastegrid.llm.common import table
 from tastegrid.operators.staging import stage_root
 
 SHARDS = 40
+# The url rules of the contract, as (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
@@ -35,14 +43,22 @@ def op4_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_host_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return hosts.verdicts(table(spark, folder, "pages"), URL_RULES)
+
+
 def op7_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign(table(spark, folder, "documents"), "doc_id", "text", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op8_e8(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op7_rendezvous, op10_simhash)
+    f.__name__: f for f in (op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op6_host_trust, op7_rendezvous, op8_e8, op10_simhash)
 }
