@@ -8,7 +8,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import bpe, hosts, lattice, positional, shards, simhash, token_counts, token_files
+from tastegrid.llm import bpe, hosts, language, lattice, positional, shards, simhash, token_counts, token_files
 from tastegrid.llm.common import table
 from tastegrid.operators.staging import stage_root
 
@@ -43,6 +43,10 @@ def op4_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_bigru(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def op6_host_trust(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.verdicts(table(spark, folder, "pages"), URL_RULES)
 
@@ -60,5 +64,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op6_host_trust, op7_rendezvous, op8_e8, op10_simhash)
+    f.__name__: f for f in (op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op5_bigru, op6_host_trust, op7_rendezvous, op8_e8, op10_simhash)
 }
