@@ -75,6 +75,8 @@ class Adam:
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float, clip: float = 1.0):
         self.weights, self.rate, self.clip, self.step = weights, rate, clip, 0
+        self.held: dict[str, np.ndarray] = {}
+        self.held_size = 0
         self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
         self.square = {k: np.zeros_like(v) for k, v in weights.items()}
 
@@ -89,3 +91,16 @@ class Adam:
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             self.weights[k] -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+
+    def gather(self, grads: dict[str, np.ndarray], size: int, least: int) -> None:
+        """Add up mean gradients of ``size`` examples and update once ``least`` examples are held, so that few examples
+        never make a whole step."""
+        for k, g in grads.items():
+            if k in self.held:
+                self.held[k] += g * np.float32(size)
+            else:
+                self.held[k] = g * np.float32(size)
+        self.held_size += size
+        if self.held_size >= least:
+            self.update({k: g / np.float32(self.held_size) for k, g in self.held.items()})
+            self.held, self.held_size = {}, 0

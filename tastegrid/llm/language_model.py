@@ -34,6 +34,7 @@ END = b""  # no word is empty
 HEAD = 65_536
 WIDTH = 512  # documents that learn side by side
 SPAN = 32  # steps of one backpropagation window
+STEP_TOKENS = 2048  # tokens behind one update of the weights
 FLUSH = 200_000  # distinct words a task holds before it passes their counts on
 BUFFER = 1 << 21  # tokens read before their documents are batched by length
 
@@ -149,7 +150,10 @@ class Model:
         total = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         width = width if step else 8 * width
-        for first in range(0, len(order), width):
+        starts = np.arange(0, len(order), width)
+        if step:  # long and short documents take turns
+            starts = np.random.default_rng(len(docs)).permutation(starts)
+        for first in starts.tolist():
             group = order[first : first + width]
             sizes = np.array([len(docs[i]) for i in group])
             state = np.zeros((self.hidden, len(group)), np.float32)
@@ -172,7 +176,7 @@ class Model:
                     d_states = np.zeros((self.hidden, steps, live), np.float32)
                     d_states[:, valid] = d_chosen
                     back = gru.backward(self.layer, given, kept, d_states.transpose(1, 0, 2))
-                    step.update(out | {f"g.{k}": v for k, v in back.items()})
+                    step.gather(out | {f"g.{k}": v for k, v in back.items()}, chosen.shape[1], STEP_TOKENS)
                 else:
                     logs = self.output(chosen, slots)
                 owner = np.broadcast_to(np.array(group[:live]), valid.shape)[valid]
