@@ -33,6 +33,19 @@ def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, gone: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
+    """Rows of ``df`` whose keys are not in ``gone``; sent to every task only if it has at most ``most`` rows."""
+    return joined(df, broadcast_if(gone.select(*keys), gone.count(), most), keys, "left_anti")
+
+
 def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
     """Cut an Arrow batch of (id, text) into runs of rows of about ``most_bytes`` of text."""
     start, held = 0, 0

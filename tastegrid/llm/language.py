@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.llm import gru
-from tastegrid.llm.common import slices
+from tastegrid.llm.common import fresh, slices
 
 WINDOW = 192
 PIECE = 64
@@ -162,23 +162,37 @@ def train(docs: DataFrame, key: str, text: str, label: str, held_out: Column, pe
     return fit(sample(rows, key, text, label, per_class, cuts))
 
 
-def predict(docs: DataFrame, net: Network, text: str, keep: list[str]) -> DataFrame:
-    """``(*keep, lang_pred, score)`` of every row."""
+def predict(docs: DataFrame, net: Network, text: str, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of every row, its language and that one's probability."""
+    whole_text = fresh(docs, "_whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in slices(batch.select([0, batch.num_columns - 1])):
-                names, scores = judge(net, part.column(1).to_pylist())
-                whole = batch.slice(at, part.num_rows)
+                found, scores = judge(net, part.column(1).to_pylist())
+                rows = batch.slice(at, part.num_rows)
                 at += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [*(whole.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*keep, "lang_pred", "score"],
+                    [*(rows.column(i) for i in range(len(keep))), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*keep, *names],
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
+    return docs.select(*keep, F.col(text).alias(whole_text)).mapInArrow(run, schema)
+
+
+def identified(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", least: float = 0.35
+) -> DataFrame:
+    """The rows whose language is told with a probability of ``least`` or more, with all columns of ``docs``.
+
+    ``und`` rows go. The bar is low, as it only has to catch texts that no language claims.
+    """
+    net = train(docs, key, text, label, remainder(F.col(key), 4) == 2)
+    names = fresh(docs, "_lang"), fresh(docs, "_score")
+    judged = predict(docs, net, text, docs.columns, names)
+    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tastegrid.llm.common import ascii_lower, broadcast_if, joined
+from tastegrid.llm.common import ascii_lower, broadcast_if, fresh, joined, without
 from tastegrid.operators.staging import stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
@@ -100,6 +100,23 @@ def matches(postings: DataFrame, key: str, terms: DataFrame, slop: int = 0) -> D
     return short.union(long)
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, length: int) -> tuple[DataFrame, DataFrame]:
+    wins = stage(windows(benchmark, item, item_text, length), "windows")
+    terms = stage(window_terms(wins), "window-terms")
+    return wins, stage(matches(index(docs, key, text, terms), key, terms), "matches")
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+    length: int = 10,
+) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with all their columns."""
+    mark = fresh(docs, "_text")
+    _, found = _found(docs, benchmark, key, text, item, item_text, length)
+    gone = stage(found.select(key, F.col("_text").alias(mark)).distinct(), "contaminated")
+    return without(docs.withColumn(mark, F.xxhash64(text)), gone, [key, mark]).drop(mark)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     length: int = 10,
@@ -108,9 +125,7 @@ def contamination(
 
     ``length`` is at most 64.
     """
-    wins = stage(windows(benchmark, item, item_text, length), "windows")
-    terms = stage(window_terms(wins), "window-terms")
-    found = stage(matches(index(docs, key, text, terms), key, terms), "matches")
+    wins, found = _found(docs, benchmark, key, text, item, item_text, length)
     hit = (
         found.select(key, "_text", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos"))
         .distinct()

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tastegrid.llm.common import broadcast_if, without
 from tastegrid.llm.graph import components
 from tastegrid.operators.staging import stage
 
@@ -152,3 +153,21 @@ def near_duplicates(
     return marks.join(classes, "fp").select(
         key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_per_group(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, distance: int = 4, segments: int = 3
+) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest id, with all columns of ``docs``.
+
+    Of several rows with that id one stays. Rows without an id can't be told apart and all stay.
+    """
+    found = near_duplicates(docs, key, text, words_per_shingle, distance, segments)
+    gone = stage(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-duplicates")
+    left = without(docs, gone, [key])
+    repeated = stage(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return left
+    again = left.join(broadcast_if(repeated, n, 500_000), key, "left_semi").dropDuplicates([key])
+    return without(left, repeated, [key]).union(again)
