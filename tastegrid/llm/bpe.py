@@ -32,7 +32,7 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-HELD_WORDS = 400_000  # words whose ids a worker keeps; past it the store starts anew
+HELD_WORDS = 800_000  # words whose ids a worker keeps; past it the store starts anew
 
 
 def byte_letters() -> list[str]:
@@ -202,15 +202,27 @@ class Chunks(dict):
 
     def __init__(self, encode, held: int):
         self._encode, self._held = encode, held
+        self._marks: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Unsafe
+        body = piece.rstrip(".,;:!?")
+        if len(body) < len(piece) and body.isalpha():  # letters and closing marks are words of their own
+            return self[body] + self._mark(piece[len(body) :])
         if len(self) >= self._held:
             self.clear()
         self[piece] = got = self._encode(" " + piece)
         return got
 
+    def _mark(self, mark: str) -> bytes:
+        got = self._marks.get(mark)
+        if got is None:
+            got = self._encode(mark)
+            if len(self._marks) < 10_000:
+                self._marks[mark] = got
+        return got
+
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from tastegrid.llm.bpe import HELD_WORDS, Chunks
+from tastegrid.llm.common import broadcast_if
 
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 1 << 16
+FILES_BROADCAST = 500_000  # most files whose starts are sent to every task; of more they are joined by shuffle
 SAMPLE = 64  # ones between two pointers of the select structure
 
 
@@ -164,7 +166,7 @@ def read(spark: SparkSession, source: str, key: str = "doc_id") -> DataFrame:
     files = segments.groupBy("part").agg(F.sum("tokens").alias("_size"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("base"))
-    placed = segments.join(files, "part").select((F.col("base") + F.col("before")).alias("base"), *NAMES[4:], "keys")
+    placed = segments.join(broadcast_if(files, files.count(), FILES_BROADCAST), "part").select((F.col("base") + F.col("before")).alias("base"), *NAMES[4:], "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
