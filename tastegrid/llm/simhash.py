@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tastegrid.llm.common import broadcast_if, without
+from tastegrid.llm.common import broadcast_if, joined, without
 from tastegrid.llm.graph import components
 from tastegrid.operators.staging import stage
 
@@ -169,5 +169,5 @@ def one_per_group(
     n = repeated.count()
     if not n:
         return left
-    again = left.join(broadcast_if(repeated, n, 500_000), key, "left_semi").dropDuplicates([key])
+    again = joined(left, broadcast_if(repeated, n, 500_000), [key], "left_semi").dropDuplicates([key])
     return without(left, repeated, [key]).union(again)
