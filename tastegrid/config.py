@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Params:
+    # Results depend on everything up to the physical section.
     # --- ranking -------------------------------------------------------------
     top_n: int = 10
     score_digits: int = 7          # scores are ranked after rounding, ties go to the lower id
@@ -26,8 +27,9 @@ class Params:
     # --- factors -------------------------------------------------------------
     svd_components: int = 50
     svd_grid: tuple[int, ...] = (20, 50, 100)
-    svd_power_rounds: int = 4
-    svd_oversample: int = 10
+    svd_tolerance: float = 5e-3    # most that a leading singular value may still move in a round
+    svd_max_rounds: int = 200      # not converged by then is an error
+    svd_oversample: int = 10       # at least; the basis is never narrower than 1.5 k
     min_grid_rows: int = 200
     als_rank: int = 100
     als_iterations: int = 20
@@ -55,7 +57,7 @@ class Params:
     eval_users: int = 100
     min_train_ratings: int = 5
     min_test_items: int = 1
-    cf_target_users: int = 5_000
+    cf_target_users: int | None = None  # a number cuts the collaborative training set to that many users
     # --- serving rules -------------------------------------------------------
     min_liked: int = 2
     history_limit: int = 100

@@ -19,11 +19,14 @@ from tastegrid.operators.staging import stage
 
 
 class FactorModel(NamedTuple):
-    """``users``: userId, mean, vec; ``items``: movieId, vec; ``strength``: singular values."""
+    """``users``: userId, mean, vec; ``items``: movieId, vec; ``strength``: singular values; ``moved``: the largest relative
+    change of a kept singular value in the last round; ``rounds``: how many there were."""
 
     users: DataFrame
     items: DataFrame
     strength: list[float]
+    moved: float = 0.0
+    rounds: int = 0
 
 
 # --- small dense algebra on distributed factor tables ---------------------------------------------
@@ -83,19 +86,22 @@ def fit_svd(
     *,
     k: int = DEFAULTS.svd_components,
     oversample: int = DEFAULTS.svd_oversample,
-    rounds: int = DEFAULTS.svd_power_rounds,
+    tolerance: float = DEFAULTS.svd_tolerance,
+    max_rounds: int = DEFAULTS.svd_max_rounds,
     seed: int = DEFAULTS.seed,
 ) -> FactorModel:
     """Truncated SVD of the user-centred ratings (missing = 0) by randomised subspace iteration.
 
-    The matrix stays a long table and both factor sides stay distributed; only width × width Gram
+    Rounds go on until none of the ``k`` leading singular values moves by more than ``tolerance`` of itself; a matrix that
+    has not settled after ``max_rounds`` raises. The basis is half as wide again as ``k``, so directions just behind the
+    kept ones do not hold convergence up. The matrix stays a long table and both factor sides stay distributed; only width × width Gram
     matrices reach the driver. Each half step is written out, so the lineage never grows.
     """
     entries = stage(centred(ratings, "userId", "movieId"), "svd-entries")
     shape = entries.agg(F.countDistinct("userId").alias("u"), F.countDistinct("movieId").alias("i")).first()
     limit = min(shape["u"], shape["i"])
     k = max(1, min(k, limit - 1))
-    width = min(k + oversample, limit)
+    width = min(k + max(oversample, k // 2), limit)
     start = F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
         lambda j: F.xxhash64("movieId", j, F.lit(seed)).cast("double") / float(1 << 63),
@@ -103,10 +109,19 @@ def fit_svd(
     long = entries.select("userId", "movieId", "dev")
     items = stage(entries.select("movieId").distinct().withColumn("vec", start), "svd-start")
     hot_users, hot_items = checked(hot_keys(long, "userId")), checked(hot_keys(long, "movieId"))
-    for _ in range(rounds):
+    before, moved, rounds = np.zeros(k), np.inf, 0
+    while moved > tolerance:
+        if rounds == max_rounds:
+            raise RuntimeError(f"no SVD within {tolerance} after {rounds} rounds: a singular value still moves by {moved:.1e}")
         users = _spread_sum(long, items, "movieId", "userId", width, hot_items)
         raw = stage(_spread_sum(long, users, "userId", "movieId", width, hot_users), "svd-round")
-        items = raw.select("movieId", times("vec", _orthonormal(gram(raw, width))).alias("vec"))
+        square = gram(raw, width)
+        items = raw.select("movieId", times("vec", _orthonormal(square)).alias("vec"))
+        # from the second round on the basis is orthonormal, and these are the values of the squared matrix on it
+        now = np.sqrt(np.sqrt(np.maximum(np.linalg.eigvalsh(square)[::-1][:k], 0.0)))
+        rounds += 1
+        moved = float(np.max(np.abs(now - before) / np.maximum(now, 1e-300))) if now[0] > 0 else 0.0
+        before = now
     items = stage(items, "svd-items")
     users = stage(_spread_sum(long, items, "movieId", "userId", width, hot_items), "svd-users")
     value, vector = np.linalg.eigh(gram(users, width))
@@ -117,6 +132,8 @@ def fit_svd(
         means.join(users.select("userId", times("vec", turn).alias("vec")), "userId"),
         items.select("movieId", times("vec", turn).alias("vec")),
         [float(v) for v in np.sqrt(np.maximum(value[order], 0.0))],
+        moved,
+        rounds,
     )
 
 
@@ -139,7 +156,7 @@ def svd_grid(
     holdout: float = 0.2,
     seed: int = DEFAULTS.seed,
     min_rows: int = DEFAULTS.min_grid_rows,
-    **fit_options: int,
+    **fit_options: float,
 ) -> DataFrame:
     """``(n_components, rmse, mae, best)`` on a seeded hold-out.
 

@@ -80,21 +80,23 @@ def cf_training_subset(
     train: DataFrame,
     forced_users: DataFrame,
     *,
-    target: int = DEFAULTS.cf_target_users,
+    target: int | None = DEFAULTS.cf_target_users,
     min_ratings: int = DEFAULTS.min_ratings,
     seed: int = DEFAULTS.seed,
 ) -> DataFrame:
-    """Rows of the forced users and of a seeded fill of other active users up to ``target`` users."""
+    """Rows of the forced users and of a seeded fill of other active users up to ``target`` users; no target keeps all
+    of them."""
     forced = forced_users.select("userId").distinct()
-    room = max(0, target - forced.count())
+    room = None if target is None else max(0, target - forced.count())
     rows = train.join(forced, "userId", "left_semi")
-    if not room:
+    if room == 0:
         return rows
     others = (
         train.groupBy("userId").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_ratings)
         .join(forced, "userId", "left_anti")
     )
-    return rows.unionByName(train.join(sample_users(others, room, seed), "userId", "left_semi"))
+    fill = others if room is None else sample_users(others, room, seed)
+    return rows.unionByName(train.join(fill, "userId", "left_semi"))
 
 
 def sampled_training(

@@ -461,6 +461,13 @@ add(
     ("movies",),
     GAPPY,
 )
+add(
+    "select_movie_features",
+    f"""SELECT movieId, n_ratings, {r7('a')} AS avg_rating, {r7('coalesce(s, (SELECT median(s) FROM ranked))')} AS std_rating,
+        u AS n_unique_users, {r7('a - (SELECT avg(rating) FROM ratings)')} AS movie_rating_bias, popularity_rank, avg_rating_rank FROM ranked""",
+    ("ratings",),
+    *MOVIE_RANKS,
+)
 add(
     "select_features",
     f"""SELECT userId, count(rating) AS n_ratings, {r7('avg(rating)')} AS avg_rating, count(DISTINCT movieId) AS n_unique_movies,
@@ -538,7 +545,7 @@ add(
 add(
     "sampled_training",
     f"""SELECT userId, movieId, rating FROM timed WHERE is_test = 0 AND userId IN (
-        SELECT userId FROM timed WHERE is_test = 1 AND userId % 7 = 0 UNION ALL
+        SELECT userId FROM timed WHERE is_test = 1 UNION ALL
         (SELECT userId FROM timed WHERE is_test = 0 GROUP BY userId HAVING count(*) >= 5
          ORDER BY md5('42:' || userId), userId LIMIT {q.SAMPLE_SIZE // 100}))""",
     ("ratings",),
@@ -574,6 +581,15 @@ add(
     *bayes(),
 )
 add("pop_recs", RECS + "pop", ("ratings",), *bayes(), USERS, *popular("bayes", "ratings", "users", 10, "pop"))
+add(
+    "enriched_recs",
+    f"""SELECT userId, rank, movieId, {r7('score')} AS score, title, {text('genre_names')} AS genre_names
+        FROM pop JOIN movies USING (movieId) WHERE movieId % 11 <> 0""",
+    ("ratings", "movies"),
+    *bayes(),
+    USERS,
+    *popular("bayes", "ratings", "users", 10, "pop"),
+)
 add("genre_recs", RECS + "tagged", ("ratings", "movies"), *bayes(), USERS, *tag_recs("ratings", "users", "bayes", 10, "tagged"))
 add("user_cf", RECS + "user_cf", ("ratings",), USERS, *user_cf(10))
 add(
@@ -614,8 +630,8 @@ add(
     (),
     (
         "pairs",
-        """SELECT u.vec_id AS userId, i.vec_id AS movieId, list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score
-           FROM embeddings u, embeddings i WHERE u.vec_id < 50 AND i.vec_id >= 50""",
+        """SELECT u.vec_id // 2 AS userId, i.vec_id // 2 AS movieId, list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score
+           FROM embeddings u, embeddings i WHERE u.vec_id % 2 = 0 AND i.vec_id % 2 = 1""",
     ),
     ("best", top("pairs", "userId", "movieId", 10)),
 )
@@ -623,8 +639,9 @@ add(
     "factor_predict",
     f"""SELECT r.userId, r.movieId, {r7('''CASE WHEN u.vec_id IS NULL THEN 3.0 ELSE 2.5 END::DOUBLE + CASE WHEN u.vec_id IS NULL OR i.vec_id IS NULL
         THEN 0 ELSE list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) END''')} AS pred
-        FROM ratings r LEFT JOIN embeddings u ON u.vec_id = r.userId AND u.vec_id < 50
-        LEFT JOIN embeddings i ON i.vec_id = r.movieId AND i.vec_id >= 50""",
+        FROM ratings r
+        LEFT JOIN embeddings u ON r.userId % 7 <> 0 AND u.vec_id = 2 * (r.userId % (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0))
+        LEFT JOIN embeddings i ON r.movieId % 7 <> 0 AND i.vec_id = 2 * (r.movieId % (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 1)) + 1""",
     ("ratings",),
 )
 
@@ -723,7 +740,7 @@ add(
     ),
     (
         "blended",
-        f"""SELECT m.userId, movieId, CASE WHEN coalesce(n, 0) < {q.BLEND_COLD_START}
+        f"""SELECT m.userId, movieId, CASE WHEN coalesce(n, 0) < {q.DEFAULTS.cold_start_ratings}
                 THEN 0.7::DOUBLE * (0.55::DOUBLE * c + 0.45::DOUBLE * f) + 0.3::DOUBLE * p
                 ELSE 0.55::DOUBLE * c + 0.45::DOUBLE * f END AS score
             FROM merged m LEFT JOIN (SELECT userId, count(*) AS n FROM ratings GROUP BY userId) h ON h.userId = m.userId""",

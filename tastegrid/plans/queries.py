@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tastegrid.functions import jsonish
+from tastegrid.config import DEFAULTS
 from tastegrid.operators import (
     catalog as cat, cleaning, content, eda, evaluation, factors, features, hybrid, interactions, neighbours,
     popularity as pop, search, selection, splits, textmodel,
@@ -22,14 +22,11 @@ from tastegrid.streaming import jobs as streams
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Parameters of the registered runs, shared with the SQL checks.
-POOL = 100              # candidates per component in the registered blend
-BLEND_COLD_START = 35   # fixture users have 3 to 90 ratings; this makes about a third of them cold
+POOL = DEFAULTS.pool_size
 CF_TARGET = 200
 SAMPLE_ROWS = 1_000
 SAMPLE_SIZE = 20_000
-SVD_K = 20
-GRID = (5, 10, 20)
-ALS_RUN = {"rank": 10, "iterations": 5}
+SVD_K = DEFAULTS.svd_components
 
 
 def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -299,6 +296,26 @@ def select_features(v: Views) -> DataFrame:
     )
 
 
+@model
+def select_movie_features(v: Views) -> DataFrame:
+    """The movie half; the year columns stay in the operator's output only, as few years give them a low variance."""
+    users = features.engineered_users(v.ratings, v.movies)
+    movies = features.engineered_movies(v.ratings, v.movies)
+    _, picked = selection.process_features(users, movies)
+    return picked.select(
+        "movieId", "n_ratings", r7("avg_rating"), r7("std_rating"), "n_unique_users", r7("movie_rating_bias"), "popularity_rank",
+        "avg_rating_rank",
+    )
+
+
+@model
+def enriched_recs(v: Views) -> DataFrame:
+    """Popular lists with titles and genres, as served."""
+    lists = pop.popular_for_users(pop.bayes_popularity(v.ratings), v.users, v.ratings)
+    df = cat.enrich(lists, v.movies.where("movieId % 11 != 0"))
+    return df.select("userId", "rank", "movieId", r7("score"), "title", text("genre_names"))
+
+
 # --- exploration ----------------------------------------------------------------------------------
 
 
@@ -378,8 +395,7 @@ def cf_subset(v: Views) -> DataFrame:
 @model
 def sampled_training(v: Views) -> DataFrame:
     train, test = splits.train_test(stage(splits.mark_time_split(v.ratings), "time-split"))
-    late = test.where(F.col("userId") % 7 == 0)
-    df = splits.sampled_training(train, late, sample_size=SAMPLE_SIZE)
+    df = splits.sampled_training(train, test, sample_size=SAMPLE_SIZE)
     return df.select("userId", "movieId", "rating")
 
 
@@ -457,7 +473,7 @@ def svd_recs(v: Views) -> DataFrame:
 
 @model
 def svd_grid(v: Views) -> DataFrame:
-    return factors.svd_grid(features.filter_active(v.ratings), grid=GRID)
+    return factors.svd_grid(features.filter_active(v.ratings))
 
 
 @model
@@ -477,15 +493,15 @@ def _rated_once(v: Views) -> DataFrame:
 
 @model
 def als_recs(v: Views) -> DataFrame:
-    model = factors.als_factors(factors.fit_als(features.filter_active(v.ratings, min_movie_ratings=1), **ALS_RUN))
+    model = factors.als_factors(factors.fit_als(features.filter_active(v.ratings, min_movie_ratings=1)))
     return recs(factors.factor_top_n(model.users, model.items, v.ratings))
 
 
 @model
 def als_fold_in(v: Views) -> DataFrame:
-    model = factors.als_factors(factors.fit_als(features.filter_active(v.ratings, min_movie_ratings=1), **ALS_RUN))
+    model = factors.als_factors(factors.fit_als(features.filter_active(v.ratings, min_movie_ratings=1)))
     rated = _rated_once(v)
-    users = factors.fold_in_als(rated, model.items, ALS_RUN["rank"])
+    users = factors.fold_in_als(rated, model.items, DEFAULTS.als_rank)
     return recs(factors.factor_top_n(users, model.items, rated))
 
 
@@ -494,15 +510,22 @@ def factor_topn(v: Views) -> DataFrame:
     return recs(factors.factor_top_n(v.user_vectors, v.item_vectors))
 
 
-def _vector_pairs(v: Views) -> DataFrame:
-    """Rated pairs whose sides may or may not have a vector."""
-    return v.ratings.select("userId", "movieId", "rating")
+@model
+def factor_predict(v: Views) -> DataFrame:
+    """Every rated pair; one user and one item in seven have no vector."""
+    model = factors.FactorModel(
+        _vectors_for(v.users, "userId", v.user_vectors).withColumn("mean", F.lit(2.5)),
+        _vectors_for(v.movies.select("movieId"), "movieId", v.item_vectors),
+        [],
+    )
+    return factors.predict(v.ratings.select("userId", "movieId", "rating"), model, 3.0).select("userId", "movieId", r7("pred"))
 
 
-@query
-def factor_predict(v: Views) -> DataFrame:
-    model = factors.FactorModel(v.user_vectors.withColumn("mean", F.lit(2.5)), v.item_vectors, [])
-    return factors.predict(_vector_pairs(v), model, 3.0).select("userId", "movieId", r7("pred"))
+def _vectors_for(ids: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
+    """The vectors dealt out over all ids in turn, but for ids divisible by seven."""
+    n = vectors.count()
+    picked = ids.where(F.col(key) % 7 != 0).select(key, (F.col(key) % n).alias("_v"))
+    return picked.join(vectors.select(F.col(key).alias("_v"), "vec"), "_v").drop("_v")
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -588,7 +611,7 @@ def minmax(v: Views) -> DataFrame:
 @model
 def hybrid_recs(v: Views) -> DataFrame:
     counts = v.ratings.groupBy("userId").agg(F.count(F.lit(1)).alias("n_ratings"))
-    return recs(hybrid.blend(_components(v), counts, cold_start_ratings=BLEND_COLD_START))
+    return recs(hybrid.blend(_components(v), counts))
 
 
 def _wanted_genres(v: Views) -> DataFrame:

@@ -123,13 +123,13 @@ class Views:
 
     @cached_property
     def user_vectors(self) -> DataFrame:
-        v = self.table("embeddings").where("vec_id < 50")
-        return v.select(F.col("vec_id").alias("userId"), F.lit(0.0).alias("mean"), F.col("embedding").cast("array<double>").alias("vec"))
+        v = self.table("embeddings").where("vec_id % 2 = 0")
+        return v.select(F.floor(F.col("vec_id") / 2).alias("userId"), F.lit(0.0).alias("mean"), F.col("embedding").cast("array<double>").alias("vec"))
 
     @cached_property
     def item_vectors(self) -> DataFrame:
-        v = self.table("embeddings").where("vec_id >= 50")
-        return v.select(F.col("vec_id").alias("movieId"), F.col("embedding").cast("array<double>").alias("vec"))
+        v = self.table("embeddings").where("vec_id % 2 = 1")
+        return v.select(F.floor(F.col("vec_id") / 2).alias("movieId"), F.col("embedding").cast("array<double>").alias("vec"))
 
     @cached_property
     def queries(self) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.operators import content, evaluation, factors, hybrid, interactions, neighbours, popularity as pop, search, textmodel
@@ -22,7 +23,7 @@ def centred(m):
 def test_svd_matches_numpy(frame):
     m, ratings = table(frame)
     dev, mean = centred(m)
-    model = factors.fit_svd(ratings, k=3, rounds=12)
+    model = factors.fit_svd(ratings, k=3, tolerance=1e-10)
     u, s, vt = np.linalg.svd(dev)
     assert np.allclose(model.strength, s[:3], rtol=1e-4)
     left = {r["userId"]: np.array(r["vec"]) for r in model.users.collect()}
@@ -32,6 +33,22 @@ def test_svd_matches_numpy(frame):
     assert {r["userId"]: round(r["mean"], 9) for r in model.users.collect()} == {i: round(v, 9) for i, v in enumerate(mean)}
 
 
+def test_svd_converges_with_a_narrow_basis(spark):
+    """On real ratings the basis is narrower than the matrix, and the subspace has to converge."""
+    from conftest import SMALL
+    from tastegrid.sources.fixtures import Views
+
+    ratings = Views(spark, SMALL).ratings.select("userId", "movieId", "rating")
+    rows = ratings.toPandas()
+    m = rows.pivot(index="userId", columns="movieId", values="rating")
+    dev = m.sub(m.mean(axis=1), axis=0).fillna(0.0).to_numpy()
+    exact = np.linalg.svd(dev, compute_uv=False)
+    model = factors.fit_svd(ratings, k=5, oversample=60, tolerance=1e-9)
+    assert np.allclose(model.strength, exact[:5], rtol=1e-6) and model.moved <= 1e-9 and model.rounds > 2
+    with pytest.raises(RuntimeError):
+        factors.fit_svd(ratings, k=5, tolerance=1e-12, max_rounds=3)
+
+
 def _items(frame, k=4, n=9):
     v = RNG.normal(size=(n, k))
     return v, frame([(i, r.tolist()) for i, r in enumerate(v)], "movieId long, vec array<double>")
