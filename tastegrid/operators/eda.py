@@ -26,9 +26,14 @@ def top_movies(ratings: DataFrame, catalog: DataFrame, n: int = 20) -> DataFrame
 
 
 def titled_ratings(ratings: DataFrame, links: DataFrame, movies: DataFrame) -> DataFrame:
-    """Ratings ⟕ links ⟕ movies by tmdb id, for charts that show titles."""
+    """Ratings ⟕ links ⟕ movies by tmdb id, for charts that show titles.
+
+    Ratings without a tmdb id meet nothing; a second key deals them out over many tasks.
+    """
     by_link = ratings.join(links.select("movieId", "tmdbId"), "movieId", "left")
-    return by_link.join(movies.select(F.col("id").alias("tmdbId"), "title"), "tmdbId", "left")
+    dealt = F.when(F.col("tmdbId").isNull(), F.pmod(F.xxhash64("userId", "movieId"), F.lit(4096))).otherwise(0)
+    titles = movies.select(F.col("id").alias("tmdbId"), "title", F.lit(0).cast("long").alias("_dealt"))
+    return by_link.withColumn("_dealt", dealt.cast("long")).join(titles, ["tmdbId", "_dealt"], "left").drop("_dealt")
 
 
 def ratings_by_year(ratings: DataFrame) -> DataFrame:

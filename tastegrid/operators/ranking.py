@@ -64,6 +64,9 @@ def running_total(df: DataFrame, order: list[Column], amount: str, out: str) ->
     )
 
 
+RANKS_BROADCAST = 1_000_000  # most distinct values that are sent to every task
+
+
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Descending rank with ties sharing their mean place; nulls stay unranked.
 
@@ -72,6 +75,9 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_ties"))
     placed = running_total(counts, [F.col(column).desc()], "_ties", "_above")
     ranks = placed.select(column, (F.col("_above") + (F.col("_ties") + 1) / 2.0).cast("double").alias(out))
+    ranks = stage(ranks, "ranks")
+    if ranks.count() <= RANKS_BROADCAST:  # a value that most rows share then meets its rank without a shuffle
+        ranks = F.broadcast(ranks)
     return df.join(ranks, column, "left")
 
 

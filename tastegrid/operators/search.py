@@ -37,6 +37,9 @@ def _key(needle: Column) -> Column:
     return F.substring(needle, 1, max(_GRAM_SIZES))
 
 
+KEYS_BROADCAST = 500_000  # most asked keys that are sent to every task; of more both sides are shuffled
+
+
 def _candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct ``(query_id, movieId)`` that may match, by equal keys instead of a product.
 
@@ -60,7 +63,10 @@ def _candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
         keys = F.concat(*[grams(F.col(column), size) for size in _GRAM_SIZES])
         part = items.select("movieId", F.lit(field).alias("field"), F.explode(keys).alias("key"))
         parts = part if parts is None else parts.unionByName(part)
-    return wanted.join(parts, ["field", "key"]).select("query_id", "movieId").distinct()
+    wanted = stage(wanted, "search-keys")
+    if wanted.count() <= KEYS_BROADCAST:  # then no gram leaves its task unless somebody asks for it
+        wanted = F.broadcast(wanted)
+    return parts.join(wanted, ["field", "key"]).select("query_id", "movieId").distinct()
 
 
 def search_titles(

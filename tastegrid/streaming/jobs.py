@@ -56,10 +56,8 @@ def compact_weights(spark: SparkSession, path: str, target: str) -> None:
     read_weights(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
-def keep_counts(
-    events: DataFrame, path: str, checkpoint: str, *, cold_start: int = DEFAULTS.cold_start_ratings
-) -> StreamingQuery:
-    """Running event and rating counts per user; the strategy follows from them."""
+def keep_counts(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running event and rating counts per user; readers decide what is enough."""
     rated = F.count(F.when(F.col("rating").isNotNull() & F.col("movieId").isNotNull(), 1))
     counts = events.groupBy("userId").agg(F.count(F.lit(1)).alias("n_interactions"), rated.alias("n_rated"))
     return _per_batch(counts, path, checkpoint, "update")
