@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +73,23 @@ def _segments(n: int) -> list[list[int]]:
     return [list(range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
 
 
+def cheapest_segments(fingerprints: int, distance: int) -> int:
+    """The number of segments with the least work: asked values, and stored fingerprints met by each of them."""
+
+    def work(n: int) -> float:
+        width, radius = 64 // n, distance // n
+        ball = sum(comb(width, r) for r in range(radius + 1))
+        return fingerprints * n * ball * (1 + 0.1 * fingerprints / 2.0**width)
+
+    # narrow segments meet too much, the more so as their values are not even
+    usable = [n for n in range(1, distance + 2) if fingerprints <= 16 * 2.0 ** (64 // n)]
+    return min(usable or [1], key=work)
+
+
 def links(found: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
     """Pairs ``(a, b)`` of representatives of ``found (rep, fp)`` whose fingerprints differ in 1 to ``distance`` bits.
 
-    ``found`` holds each fingerprint once.
+    ``found`` holds each fingerprint once, a representative possibly several times; its fingerprints do not link.
     """
     runs, radius = _segments(segments), distance // segments
     masks = [_signed(sum(1 << b for b in bits)) for bits in runs]
@@ -124,16 +138,29 @@ def links(found: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         .join(
             stored.alias("r"),
             (F.col("l.seg") == F.col("r.seg")) & (F.col("l.at") == F.col("r.at"))
-            & (F.bit_count(apart) <= distance) & once & first,
+            & (F.bit_count(apart) <= distance) & once & first & (F.col("a") != F.col("b")),
         )
         .select("a", "b")
     )
 
 
+def _classes(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` of ``found (rep, fp)`` joined up by ``edges`` of representatives."""
+    roots = components(edges)
+    joined_up = found.join(roots, found["rep"] == roots["node"], "left")
+    return joined_up.select("fp", F.coalesce("root", "rep").alias("component_id"))
+
+
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, distance: int = 4, segments: int = 3
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, distance: int = 4,
+    segments: int | None = 3, ring: int | None = None,
 ) -> DataFrame:
-    """``(key, fingerprint, component_id)``: hex fingerprint and the smallest id reachable over links."""
+    """``(key, fingerprint, component_id)``: hex fingerprint and the smallest id reachable over links.
+
+    With ``ring``, links within that many bits are contracted first, and the full distance is searched between what is
+    left. That gives the same components, and a group of near copies never yields the square of its size in links.
+    Without ``segments`` their number follows from the count of fingerprints; it doesn't change the result.
+    """
     marks = stage(fingerprints(docs, key, text, words_per_shingle), "simhash")
     # copies are one row each from here on; a null id never represents its fingerprint
     found = stage(marks.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-distinct")
@@ -145,24 +172,26 @@ def near_duplicates(
         .join(usable, "fp")
         .select(F.col(key).cast("long").alias("a"), F.col("rep").cast("long").alias("b"))
     )
-    roots = components(links(usable, distance, segments).union(ties))
-    classes = (
-        found.join(roots, found["rep"] == roots["node"], "left")
-        .select(F.col("fp"), F.coalesce("root", "rep").alias("component_id"))
-    )
+    n = usable.count() if segments is None else 0
+    cut = lambda d: segments or cheapest_segments(n, d)
+    first = distance if ring is None else min(ring, distance)
+    classes = _classes(found, links(usable, first, cut(first)).union(ties))
+    if first < distance:
+        classes = stage(classes, "simhash-ring")
+        left = classes.where("component_id is not null").withColumnRenamed("component_id", "rep")
+        classes = _classes(classes.withColumnRenamed("component_id", "rep"), links(left, distance, cut(distance)))
     return marks.join(classes, "fp").select(
         key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def one_per_group(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, distance: int = 4, segments: int = 3
-) -> DataFrame:
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int | None) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id, with all columns of ``docs``.
 
-    Of several rows with that id one stays. Rows without an id can't be told apart and all stay.
+    Of several rows with that id one stays. Rows without an id can't be told apart and all stay. The options are those
+    of :func:`near_duplicates`.
     """
-    found = near_duplicates(docs, key, text, words_per_shingle, distance, segments)
+    found = near_duplicates(docs, key, text, **options)
     gone = stage(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-duplicates")
     left = without(docs, gone, [key])
     repeated = stage(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated-ids")

@@ -54,10 +54,10 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("distance, segments, k", [(4, 3, 4), (4, 2, 4), (1, 3, 5), (6, 4, 4)])
-def test_simhash(frame, near_texts, distance, segments, k):
+@pytest.mark.parametrize("distance, segments, ring, k", [(4, 3, None, 4), (4, 2, None, 4), (1, 3, None, 5), (7, None, 4, 5), (6, 4, 2, 4)])
+def test_simhash(frame, near_texts, distance, segments, ring, k):
     rows = [(0, i, t, "x") for i, t in near_texts.items()]
-    got = simhash.near_duplicates(frame(rows + rows[:3], DOCS), words_per_shingle=k, distance=distance, segments=segments).toPandas()
+    got = simhash.near_duplicates(frame(rows + rows[:3], DOCS), words_per_shingle=k, distance=distance, segments=segments, ring=ring).toPandas()
     assert len(got) == len(rows) + 3 and list(got.columns) == ["doc_id", "fingerprint", "component_id"]
     fp = {i: brute_fingerprint(t, k) for i, t in near_texts.items()}
     pairs = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= distance]
@@ -74,6 +74,11 @@ def test_simhash_odd_ids(frame):
     assert simhash.near_duplicates(frame([], DOCS)).count() == 0
 
 
+def test_segment_count():
+    assert simhash.cheapest_segments(200_000, 4) == 3 and simhash.cheapest_segments(200_000, 7) == 4
+    assert simhash.cheapest_segments(10**9, 7) < 4
+
+
 def test_links_come_once(frame, near_texts):
     fps = sorted({brute_fingerprint(t, 4) for t in near_texts.values()})
     found = frame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "rep long, fp long")
