@@ -18,7 +18,7 @@ and the model is as it was initialised; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log, log10
 
 import numpy as np
@@ -31,7 +31,7 @@ from tastegrid.llm import gru
 from tastegrid.operators.staging import stage
 
 END = b""  # no word is empty
-HEAD = 65_536
+HEAD = 65_536  # most words whose counts every task holds
 WIDTH = 512  # documents that learn side by side
 SPAN = 32  # steps of one backpropagation window
 STEP_TOKENS = 2048  # tokens behind one update of the weights
@@ -185,36 +185,66 @@ class Model:
         return total
 
 
+class _Places(dict):
+    """Word to its place in the head; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Counts:
     """What every task knows of the corpus: totals, the head's counts and the vocabulary."""
 
     def __init__(self, head: list, total: int, distinct: int, vocabulary: int):
+        found = {r[0].encode(): r[1] for r in head}
+        end = self.end = found.pop(END, 0)
+        ranked = sorted(found.items(), key=lambda x: (-x[1], x[0]))
+        inside = min(len(ranked), vocabulary - 2)
         self.total, self.distinct = total, distinct
-        self.head = {r[0].encode(): r[1] for r in head}
-        end = self.head.get(END, 0)
-        chosen = [w for w in self.head if w != END][: vocabulary - 2]
-        self.symbol = {w: i + 2 for i, w in enumerate(chosen)}
-        known = sum(self.head[w] for w in chosen) + end
-        self.rest = total - known  # tokens outside the vocabulary
-        outside = distinct - len(chosen) - (1 if end else 0)
+        self.place = _Places({w: i for i, (w, _) in enumerate(ranked)})
+        counts = np.array([c for _, c in ranked], np.float64)
+        # the last entry stands for words outside the head
+        self.symbol = np.ones(len(ranked) + 1, np.int32)
+        self.symbol[:inside] = np.arange(2, inside + 2)
+        self.log = np.append(np.log10(counts + 0.5), 0.0)
+        self.rest = total - int(counts[:inside].sum()) - end  # tokens outside the vocabulary
+        outside = distinct - inside - (1 if end else 0)
         self.base_log = log10(total + 0.5 * (distinct + 1))
         self.rest_log = log10(self.rest + 0.5 * (outside + 1))
-        self.start = np.array([end, self.rest, *(self.head[w] for w in chosen)], np.float64)
+        self.start = np.array([end, self.rest, *counts[:inside]], np.float64)
+
+    def places(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, found), np.int32, len(found))
 
     def symbols(self, found: list[bytes]) -> np.ndarray:
-        get = self.symbol.get
-        return np.array([*(get(w, 1) for w in found), 0], np.int32)
+        return np.append(self.symbol[self.places(found)], np.int32(0))
+
+
+def head_words(counts: DataFrame, most: int) -> list:
+    """``(word, c)`` of the end mark and of the most frequent words.
+
+    The words are those of at least the least count, on a ladder of counts, that at most ``most`` words reach; so the
+    driver never receives more than that, whatever the number of partitions.
+    """
+    ladder, t = [], 1
+    while t < 1 << 50:
+        ladder.append(t)
+        t = max(t + 1, int(t * 1.4))
+    real = counts.where("word != ''")
+    reach = real.agg(*(F.count_if(F.col("c") >= t) for t in ladder)).first()
+    least = next((t for t, n in zip(ladder, reach) if n <= most), ladder[-1])
+    return counts.where((F.col("word") == "") | (F.col("c") >= least)).collect()
 
 
-def buffers(batches: Iterator[pa.RecordBatch], column: int, known: Counts) -> Iterator[list[tuple]]:
-    """Documents as ``(words, symbols, other values of the row)`` in runs of about ``BUFFER`` tokens."""
+def buffers(batches: Iterator[pa.RecordBatch], column: int, digest: Callable[[list[bytes]], tuple]) -> Iterator[list[tuple]]:
+    """Documents as ``(symbols, …)`` by ``digest``, each with the row's other values at the end, in runs of about
+    ``BUFFER`` tokens. Words are not kept."""
     held, size = [], 0
     for batch in batches:
         others = [batch.column(i).to_pylist() for i in range(batch.num_columns) if i != column]
         for i, value in enumerate(batch.column(column)):
-            found = words(value.as_py())
-            held.append((found, known.symbols(found), [x[i] for x in others]))
-            size += len(found) + 1
+            held.append((*digest(words(value.as_py())), [x[i] for x in others]))
+            size += len(held[-1][0])
             if size >= BUFFER:
                 yield held
                 held, size = [], 0
@@ -249,11 +279,10 @@ def fit(
     sample_tokens: int, rate: float, seed: int = 5,
 ) -> tuple[Model, Counts]:
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.where("word = ''").collect() + counts.where("word != ''").orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-    known = Counts(head, totals[0], totals[1], vocabulary)
+    known = Counts(head_words(counts, HEAD), totals[0], totals[1], vocabulary)
     model = Model(known.start, hidden, per_class, seed)
     # the sample: pieces of at most 256 words from documents chosen by hash, one of the pieces of each
-    ends = known.head.get(END, 0)
+    ends = known.end
     wanted = sample_tokens // 256
     place = F.pmod(F.xxhash64(F.lit("lm"), F.col(key), F.length(text)), F.lit(1 << 20))
     share = min(1 << 20, -(-(1 << 20) * 2 * wanted // max(1, ends)))
@@ -281,9 +310,9 @@ def fit(
         own = Model(known.start, hidden, per_class, seed)
         own.load(start)
         step, seen = gru.Adam(own.weights, rate / 4), 0
-        for held in buffers(batches, 0, known):
-            own.run([x[1] for x in held], step)
-            seen += sum(len(x[1]) for x in held)
+        for held in buffers(batches, 0, lambda found: (known.symbols(found),)):
+            own.run([x[0] for x in held], step)
+            seen += sum(len(x[0]) for x in held)
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([seen], pa.int64()), pa.array([own.vector().tobytes()], pa.binary())], names=["tokens", "weights"]
@@ -310,19 +339,24 @@ def scores(
         own = Model(known.start, hidden, per_class, 0)
         own.load(vector)
         row = TaskContext.get().partitionId() << 36
-        logs = {w: log10(c + 0.5) for w, c in known.head.items()}
-        end_log = log10(known.head.get(END, 0) + 0.5)
-        for held in buffers(batches, 1, known):
-            found = own.run([x[1] for x in held]) / log(10)
+        end_log = log10(known.end + 0.5)
+
+        def digest(found: list[bytes]) -> tuple:
+            """Symbols, words in the head, sum of their count logs, of those outside the vocabulary, their number, tail."""
+            at = known.places(found)
+            ids, logs = known.symbol[at], known.log[at]
+            outside = np.flatnonzero(at < 0)
+            tail = Counter(found[i] for i in outside.tolist())
+            rest = ids == 1
+            return np.append(ids, np.int32(0)), len(found) - len(outside), float(logs.sum()), float(logs[rest].sum()), int(rest.sum()), tail
+
+        for held in buffers(batches, 1, digest):
+            found = own.run([x[0] for x in held]) / log(10)
             out: list[list] = [[] for _ in range(6)]
-            for (ws, ids, _), p in zip(held, found.tolist()):
-                near, rest = [logs.get(w) for w in ws], (ids[:-1] == 1).tolist()
-                tail = Counter(w for w, x in zip(ws, near) if x is None)
-                in_head = [x for x in near if x is not None]
-                rest_sum = sum(x for x, r in zip(near, rest) if r and x is not None)
+            for (ids, n_head, head_sum, rest_sum, n_rest, tail, _), p in zip(held, found.tolist()):
                 values = (
-                    row, len(ids), len(in_head) + (END in known.head), sum(in_head) + end_log,
-                    p + rest_sum - sum(rest) * known.rest_log, [{"word": w, "n": n} for w, n in tail.items()],
+                    row, len(ids), n_head + (known.end > 0), head_sum + end_log, p + rest_sum - n_rest * known.rest_log,
+                    [{"word": w, "n": n} for w, n in tail.items()],
                 )
                 for column, v in zip(out, values):
                     column.append(v)
@@ -331,8 +365,8 @@ def scores(
             tails = pa.array(out[5], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x[2][0] for x in held], key_type),
-                    pa.array([x[2][1] for x in held], pa.bool_()),
+                    pa.array([x[-1][0] for x in held], key_type),
+                    pa.array([x[-1][1] for x in held], pa.bool_()),
                     *(pa.array(c, t) for c, t in zip(out, kinds)),
                     tails.cast(pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
                 ],
