@@ -640,11 +640,10 @@ def genre_cold_start(v: Views) -> DataFrame:
 @model
 def served_recs(v: Views) -> DataFrame:
     """The whole serving waterfall for every user."""
-    from tastegrid.plans.serving import recommend_all
+    from tastegrid.plans.serving import fit_models, recommend_all
 
-    df = recommend_all(
-        v.users, v.interactions, v.preferences, v.movies, v.ratings, _weights(v), components=SVD_K
-    )
+    models = fit_models(v.ratings, _weights(v), components=SVD_K)
+    df = recommend_all(v.users, v.interactions, v.preferences, v.movies, models)
     return df.select("userId", "strategy", "rank", "movieId", r7("score"), "reason")
 
 
