@@ -32,7 +32,7 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-HELD_WORDS = 800_000  # words whose ids a worker keeps; past it the store starts anew
+HELD_WORDS = 450_000  # words whose ids a worker keeps in each of its two stores
 
 
 def byte_letters() -> list[str]:
@@ -197,22 +197,31 @@ class Chunks(dict):
     """Encoded pieces between single spaces, by piece; a piece stands for itself with one space before it.
 
     Pre-split words never go on past a space that has no white space around it, so the pieces between such spaces
-    encode on their own. A text with other white space next to a space is encoded whole.
+    encode on their own. A text with other white space next to a space is encoded whole. A full store becomes the older
+    one, from which pieces that come again are taken back, so frequent pieces stay.
     """
 
     def __init__(self, encode, held: int):
         self._encode, self._held = encode, held
         self._marks: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
-        body = piece.rstrip(".,;:!?")
-        if len(body) < len(piece) and body.isalpha():  # letters and closing marks are words of their own
-            return self[body] + self._mark(piece[len(body) :])
+        got = self._older.get(piece)
+        if got is None:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise _Unsafe
+            body = piece.rstrip(".,;:!?")
+            if len(body) < len(piece) and body.isalpha():  # letters and closing marks are words of their own
+                got = self[body] + self._mark(piece[len(body) :])
+                if len(piece) > 6:  # short ones come again and again; long ones would crowd the store
+                    return got
+            else:
+                got = self._encode(" " + piece)
         if len(self) >= self._held:
+            self._older = dict(self)
             self.clear()
-        self[piece] = got = self._encode(" " + piece)
+        self[piece] = got
         return got
 
     def _mark(self, mark: str) -> bytes:
