@@ -51,26 +51,32 @@ def host_links(pages: DataFrame, html: str) -> DataFrame:
     found = pages.where("host != ''").select("host", F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("to"))
     near = F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))
     far = F.when(near.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), host_of(near)).otherwise(F.col("host"))
-    return found.select(F.col("host").alias("src"), far.alias("dst")).where("dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ends = found.select(F.col("host").alias("src"), far.alias("dst")).where("dst != ''")
+    return ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def spread(seeds: DataFrame, links: DataFrame, damping: float, tolerance: float, rounds: int) -> DataFrame:
     """``(host, trust, distrust)`` from ``seeds (host, trust, distrust)``; stops when no value moves by ``tolerance``."""
-    total_out = links.groupBy("src").agg(F.sum("n").alias("all"))
-    total_in = links.groupBy("dst").agg(F.sum("n").alias("all"))
-    forward = links.join(total_out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("share"))
-    back = links.join(total_in, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("share"))
-    arcs = stage(forward.union(back), "host-arcs")
+
+    def arcs_of(kind: str, begin: str, end: str) -> DataFrame:
+        """Arcs along which ``kind`` moves, each with its share of all links at its beginning."""
+        total = links.groupBy(begin).agg(F.sum("n").alias("all"))
+        share = (F.col("n") / F.col("all")).alias("share")
+        return links.join(total, begin).select(F.lit(kind).alias("kind"), F.col(begin).alias("host"), F.col(end).alias("to"), share)
+
+    arcs = stage(arcs_of("trust", "src", "dst").union(arcs_of("distrust", "dst", "src")), "host-arcs")
     start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)"))
     start = stage(start.where("seed > 0"), "host-seeds")
     now = start.select("kind", "host", F.col("seed").alias("x"))
     kept = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("x"))
     for _ in range(0, rounds, STEPS):
-        was = now
         for _ in range(STEPS):
-            moved = arcs.join(now, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("x") * F.col("share") * damping).alias("x"))
-            before, now = now, moved.union(kept).groupBy("kind", "host").agg(F.sum("x").alias("x"))
-        now = stage(now.join(before.withColumnRenamed("x", "old"), ["kind", "host"], "full").withColumns({"x": F.coalesce("x", F.lit(0.0)), "moved": F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))}), "host-scores")
+            step = arcs.join(now, ["kind", "host"])
+            moved = step.select("kind", F.col("to").alias("host"), (F.col("x") * F.col("share") * damping).alias("x"))
+            was, now = now, moved.union(kept).groupBy("kind", "host").agg(F.sum("x").alias("x"))
+        both = now.join(was.withColumnRenamed("x", "old"), ["kind", "host"], "full")
+        x, old = F.coalesce("x", F.lit(0.0)), F.coalesce("old", F.lit(0.0))
+        now = stage(both.select("kind", "host", x.alias("x"), F.abs(x - old).alias("moved")), "host-scores")
         change = now.agg(F.max("moved")).first()[0] or 0.0
         now = now.select("kind", "host", "x")
         if change < tolerance:
