@@ -45,3 +45,57 @@ FROM embeddings e
 LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id
 JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = e.vec_id
 """
+
+# Links are followed a hundred times; scores are compared to five digits.
+ORACLE["op6_host_trust"] = r"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+),
+named AS (
+  SELECT page_id, html,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut
+),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+site AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS by_rule
+  FROM (SELECT DISTINCT host, path FROM named) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY host, path
+),
+judged AS (SELECT named.*, rule, by_rule FROM named LEFT JOIN site USING (host, path)),
+seed AS (
+  SELECT kind, host, CASE kind WHEN 'trust' THEN good ELSE bad END AS s
+  FROM (SELECT host, count(*) FILTER (by_rule = 'allow') / count(*) AS good, count(*) FILTER (by_rule = 'block') / count(*) AS bad
+        FROM judged WHERE host != '' GROUP BY host), (VALUES ('trust'), ('distrust')) k(kind)
+),
+refs AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\shref\s*=\s*["'']?\s*([^"''\s>]+)', 1)) AS t FROM named WHERE host != ''),
+ends AS (
+  SELECT src, CASE WHEN regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:)?//')
+    THEN translate(regexp_extract(substr(t, instr(t, '//') + 2), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    ELSE src END AS dst FROM refs
+),
+link AS (SELECT src, dst, count(*) AS n FROM ends WHERE dst != '' GROUP BY src, dst),
+arc AS (
+  SELECT 'trust' AS kind, src AS host, dst AS t, n / sum(n) OVER (PARTITION BY src) AS share FROM link UNION ALL
+  SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM link
+),
+flow(k, kind, host, x) AS (
+  SELECT 0, kind, host, s FROM seed
+  UNION ALL
+  SELECT k, kind, host, sum(x) FROM (
+    SELECT k + 1 AS k, arc.kind, arc.t AS host, x * share * 0.85 AS x FROM flow JOIN arc ON flow.kind = arc.kind AND flow.host = arc.host WHERE k < 100
+    UNION ALL
+    SELECT m.k + 1, seed.kind, seed.host, s * 0.15 FROM seed, (SELECT DISTINCT k FROM flow WHERE k < 100) m
+  ) GROUP BY k, kind, host
+),
+score AS (
+  SELECT host, coalesce(sum(x) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(x) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM flow WHERE k = 100 GROUP BY host
+)
+SELECT page_id, judged.host, path, rule,
+  coalesce(by_rule, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 5)::DOUBLE AS trust, round(coalesce(distrust, 0), 5)::DOUBLE AS distrust
+FROM judged LEFT JOIN score ON score.host = judged.host
+"""

@@ -48,7 +48,8 @@ def op5_bigru(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_host_trust(spark: SparkSession, folder: str) -> DataFrame:
-    return hosts.verdicts(table(spark, folder, "pages"), URL_RULES)
+    judged = hosts.verdicts(table(spark, folder, "pages"), URL_RULES)
+    return judged.withColumns({c: F.round(c, 5) for c in ("trust", "distrust")})
 
 
 def op7_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
