@@ -32,7 +32,7 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-HELD_WORDS = 450_000  # words whose ids a worker keeps in each of its two stores
+HELD_WORDS = 200_000  # words whose ids a worker keeps in each of its two stores
 
 
 def byte_letters() -> list[str]:

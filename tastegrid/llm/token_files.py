@@ -23,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tastegrid.llm.bpe import HELD_WORDS, Chunks
+from tastegrid.llm.bpe import Chunks
 from tastegrid.llm.common import broadcast_if
 
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 1 << 16
+HELD_PIECES = 450_000  # pieces whose ids a worker keeps in each of its two stores
 FILES_BROADCAST = 500_000  # most files whose starts are sent to every task; of more they are joined by shuffle
 SAMPLE = 64  # ones between two pointers of the select structure
 
@@ -102,7 +103,7 @@ class Packer:
         spec = json.loads(state)
         pre = spec["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and not spec["normalizer"]
-        self.encode = Chunks(self.library, HELD_WORDS).encode if plain else self.library
+        self.encode = Chunks(self.library, HELD_PIECES).encode if plain else self.library
 
     def library(self, text: str) -> bytes:
         ids = self.tool.encode(text, add_special_tokens=False).ids
