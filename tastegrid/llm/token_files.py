@@ -12,6 +12,7 @@ per row, in text order; an empty table gives empty files.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from struct import pack
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tastegrid.llm.bpe import Chunks
+from tastegrid.llm.bpe import Chunks, byte_letters
 from tastegrid.llm.common import broadcast_if
 
 SEGMENT_TOKENS = 1 << 20
@@ -96,17 +97,20 @@ class Packer:
         self.tool.no_padding()
         self.kind = "H" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.end = pack("<" + self.kind, end_id)
-        state = self.tool.to_str()
         # pieces may be encoded on their own only under a plain byte-level pre-split
-        import json
-
-        spec = json.loads(state)
+        spec = json.loads(self.tool.to_str())
         pre = spec["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and not spec["normalizer"]
         self.encode = Chunks(self.library, HELD_PIECES).encode if plain else self.library
+        # then letters, with or without a space before them, are one word, and the library's model takes them as they are
+        self.words = plain and not any(t["content"].strip().isalpha() for t in spec["added_tokens"])
+        self.model, self.letters = self.tool.model, byte_letters()
 
     def library(self, text: str) -> bytes:
-        ids = self.tool.encode(text, add_special_tokens=False).ids
+        if self.words and text.removeprefix(" ").isalpha():
+            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, text.encode())))]
+        else:
+            ids = self.tool.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}{self.kind}", *ids)
 
 

@@ -96,6 +96,13 @@ def test_elias_fano():
     assert 8 * (len(big.lower) + len(big.upper) + 4 * len(big.pointers)) < 10_000 * 12
 
 
+def test_packer_is_the_library(library):
+    tool, rnd = token_files.Packer(BYTES, 0), random.Random(6)
+    parts = [*"ab é漢ßªİ\n'", "  ", "'s", "<|endoftext|>", " the", "ing", ".", "ꟛ", "1", "ء"]
+    for t in [*texts(), *(t or "" for t in ODD), *("".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(4000))]:
+        assert np.frombuffer(tool.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("segment", [1 << 20, 37])
 def test_token_files(spark, odd, library, tmp_path, monkeypatch, frame, segment):
     monkeypatch.setattr(token_files, "SEGMENT_TOKENS", segment)  # tests run in threads of this process only for the plan
