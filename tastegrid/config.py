@@ -27,8 +27,8 @@ class Params:
     # --- factors -------------------------------------------------------------
     svd_components: int = 50
     svd_grid: tuple[int, ...] = (20, 50, 100)
-    svd_tolerance: float = 5e-3    # most that a leading singular value may still move in a round
-    svd_max_rounds: int = 200      # not converged by then is an error
+    svd_tolerance: float = 1e-4    # residual of a kept vector, relative to its squared singular value
+    svd_max_rounds: int = 400      # products; not converged by then is an error
     svd_oversample: int = 10       # at least; the basis is never narrower than 1.5 k
     min_grid_rows: int = 200
     als_rank: int = 100

@@ -49,6 +49,25 @@ def test_svd_converges_with_a_narrow_basis(spark):
         factors.fit_svd(ratings, k=5, tolerance=1e-12, max_rounds=3)
 
 
+def test_svd_default_tolerance_gives_the_exact_lists(frame):
+    """A flat spectrum, on which singular values settle long before the vectors do."""
+    rng, k = np.random.default_rng(11), 20
+    m = np.where(rng.random((300, 400)) < 0.06, rng.integers(1, 11, (300, 400)) / 2, 0.0)
+    m[m.sum(axis=1) == 0, 0] = 3.0
+    dev, mean = centred(m)
+    model = factors.fit_svd(frame([(int(u), int(i), float(m[u, i])) for u, i in zip(*np.nonzero(m))], RATING), k=k)
+    u, s, vt = np.linalg.svd(dev, full_matrices=False)
+    assert np.allclose(model.strength, s[:k], rtol=1e-6) and model.moved <= factors.DEFAULTS.svd_tolerance
+    left, right = np.zeros((300, k)), np.zeros((400, k))
+    for row in model.users.collect():
+        left[row["userId"]] = row["vec"]
+    for row in model.items.collect():
+        right[row["movieId"]] = row["vec"]
+    lists = lambda fit: np.argsort(np.where(m > 0, np.inf, -fit), axis=1)[:, :10]
+    got, want = lists(left @ right.T), lists((u[:, :k] * s[:k]) @ vt[:k])
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, want)]) > 0.99
+
+
 def _items(frame, k=4, n=9):
     v = RNG.normal(size=(n, k))
     return v, frame([(i, r.tolist()) for i, r in enumerate(v)], "movieId long, vec array<double>")
