@@ -4,8 +4,10 @@ A rule fits a host and its subdomains if the url's path starts with the rule's;
 equally long ones the blocking one). Urls that no rule fits take their host's verdict: trust starts at hosts in
 proportion to the share of their pages that are allowed by rule and follows links; distrust starts likewise at
 blocked pages and follows links backwards. Both are personalised PageRanks,
-``x = (1 - damping) * seed + damping * sum(x of neighbours * link share)``. A host is blocked when its distrust
-exceeds its trust by more than ``threshold``.
+``x = (1 - damping) * seed + damping * sum(x of neighbours * link share)``. How large ``x`` can get depends on the links of a
+host, so each score is divided by the one it would have if all pages of all hosts had the seed, which gives a mean of the
+shares around the host, and counts at least as much as the host's own share. A host is blocked when its distrust exceeds its trust by more than
+``margin`` on that scale. The columns hold the scores themselves; a ``threshold`` compares these instead.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; a null page
 has no links; relative links stay on their host; repeated pages count as often as they occur; empty tables give no rows.
@@ -17,11 +19,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tastegrid.llm.common import ascii_lower
+from tastegrid.llm.common import ascii_lower, broadcast_if
 from tastegrid.operators.staging import stage
 
 HREF = r"""(?i)\shref\s*=\s*["']?\s*([^"'\s>]+)"""
 STEPS = 4  # rounds between two written tables
+SENT_HOSTS = 200_000  # so many scored hosts are sent to every task, so pages of a large host stay spread
 
 
 def host_of(url: Column) -> Column:
@@ -56,7 +59,8 @@ def host_links(pages: DataFrame, html: str) -> DataFrame:
 
 
 def spread(seeds: DataFrame, links: DataFrame, damping: float, tolerance: float, rounds: int) -> DataFrame:
-    """``(host, trust, distrust)`` from ``seeds (host, trust, distrust)``; stops when no value moves by ``tolerance``."""
+    """``(host, trust, distrust, trust_share, distrust_share)`` from ``seeds (host, trust, distrust)``; the shares are the
+    scores over those of a seed of 1 at every host of ``seeds``. Stops when no value moves by ``tolerance``."""
 
     def arcs_of(kind: str, begin: str, end: str) -> DataFrame:
         """Arcs along which ``kind`` moves, each with its share of all links at its beginning."""
@@ -66,28 +70,35 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float, tolerance: float,
 
     arcs = stage(arcs_of("trust", "src", "dst").union(arcs_of("distrust", "dst", "src")), "host-arcs")
     start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)"))
-    start = stage(start.where("seed > 0"), "host-seeds")
-    now = start.select("kind", "host", F.col("seed").alias("x"))
-    kept = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("x"))
+    start = stage(start, "host-seeds")
+    now = start.select("kind", "host", F.col("seed").alias("x"), F.lit(1.0).alias("full"))
+    kept = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("x"), F.lit(1 - damping).alias("full"))
+    none = F.lit(0.0)
     for _ in range(0, rounds, STEPS):
         for _ in range(STEPS):
             step = arcs.join(now, ["kind", "host"])
-            moved = step.select("kind", F.col("to").alias("host"), (F.col("x") * F.col("share") * damping).alias("x"))
-            was, now = now, moved.union(kept).groupBy("kind", "host").agg(F.sum("x").alias("x"))
-        both = now.join(was.withColumnRenamed("x", "old"), ["kind", "host"], "full")
-        x, old = F.coalesce("x", F.lit(0.0)), F.coalesce("old", F.lit(0.0))
-        now = stage(both.select("kind", "host", x.alias("x"), F.abs(x - old).alias("moved")), "host-scores")
+            passed = [(F.col(c) * F.col("share") * damping).alias(c) for c in ("x", "full")]
+            moved = step.select("kind", F.col("to").alias("host"), *passed)
+            was, now = now, moved.union(kept).groupBy("kind", "host").agg(F.sum("x").alias("x"), F.sum("full").alias("full"))
+        both = now.join(was.select("kind", "host", F.col("x").alias("old"), F.col("full").alias("old_full")), ["kind", "host"], "full")
+        x, full = F.coalesce("x", none), F.coalesce("full", none)
+        change = F.greatest(F.abs(x - F.coalesce("old", none)), F.abs(full - F.coalesce("old_full", none)))
+        now = stage(both.select("kind", "host", x.alias("x"), full.alias("full"), change.alias("moved")), "host-scores")
         change = now.agg(F.max("moved")).first()[0] or 0.0
-        now = now.select("kind", "host", "x")
+        now = now.select("kind", "host", "x", "full")
         if change < tolerance:
             break
-    one = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("x"))), F.lit(0.0)).alias(k)
-    return now.groupBy("host").agg(one("trust"), one("distrust"))
+    of = lambda k, value: F.coalesce(F.sum(F.when(F.col("kind") == k, value)), none)
+    share = F.col("x") / F.nullif(F.col("full"), none)
+    return now.groupBy("host").agg(
+        *[of(k, F.col("x")).alias(k) for k in ("trust", "distrust")],
+        *[of(k, share).alias(f"{k}_share") for k in ("trust", "distrust")],
+    )
 
 
 def verdicts(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html",
-    damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-6, rounds: int = 100,
+    damping: float = 0.85, margin: float = 0.5, threshold: float | None = None, tolerance: float = 1e-6, rounds: int = 100,
 ) -> DataFrame:
     """``(key, host, path, rule, verdict, trust, distrust)``, one row per page."""
     named = pages.select(key, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -97,9 +108,14 @@ def verdicts(
     seeds = judged.where("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     links = stage(host_links(pages.select(host_of(F.col(url)).alias("host"), html), html), "host-links")
     scores = spread(seeds, links, damping, tolerance, rounds)
-    out = judged.join(scores, "host", "left")
+    own = seeds.select("host", F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust"))
+    known = stage(scores.join(own, "host"), "host-shares")
+    out = judged.join(broadcast_if(known, known.count(), SENT_HOSTS), "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    by_host = F.when(distrust - trust > threshold, F.lit("block")).otherwise(F.lit("allow"))
+    more = F.greatest("own_distrust", "distrust_share") - F.greatest("own_trust", "trust_share") - margin
+    if threshold is not None:
+        more = distrust - trust - threshold
+    by_host = F.when(F.round(more, 9) > 0, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(
         key, "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )

@@ -192,3 +192,20 @@ def test_link_graph(frame):
     for r in got.values():
         assert r.trust == pytest.approx(trust[at[r.host]], abs=1e-5) and r.distrust == pytest.approx(distrust[at[r.host]], abs=1e-5)
         assert r.rule or r.verdict == ("block" if distrust[at[r.host]] - trust[at[r.host]] > 0.2 else "allow")
+
+
+def test_hosts_blocked_over_links(frame):
+    link = lambda *to: "".join(f'<a href="{t}">x</a>' for t in to)
+    pages = [
+        (1, "h://lone.net/es/1", ""), (2, "h://lone.net/es/2", ""), (3, "h://lone.net/es/3", ""), (4, "h://lone.net/es/4", ""), (5, "h://lone.net/other", ""),
+        (6, "h://half.net/es/1", link("rel")), (7, "h://half.net/fr/2", ""), (8, "h://half.net/es/3", ""), (9, "h://half.net/fr/4", ""), (10, "h://half.net/other", ""),
+        (11, "h://reader.org/", link("h://half.net/", "h://good.com/")), (12, "h://good.com/", link("h://liked.org/", "/self")), (13, "h://liked.org/", ""),
+        (14, "h://hub.org/", link("h://a.net/es/1", "h://b.net/es/1", "h://c.net/es/1")),
+        (15, "h://a.net/es/1", ""), (16, "h://b.net/es/1", ""), (17, "h://c.net/es/1", ""),
+    ]
+    judged = hosts.verdicts(frame(pages, "page_id long, url string, html string"), URL_RULES)
+    got = {r.page_id: r for r in judged.collect()}
+    # nobody links to lone.net, half of the links to half.net are its own, and hub.org has no page under a rule
+    assert {i for i, r in got.items() if r.rule is None and r.verdict == "block"} == {5, 10, 14}
+    assert all(r.distrust < 0.5 for r in got.values())
+    assert {i for i, r in got.items() if r.rule is None and r.verdict == "allow"} == {11, 13}
