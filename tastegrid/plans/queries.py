@@ -459,16 +459,24 @@ def user_cf(v: Views) -> DataFrame:
     return recs(_user_cf(v, 10))
 
 
+def _item_cf(v: Views, n: int) -> DataFrame:
+    active = features.filter_active(v.ratings, min_movie_ratings=5)
+    return neighbours.item_cf(active, v.users, n=n)
+
+
 @model
 def item_cf(v: Views) -> DataFrame:
-    active = features.filter_active(v.ratings, min_movie_ratings=5)
-    return recs(neighbours.item_cf(active, v.users))
+    return recs(_item_cf(v, 10))
+
+
+def _factors(v: Views, n: int) -> DataFrame:
+    model = factors.fit_svd(features.filter_active(v.ratings), k=SVD_K)
+    return factors.factor_top_n(model.users, model.items, v.ratings, n=n)
 
 
 @model
 def svd_recs(v: Views) -> DataFrame:
-    model = factors.fit_svd(features.filter_active(v.ratings), k=SVD_K)
-    return recs(factors.factor_top_n(model.users, model.items, v.ratings))
+    return recs(_factors(v, 10))
 
 
 @model
@@ -592,10 +600,10 @@ def profile_recs(v: Views) -> DataFrame:
 # --- blend and serving ----------------------------------------------------------------------------
 
 
-def _components(v: Views) -> DataFrame:
+def _components(v: Views, **more: DataFrame) -> DataFrame:
     popular = pop.popular_for_users(pop.bayes_popularity(v.ratings), v.users, v.ratings, n=POOL)
     return stage(
-        hybrid.stack_components({"content": _profile(v, POOL), "user_cf": _user_cf(v, POOL), "popularity": popular}),
+        hybrid.stack_components({"content": _profile(v, POOL), "user_cf": _user_cf(v, POOL), "popularity": popular, **more}),
         "components",
     )
 
@@ -614,6 +622,13 @@ def hybrid_recs(v: Views) -> DataFrame:
     return recs(hybrid.blend(_components(v), counts))
 
 
+@model
+def hybrid_all_recs(v: Views) -> DataFrame:
+    """The blend over the mean of all three collaborative signals; ``hybrid_recs`` has the one that SQL can state alone."""
+    counts = v.ratings.groupBy("userId").agg(F.count(F.lit(1)).alias("n_ratings"))
+    return recs(hybrid.blend(_components(v, item_cf=_item_cf(v, POOL), factors=_factors(v, POOL)), counts))
+
+
 def _wanted_genres(v: Views) -> DataFrame:
     return v.preferences.select("userId", F.explode("preferred_genres").alias("genre"))
 
