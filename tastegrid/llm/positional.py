@@ -123,7 +123,7 @@ def contamination(
 ) -> DataFrame:
     """``(key, n_words, n_hit, n_items, items_sha256, contaminated)``, one row per row of ``docs``.
 
-    ``length`` is at most 64.
+    A null item counts as one item in ``n_items``; the hash is over the other ids. ``length`` is at most 64.
     """
     wins, found = _found(docs, benchmark, key, text, item, item_text, length)
     hit = (
@@ -137,7 +137,10 @@ def contamination(
         .distinct()
         .join(wins.select("item", "win"), "win")
         .groupBy(key, "_text")
-        .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+        .agg(
+            F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
+            F.size(F.collect_set(F.struct(F.col("item").cast("string")))).alias("n_items"),
+        )
     )
     base = docs.select(
         key,
@@ -150,7 +153,7 @@ def contamination(
         key,
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

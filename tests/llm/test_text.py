@@ -60,6 +60,14 @@ def test_positional(frame):
     assert positional.contamination(docs.limit(0), items).count() == 0
 
 
+def test_positional_counts_a_null_item(frame):
+    docs = frame([(1, "aa bb cc dd"), (2, "aa bb cc dd ee ff gg hh"), (3, "zz")], "doc_id long, text string")
+    items = frame([(None, "aa bb cc dd"), (None, "bb cc dd"), (7, "ee ff gg hh")], "item_id long, text string")
+    got = {r.doc_id: r for r in positional.contamination(docs, items, length=4).collect()}
+    assert [(got[i].contaminated, got[i].n_items) for i in (1, 2, 3)] == [(True, 1), (True, 2), (False, 0)]
+    assert [got[i].items_sha256 for i in (1, 2)] == [sha256(x).hexdigest() for x in (b"", b"7")]
+
+
 def test_positional_without_broadcast(frame, monkeypatch):
     monkeypatch.setattr(positional, "TERMS_BROADCAST", 0)
     test_positional(frame)
