@@ -99,3 +99,37 @@ SELECT page_id, judged.host, path, rule,
   round(coalesce(trust, 0), 5)::DOUBLE AS trust, round(coalesce(distrust, 0), 5)::DOUBLE AS distrust
 FROM judged LEFT JOIN score ON score.host = judged.host
 """
+
+ORACLE["op11_stripes"] = f"""
+WITH piece AS (
+  SELECT doc_id, lang, unnest(string_split_regex({_LOWER.format('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, text FROM documents)
+),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, w[s : s + k - 1] AS g
+  FROM cut, (VALUES (1), (2), (3)) t(k), unnest(range(1, len(w) - k + 2)) r(s) WHERE len(w) >= k
+),
+f AS (SELECT lang, k, phrase, any_value(g) AS g, count(*) AS f FROM gram GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(g[1:2], ' ') AS phrase, a FROM cand WHERE k = 3 UNION ALL
+    SELECT lang, array_to_string(g[2:3], ' '), a FROM cand WHERE k = 3
+  ) GROUP BY lang, phrase
+),
+parts AS (
+  SELECT c.lang, c.phrase, c.a, j, array_to_string(g[1:j], ' ') AS head, array_to_string(g[j + 1 :], ' ') AS rest
+  FROM cand c LEFT JOIN longer USING (lang, phrase), (VALUES (1), (2)) t(j)
+  WHERE j < k AND coalesce(100 * longer.a < 50 * c.a, true)
+),
+scored AS (
+  SELECT parts.lang, parts.phrase, a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = head JOIN f y ON y.lang = parts.lang AND y.phrase = rest
+),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least JOIN total USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""

@@ -8,7 +8,9 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.llm import bpe, hosts, language, language_model, lattice, positional, shards, simhash, token_counts, token_files
+from tastegrid.llm import (
+    bpe, collocations, hosts, language, language_model, lattice, positional, shards, simhash, token_counts, token_files,
+)
 from tastegrid.llm.common import table
 from tastegrid.operators.staging import stage_root
 
@@ -68,6 +70,14 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op5_bigru, op6_host_trust, op7_rendezvous, op8_e8, op9_gru_lm, op10_simhash)
-}
+    f.__name__: f
+    for f in (
+        op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op5_bigru, op6_host_trust, op7_rendezvous, op8_e8, op9_gru_lm,
+        op10_simhash, op11_stripes,
+    )
+}
