@@ -106,11 +106,14 @@ WITH piece AS (
   FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, text FROM documents)
 ),
 cut AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+place AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:])) AS t FROM cut WHERE len(w) > 0),
+words AS (SELECT lang, t[1] AS w1, t[2] AS w2, t[3] AS w3 FROM place),
 gram AS (
-  SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, w[s : s + k - 1] AS g
-  FROM cut, (VALUES (1), (2), (3)) t(k), unnest(range(1, len(w) - k + 2)) r(s) WHERE len(w) >= k
+  SELECT lang, 1 AS k, [w1] AS g FROM words UNION ALL
+  SELECT lang, 2, [w1, w2] FROM words WHERE w2 IS NOT NULL UNION ALL
+  SELECT lang, 3, [w1, w2, w3] FROM words WHERE w3 IS NOT NULL
 ),
-f AS (SELECT lang, k, phrase, any_value(g) AS g, count(*) AS f FROM gram GROUP BY lang, k, phrase),
+f AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f, lang || chr(9) || phrase AS id FROM gram GROUP BY lang, k, phrase),
 total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k, phrase, g, f AS a FROM f WHERE k > 1 AND f >= 10),
 longer AS (
@@ -120,13 +123,14 @@ longer AS (
   ) GROUP BY lang, phrase
 ),
 parts AS (
-  SELECT c.lang, c.phrase, c.a, j, array_to_string(g[1:j], ' ') AS head, array_to_string(g[j + 1 :], ' ') AS rest
+  SELECT c.lang, c.phrase, c.a, j,
+    lang || chr(9) || array_to_string(g[1:j], ' ') AS head, lang || chr(9) || array_to_string(g[j + 1 :], ' ') AS rest
   FROM cand c LEFT JOIN longer USING (lang, phrase), (VALUES (1), (2)) t(j)
   WHERE j < k AND coalesce(100 * longer.a < 50 * c.a, true)
 ),
 scored AS (
   SELECT parts.lang, parts.phrase, a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = head JOIN f y ON y.lang = parts.lang AND y.phrase = rest
+  FROM parts JOIN f x ON x.id = head JOIN f y ON y.id = rest
 ),
 least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
