@@ -1,12 +1,19 @@
 """Collocations, alignment and nearest neighbours against brute force."""
 
+import json
 import re
 from collections import Counter
+from hashlib import sha256
 
+import public_tokenizers
 import pytest
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
 from conftest import SMALL
-from tastegrid.llm import collocations
+from tastegrid.llm import alignment, bpe, collocations
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 SCHEMA = "rank int, doc_id long, text string, lang string, phrase string"
 ODD = [
@@ -71,3 +78,94 @@ def test_runs_join_across_flushes(monkeypatch):
 
 def test_no_documents(frame):
     assert collocations.mine(frame([], SCHEMA)).count() == 0
+
+
+def alignment_rows(rows):
+    """One text after the other, with sets and lists."""
+    a_tool, b_tool = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
+    a_tool.encode_special_tokens = True
+    back = {c: b for b, c in enumerate(bpe.byte_letters())}
+    spelled = {i: bytes(back[c] for c in t) for t, i in json.load(open(A, encoding="utf-8"))["model"]["vocab"].items() if t != "<|endoftext|>"}
+
+    def piece(i):
+        p = b_tool.IdToPiece(i)
+        return bytes([int(p[3:5], 16)]) if b_tool.IsByte(i) else p.replace("\u2581", " ").encode()
+
+    def ends(sizes):
+        at, out = 0, []
+        for n in sizes:
+            at += n
+            out.append(at)
+        return out
+
+    texts, held = [], Counter()
+    for key, text in rows:
+        groups = []
+        if text:
+            a, b = a_tool.encode(" " + text, add_special_tokens=False).ids, b_tool.encode(text)
+            if b"".join(map(spelled.get, a)) == b"".join(map(piece, b)) == (" " + text).encode():
+                a_ends, b_ends = ends(len(spelled[i]) for i in a), ends(len(piece(i)) for i in b)
+                i = j = 0
+                for e in sorted(set(a_ends) & set(b_ends)):
+                    x, y = a_ends.index(e, i) + 1, b_ends.index(e, j) + 1
+                    groups.append((a[i:x], b[j:y]))
+                    i, j = x, y
+        links = Counter()
+        for xs, ys in groups:
+            for x, n in Counter(xs).items():
+                for y, m in Counter(ys).items():
+                    links[x, y] += n * m
+        texts.append((key, groups, links))
+        held.update(links.keys())
+    best = Counter()
+    for (x, _), c in held.items():
+        best[x] = max(best[x], c)
+    out = []
+    for key, groups, links in texts:
+        named = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((
+            str(key), sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), sum(links.values()),
+            sum(n for (x, y), n in links.items() if held[x, y] == best[x]), sum(n * held[k] for k, n in links.items()),
+            sha256(named.encode()).hexdigest() if groups else "",
+        ))
+    return sorted(out)
+
+
+TEXTS = [
+    None, "", " ", "a", "a  b", "\n\n x", "x \n", "don't stop", "é ß 漢字 漢字", "😀😀 ok", "a<|endoftext|> b</s> <s>", "▁ ▁a", "tab\tx",
+    "\x00\x1c\x85", "word " * 50, "aaaa" * 300, "aab" * 700, "漢字仮名" * 200, "￿ ໠ ꟛ", "The the THE", "<0x41> A", "e\u0301 ﬁ",
+]
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_alignment(spark, frame, monkeypatch, shuffled):
+    # tasks run in workers with the default of LARGE; the next test changes it
+    if shuffled:
+        monkeypatch.setattr(alignment, "PAIRS_BROADCAST", -1)
+    own = frame([(i, t, 1, "x") for i, t in enumerate(TEXTS)] + [(3, "a", 1, "x"), (None, "null key", 1, "x"), (3, "a", 1, "x")],
+                "doc_id long, text string, row int, even string")
+    docs = own.union(spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id + 100", "text", "1", "'x'"))
+    got = alignment.measure(docs, A, B).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == alignment_rows([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_large_groups_count_alike(monkeypatch):
+    tool = alignment.sides(A, B)
+    plain = alignment.align(tool, [t or "" for t in TEXTS])
+    monkeypatch.setattr(alignment, "LARGE", 0)
+    for x, y in zip(plain, alignment.align(tool, [t or "" for t in TEXTS])):
+        assert str(x) == str(y) if isinstance(x, list) else x.equals(y)
+
+
+def test_sides_are_the_library():
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    chars = [c for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + chr(c) + "  " + chr(c) + "1" for c in chars]
+    tool = alignment.sides(A, B)
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert tool._a.encode_ordinary(text) == want.ids
+
+
+def test_no_alignment(frame):
+    assert alignment.measure(frame([], "doc_id long, text string"), A, B).count() == 0
