@@ -181,9 +181,12 @@ def frequent_pairs(spark, pairs: DataFrame):
 
 
 def _per_label(found: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows of each label; first those of 64 parts of it, so the last task of a label has few to order."""
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    return ranked.where(F.col("rank") <= most)
+    for of in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(64))], ["lang"]):
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy(*order)).cast("long"))
+        found = found.where(F.col("rank") <= most)
+    return found
 
 
 def _score(a: str, l: str, r: str) -> Column:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastegrid.llm import (
-    alignment, bpe, collocations, hosts, language, language_model, lattice, positional, shards, simhash, token_counts, token_files,
+    alignment, bpe, collocations, hosts, language, language_model, lattice, neighbours, positional, shards, simhash, token_counts, token_files,
 )
 from tastegrid.llm.common import table
 from tastegrid.operators.staging import stage_root
@@ -74,6 +74,10 @@ def op11_stripes(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(table(spark, folder, "documents"))
 
 
+def op12_multiprobe(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_identity(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.measure(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
 
@@ -82,6 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_elias_fano, op2_overlap, op3_positional, op4_automaton, op5_bigru, op6_host_trust, op7_rendezvous, op8_e8, op9_gru_lm,
-        op10_simhash, op11_stripes, op13_identity,
+        op10_simhash, op11_stripes, op12_multiprobe, op13_identity,
     )
 }

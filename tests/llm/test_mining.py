@@ -5,13 +5,15 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from conftest import SMALL
-from tastegrid.llm import alignment, bpe, collocations
+from tastegrid.llm import alignment, bpe, collocations, neighbours
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -169,3 +171,81 @@ def test_sides_are_the_library():
 
 def test_no_alignment(frame):
     assert alignment.measure(frame([], "doc_id long, text string"), A, B).count() == 0
+
+
+VECTORS = "rank int, vec_id long, embedding array<double>, q long"
+
+
+def nearest(rows, k, every):
+    """All rows compared with all queries."""
+    sound = lambda v: v and None not in v and np.isfinite(v).all() and any(v)
+    rows = [(i, tuple(v)) for i, v in rows if i is not None and sound(v)]
+    out = []
+    for i, v in {r for r in rows if r[0] % every == 0}:
+        others = list(rows)
+        others.remove((i, v))
+        scored = sorted((-float(np.cumsum(np.array(v) * np.array(w))[-1]), j) for j, w in others if len(w) == len(v))
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def same_lists(got, want):
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-12, atol=1e-12)
+
+
+def test_nearest_odd_rows(frame):
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.integers(-3, 4, 3).astype(float).tolist()) for i in range(200)]  # many ties, equal rows and zeros
+    rows += [(i, rnd.normal(size=5).tolist()) for i in range(300, 310)]  # fewer than k of this length
+    rows += [(400, None), (405, []), (410, [0.0, 0.0, 0.0]), (415, [1.0, None, 2.0]), (420, [float("nan"), 1.0, 1.0]), (425, [float("inf"), 1.0, 1.0])]
+    rows += [(None, [1.0, 1.0, 1.0]), (5, [9.0, 9.0, 9.0]), (5, [9.0, 9.0, 9.0]), (10, [9.0, 9.0, 9.0]), (430, [1.0])]
+    rows += [(500 + i, [2.0, 1.0, 2.0]) for i in range(60)]  # more copies than a list is long
+    vectors = frame([(1, i, v, 7) for i, v in rows], VECTORS)
+    got = neighbours.search(vectors, F.col("vec_id") % 5 == 0, k=8).collect()
+    same_lists(sorted(map(tuple, got)), nearest(rows, 8, 5))
+    assert neighbours.search(frame([], VECTORS), F.col("vec_id") % 5 == 0).count() == 0
+    assert neighbours.search(vectors, F.lit(False)).count() == 0
+
+
+def test_nearest_recall(frame):
+    """Clusters of several densities and lengths, searched through many small cells."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(40, 16)) * rnd.lognormal(0, 0.3, size=(40, 1))
+    x = centres[rnd.integers(0, 40, 4000)] + rnd.normal(size=(4000, 16)) * 0.3
+    vectors = frame([(1, i, v, 7) for i, v in enumerate(x.tolist())], VECTORS)
+    got = {(r[0], r[2]) for r in neighbours.search(vectors, F.col("vec_id") % 20 == 0, k=20, rows_per_cell=50).collect()}
+    want = {(r[0], r[2]) for r in nearest(list(enumerate(x.tolist())), 20, 20)}
+    assert len(got) == len(want) == 4000
+    assert len(got & want) >= 0.93 * len(want)
+
+
+def test_short_queries_see_every_row(frame):
+    """One visited cell finds too few rows: all are compared then."""
+    rnd = np.random.default_rng(6)
+    rows = list(enumerate((rnd.normal(size=(300, 4)) * 2).tolist()))
+    vectors = frame([(1, i, v, 7) for i, v in rows], VECTORS)
+    got = neighbours.search(vectors, F.col("vec_id") % 10 == 0, k=250, rows_per_cell=2, target=0.01).collect()
+    same_lists(sorted(map(tuple, got)), nearest(rows, 250, 10))
+
+
+def test_visits_follow_the_distance():
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(500, 6))
+    t = neighbours.Tables.fit(x, float(np.sqrt((x * x).sum(1).max())), 2, 3, 1.0, 1)
+    q = t.queries(x[:5])
+    at = t.project(q) + t.shift[:, None]
+    for table in range(2):
+        names = t.visited(x[:5], table)
+        for j in range(5):
+            costs = []
+            for name in names[j].tolist():
+                cost = 0.0
+                for a in (2, 1, 0):
+                    n = int(t.high[table, a] - t.low[table, a] + 1)
+                    name, s = divmod(name, n)
+                    lo = -np.inf if s == 0 else (s + t.low[table, a]) * t.width[table, a]
+                    hi = np.inf if s == n - 1 else (s + t.low[table, a] + 1) * t.width[table, a]
+                    cost += max(lo - at[table, j, a], at[table, j, a] - hi, 0) ** 2
+                costs.append(cost)
+            assert np.allclose(costs, sorted(costs)) and len(set(names[j].tolist())) == len(costs)
