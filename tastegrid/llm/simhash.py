@@ -22,13 +22,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.llm.common import broadcast_if, joined, without
 from tastegrid.llm.graph import components
 from tastegrid.operators.staging import stage
 
 SEED = 42
+MOST_ASKS = 4096  # values that a fingerprint may ask for; they are part of the plan
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
@@ -63,6 +64,10 @@ def fingerprints(docs: DataFrame, key: str, text: str, words_per_shingle: int =
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
 
+def _hex(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -73,17 +78,28 @@ def _segments(n: int) -> list[list[int]]:
     return [list(range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
 
 
+def _asks(segments: int, distance: int) -> int:
+    """Values that a fingerprint asks for, over all segments."""
+    widths, radius = map(len, _segments(segments)), distance // segments
+    return sum(comb(w, r) for w in widths for r in range(min(radius, w) + 1))
+
+
 def cheapest_segments(fingerprints: int, distance: int) -> int:
-    """The number of segments with the least work: asked values, and stored fingerprints met by each of them."""
+    """The number of segments with the least work: asked values, and stored fingerprints met by each of them.
+
+    A fingerprint never asks for more than ``MOST_ASKS`` values; with one segment more than ``distance`` it asks once each.
+    """
+    if not 0 <= distance < 64:
+        raise ValueError(f"the distance of 64-bit fingerprints lies between 0 and 63: {distance}")
+    stored = max(1, fingerprints)
 
     def work(n: int) -> float:
-        width, radius = 64 // n, distance // n
-        ball = sum(comb(width, r) for r in range(radius + 1))
-        return fingerprints * n * ball * (1 + 0.1 * fingerprints / 2.0**width)
+        return _asks(n, distance) * (1 + 0.1 * stored / 2.0 ** (64 // n))
 
+    possible = [n for n in range(1, distance + 2) if _asks(n, distance) <= MOST_ASKS]
     # narrow segments meet too much, the more so as their values are not even
-    usable = [n for n in range(1, distance + 2) if fingerprints <= 16 * 2.0 ** (64 // n)]
-    return min(usable or [1], key=work)
+    usable = [n for n in possible if stored <= 16 * 2.0 ** (64 // n)]
+    return min(usable or possible[:1], key=work)
 
 
 def links(found: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
@@ -91,6 +107,8 @@ def links(found: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
 
     ``found`` holds each fingerprint once, a representative possibly several times; its fingerprints do not link.
     """
+    if _asks(segments, distance) > MOST_ASKS:
+        raise ValueError(f"{segments} segments are too few for a distance of {distance}")
     runs, radius = _segments(segments), distance // segments
     masks = [_signed(sum(1 << b for b in bits)) for bits in runs]
     balls = [
@@ -158,7 +176,7 @@ def near_duplicates(
     """``(key, fingerprint, component_id)``: hex fingerprint and the smallest id reachable over links.
 
     With ``ring``, links within that many bits are contracted first, and the full distance is searched between what is
-    left. That gives the same components, and a group of near copies never yields the square of its size in links.
+    left. That gives the same components with fewer links: only those within the ring are as many as its pairs.
     Without ``segments`` their number follows from the count of fingerprints; it doesn't change the result.
     """
     marks = stage(fingerprints(docs, key, text, words_per_shingle), "simhash")
@@ -170,9 +188,11 @@ def near_duplicates(
     ties = (
         marks.join(same_id.where("lo < hi").select(key), key)
         .join(usable, "fp")
-        .select(F.col(key).cast("long").alias("a"), F.col("rep").cast("long").alias("b"))
+        .select(F.col(key).alias("a"), F.col("rep").alias("b"))
     )
-    n = usable.count() if segments is None else 0
+    n = usable.count()
+    if not n:  # no fingerprint with an id: nothing links
+        return marks.select(key, _hex(F.col("fp")).alias("fingerprint"), F.lit(None).cast(docs.schema[key].dataType).alias("component_id"))
     cut = lambda d: segments or cheapest_segments(n, d)
     first = distance if ring is None else min(ring, distance)
     classes = _classes(found, links(usable, first, cut(first)).union(ties))
@@ -181,7 +201,7 @@ def near_duplicates(
         left = classes.where("component_id is not null").withColumnRenamed("component_id", "rep")
         classes = _classes(classes.withColumnRenamed("component_id", "rep"), links(left, distance, cut(distance)))
     return marks.join(classes, "fp").select(
-        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        key, _hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
 
 

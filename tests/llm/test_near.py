@@ -77,6 +77,30 @@ def test_simhash_odd_ids(frame):
 def test_segment_count():
     assert simhash.cheapest_segments(200_000, 4) == 3 and simhash.cheapest_segments(200_000, 7) == 4
     assert simhash.cheapest_segments(10**9, 7) < 4
+    for distance in range(64):
+        for n in (0, 1, 10**6, 10**12):
+            assert simhash._asks(simhash.cheapest_segments(n, distance), distance) <= simhash.MOST_ASKS
+    for distance in (-1, 64):
+        with pytest.raises(ValueError):
+            simhash.cheapest_segments(5, distance)
+
+
+def test_simhash_without_rows(frame):
+    empty = frame([], DOCS)
+    for distance in (4, 7):
+        assert simhash.near_duplicates(empty, distance=distance, segments=None).count() == 0
+        assert simhash.one_per_group(empty, distance=distance, segments=None, ring=4).count() == 0
+    lost = simhash.near_duplicates(frame([(0, None, "a b", "")] * 2, DOCS), segments=None).collect()
+    assert [r.component_id for r in lost] == [None, None]
+    with pytest.raises(ValueError):
+        simhash.links(frame([(1, 1)], "rep long, fp long"), distance=7, segments=1)
+
+
+def test_simhash_string_ids(frame):
+    rows = [(0, "b", "x y z w", ""), (0, "a", "X Y Z w", ""), (0, "c", "other words are here", "")]
+    docs = frame(rows, "component_id int, doc_id string, text string, fp string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
 
 
 def test_links_come_once(frame, near_texts):
