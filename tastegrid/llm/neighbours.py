@@ -27,7 +27,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tastegrid.llm.common import broadcast_if
@@ -38,6 +40,7 @@ ASKERS = 128  # queries whose true neighbours are looked up for the fit, per len
 LENGTHS = 8  # vector lengths that get tables of their own
 LONGEST_VISIT = 2048  # cells of a table
 BLOCK, CHUNK = 512, 256  # rows in a block, queries in a chunk
+HELD = 400_000  # found classes that a task holds before it drops what is not among the best
 CELLS_BROADCAST = 300_000  # most cell sizes that are sent to every task
 
 
@@ -259,39 +262,84 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     return dealt.select(*OF, salt, "rep", "h1", "vec").groupBy(*OF, "_salt").agg(F.collect_list(F.struct("rep", "h1", "vec")).alias(name))
 
 
+class Best:
+    """The best ``n`` classes of each query that a task meets, and ties with the last of them."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self._clear()
+
+    def _clear(self) -> None:
+        self.names: dict[tuple, int] = {}
+        self.floor = np.empty(0)  # the n-th best score of a query so far
+        self.q, self.rep, self.h1, self.score, self.held = [], [], [], [], 0
+
+    def numbered(self, names: list[tuple]) -> np.ndarray:
+        found = np.array([self.names.setdefault(q, len(self.names)) for q in names])
+        self.floor = np.pad(self.floor, (0, len(self.names) - len(self.floor)), constant_values=-np.inf)
+        return found
+
+    def add(self, q: np.ndarray, rep: pa.Array, h1: pa.Array, score: np.ndarray) -> None:
+        for column, values in zip((self.q, self.rep, self.h1, self.score), (q, rep, h1, score)):
+            column.append(values)
+        self.held += len(q)
+
+    def prune(self) -> None:
+        if not self.held:
+            return
+        q, score = np.concatenate(self.q), np.concatenate(self.score)
+        rep, h1 = pa.concat_arrays(self.rep), pa.concat_arrays(self.h1)
+        order = np.lexsort((h1.to_numpy(), -score, q))
+        q, score, rep, h1 = q[order], score[order], rep.take(pa.array(order)), h1.take(pa.array(order))
+        # a class that several tables found follows itself
+        again = (np.diff(q) == 0) & (np.diff(score) == 0)
+        again &= pc.and_(pc.equal(rep[1:], rep[:-1]), pc.equal(h1[1:], h1[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+        fresh = np.append(True, ~again)
+        place = np.cumsum(fresh)
+        begins = np.flatnonzero(np.diff(q, prepend=-1))
+        rank = place - np.repeat(place[begins], np.diff(np.append(begins, len(q))))
+        nth = fresh & (rank == self.n - 1)
+        self.floor[q[nth]] = score[nth]
+        keep = np.flatnonzero(fresh & (score >= self.floor[q]))
+        at = pa.array(keep)
+        self.q, self.rep, self.h1, self.score, self.held = [q[keep]], [rep.take(at)], [h1.take(at)], [score[keep]], len(keep)
+
+    def rows(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """What is held; then everything is forgotten."""
+        names = list(self.names)
+        reps, hashes = pa.array([r for r, _ in names], kind), pa.array([h for _, h in names], pa.int64())
+        for q, rep, h1, score in zip(self.q, self.rep, self.h1, self.score):
+            at = pa.array(q)
+            yield pa.RecordBatch.from_arrays([reps.take(at), hashes.take(at), rep, h1, pa.array(score)], names=["q", "qh", "rep", "h1", "score"])
+        self._clear()
+
+
 def _met(rows: DataFrame, queries: DataFrame, fitted: dict[int, Tables], n: int) -> DataFrame:
-    """``(q, qh, rep, h1, score)``: the best ``n`` classes of each product of a block and a chunk, and perhaps more."""
+    """``(q, qh, rep, h1, score)``: of the classes that a query meets in a task, the best ``n`` and perhaps more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor: dict[tuple, float] = {}  # the n-th best score that a query has met in one product of this task
+        best = Best(n)
         for batch in batches:
             for block, chunk in zip(batch.column(0), batch.column(1)):
                 left, right = block.values, chunk.values
                 x, y = _matrix(left.field("vec")), _matrix(right.field("vec"))
-                names = list(zip(right.field("rep").to_pylist(), right.field("h1").to_pylist()))
-                j, i = _best(y @ x.T, n, np.array([floor.get(q, -np.inf) for q in names]))
-                if not len(j):
-                    continue
+                asked = best.numbered(list(zip(right.field("rep").to_pylist(), right.field("h1").to_pylist())))
+                j, i = _best(y @ x.T, n, best.floor[asked])
                 exact = (x[i] * y[j]).cumsum(1)[:, -1]  # added in one order, so each table gives the same
-                if len(x) >= n:
-                    begins = np.flatnonzero(np.diff(j, prepend=-1))
-                    for q, found in zip(j[begins].tolist(), np.split(exact, begins[1:])):
-                        if len(found) >= n:
-                            last = float(np.partition(found, len(found) - n)[len(found) - n])
-                            floor[names[q]] = max(floor.get(names[q], -np.inf), last)
-                asked, met = pa.array(j), pa.array(i)
-                yield pa.RecordBatch.from_arrays(
-                    [*(right.field(c).take(asked) for c in ("rep", "h1")), *(left.field(c).take(met) for c in ("rep", "h1")), pa.array(exact)],
-                    names=["q", "qh", "rep", "h1", "score"],
-                )
-                if len(floor) > 1_000_000:
-                    floor.clear()
+                at = pa.array(i)
+                best.add(asked[j], left.field("rep").take(at), left.field("h1").take(at), exact)
+                if best.held >= HELD:
+                    best.prune()
+                    if best.held >= HELD // 2:
+                        yield from best.rows(kind)
+        best.prune()
+        yield from best.rows(kind)
 
     blocks = _packed(_hashed(rows, fitted, asked=False), BLOCK, "block")
     chunks = _packed(_hashed(queries, fitted, asked=True), CHUNK, "chunk")
-    kind = rows.schema["rep"].dataType.simpleString()
+    kind, name = to_arrow_type(rows.schema["rep"].dataType), rows.schema["rep"].dataType.simpleString()
     joined = blocks.drop("_salt").join(chunks.drop("_salt"), OF).select("block", "chunk")
-    return joined.mapInArrow(run, f"q {kind}, qh bigint, rep {kind}, h1 bigint, score double")
+    return joined.mapInArrow(run, f"q {name}, qh bigint, rep {name}, h1 bigint, score double")
 
 
 def _first(met: DataFrame, n: int) -> DataFrame:
