@@ -20,7 +20,7 @@ from tastegrid.llm.common import ascii_lower, broadcast_if, fresh, joined, witho
 from tastegrid.operators.staging import stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
+MARKS = 64  # terms that stand for rows themselves
 TERMS_BROADCAST = 200_000  # most benchmark terms that are sent to every executor; more are joined by shuffle
 
 
@@ -36,6 +36,19 @@ def _places(rows: DataFrame, keep: list[str], pos: str) -> DataFrame:
     return spread.select(*keep, pos, F.col("_t.found").alias("w"), F.col("_t.after").alias("nxt"))
 
 
+def _marked_places(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """As :func:`_places`, after a row with ``pos`` -1 for each of ``rows``: its ``w`` is empty, its ``nxt`` one of the
+    ``MARKS``, and its ``n_words`` the number of words."""
+    after = F.expr("concat(slice(found, 2, 2147483647), array(cast(null AS string)))")
+    mark = F.concat(F.lit(" "), F.pmod(F.col("_text"), F.lit(MARKS)).cast("string"))
+    lined = rows.select(
+        *keep, F.concat(F.array(F.lit("")), "found").alias("found"), F.concat(F.array(mark), after).alias("after"),
+        F.size("found").cast("long").alias("n_words"),
+    )
+    spread = lined.select(*keep, "n_words", F.posexplode(F.arrays_zip("found", "after")).alias("pos", "_t"))
+    return spread.select(*keep, (F.col("pos") - 1).alias("pos"), F.col("_t.found").alias("w"), F.col("_t.after").alias("nxt"), "n_words")
+
+
 def windows(items: DataFrame, item: str, text: str, length: int) -> DataFrame:
     """``(item, win, n)``: every run of ``length`` words of an item, or all its words if there are fewer."""
     rows = items.select(F.col(item).alias("item"), words(F.col(text)).alias("found")).where(F.size("found") > 0)
@@ -53,18 +66,23 @@ def window_terms(wins: DataFrame) -> DataFrame:
     return rows.where((F.col("nxt") != "") | (F.col("n") == 1))
 
 
-def index(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """Postings ``(key, _text, pos, w, nxt)`` of the given ``terms (w, nxt)`` over whole texts."""
+def index(docs: DataFrame, key: str, text: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings ``(key, _text, pos, w, nxt)`` of the given ``terms (w, nxt)`` over whole texts, and ``(key, _text, n_words)``
+    of every row; one scan gives both."""
     wanted = terms.select("w", "nxt").distinct()
-    pairs, lone = wanted.where("nxt != ''"), wanted.where("nxt = ''").select("w")
+    marks = docs.sparkSession.range(MARKS).select(F.lit("").alias("w"), F.concat(F.lit(" "), F.col("id").cast("string")).alias("nxt"))
+    pairs, lone = wanted.where("nxt != ''").union(marks), wanted.where("nxt = ''").select("w")
     n_pairs, n_lone = wanted.agg(F.count_if(F.col("nxt") != ""), F.count_if(F.col("nxt") == "")).first()
-    found = docs.select(key, F.xxhash64(text).alias("_text"), words(F.col(text)).alias("found"))
-    places = _places(found, [key, "_text"], "pos")
-    postings = places.join(broadcast_if(pairs, n_pairs, TERMS_BROADCAST), ["w", "nxt"]).select(key, "_text", "pos", "w", "nxt")
+    none = F.array().cast("array<string>")
+    found = docs.select(key, F.xxhash64(text).alias("_text"), F.coalesce(words(F.col(text)), none).alias("found"))
+    places = _marked_places(found, [key, "_text"])
+    columns = [key, "_text", "pos", "w", "nxt", F.when(F.col("pos") < 0, F.col("n_words")).alias("n_words")]
+    postings = places.join(broadcast_if(pairs, n_pairs + MARKS, TERMS_BROADCAST), ["w", "nxt"]).select(*columns)
     if n_lone:
-        single = places.select(key, "_text", "pos", "w").join(broadcast_if(lone, n_lone, TERMS_BROADCAST), "w")
-        postings = postings.union(single.select(key, "_text", "pos", "w", F.lit("").alias("nxt")))
-    return stage(postings, "postings")
+        single = places.drop("nxt").join(broadcast_if(lone, n_lone, TERMS_BROADCAST), "w").withColumn("nxt", F.lit(""))
+        postings = postings.union(single.select(*columns))
+    postings = stage(postings, "postings")
+    return postings.where("pos >= 0").drop("n_words"), postings.where("pos < 0").select(key, "_text", "n_words")
 
 
 def matches(postings: DataFrame, key: str, terms: DataFrame, slop: int = 0) -> DataFrame:
@@ -100,10 +118,11 @@ def matches(postings: DataFrame, key: str, terms: DataFrame, slop: int = 0) -> D
     return short.union(long)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, length: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     wins = stage(windows(benchmark, item, item_text, length), "windows")
     terms = stage(window_terms(wins), "window-terms")
-    return wins, stage(matches(index(docs, key, text, terms), key, terms), "matches")
+    postings, rows = index(docs, key, text, terms)
+    return wins, stage(matches(postings, key, terms), "matches"), rows
 
 
 def clean(
@@ -112,7 +131,7 @@ def clean(
 ) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with all their columns."""
     mark = fresh(docs, "_text")
-    _, found = _found(docs, benchmark, key, text, item, item_text, length)
+    _, found, _ = _found(docs, benchmark, key, text, item, item_text, length)
     gone = stage(found.select(key, F.col("_text").alias(mark)).distinct(), "contaminated")
     return without(docs.withColumn(mark, F.xxhash64(text)), gone, [key, mark]).drop(mark)
 
@@ -125,7 +144,7 @@ def contamination(
 
     A null item counts as one item in ``n_items``; the hash is over the other ids. ``length`` is at most 64.
     """
-    wins, found = _found(docs, benchmark, key, text, item, item_text, length)
+    wins, found, base = _found(docs, benchmark, key, text, item, item_text, length)
     hit = (
         found.select(key, "_text", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos"))
         .distinct()
@@ -142,11 +161,6 @@ def contamination(
             F.size(F.collect_set(F.struct(F.col("item").cast("string")))).alias("n_items"),
         )
     )
-    base = docs.select(
-        key,
-        F.xxhash64(text).alias("_text"),
-        F.coalesce(F.regexp_count(text, F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
     whole = joined(joined(base, hit, [key, "_text"], "left"), items, [key, "_text"], "left")
     none = F.array().cast("array<string>")
     return whole.select(
