@@ -46,10 +46,10 @@ def without(df: DataFrame, gone: DataFrame, keys: list[str], most: int = 500_000
     return joined(df, broadcast_if(gone.select(*keys), gone.count(), most), keys, "left_anti")
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
-    """Cut an Arrow batch of (id, text) into runs of rows of about ``most_bytes`` of text."""
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, column: int = 1):
+    """Cut an Arrow batch into runs of rows of about ``most_bytes`` of the text or bytes in a column."""
     start, held = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         held += n or 0
         if held >= most_bytes:
             yield batch.slice(start, i + 1 - start)

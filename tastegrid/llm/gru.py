@@ -63,10 +63,16 @@ def backward(layer: dict[str, np.ndarray], symbols: np.ndarray, kept: list, d_ou
         d_gates[t, 2 * h :] = d_cand
         d_back += d_own @ state.T
         d_state = d * z + back.T @ d_own
+    # cells of one symbol are brought together and added up
     flat = symbols.ravel()
-    rows = d_gates.transpose(1, 0, 2).reshape(3 * h, -1)
     n = layer["table"].shape[1]
-    d_table = np.stack([np.bincount(flat, weights=row, minlength=n) for row in rows]).astype(np.float32)
+    order = np.argsort(flat.astype(np.int16) if n < 1 << 15 else flat, kind="stable")
+    begins = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    cells = np.ascontiguousarray(d_gates.transpose(0, 2, 1)).reshape(-1, 3 * h)[order]
+    d_table = np.zeros((n, 3 * h), np.float32)
+    if len(flat):
+        d_table[flat[order[begins]]] = np.add.reduceat(cells, begins, axis=0)
+    d_table = d_table.T
     return {"table": d_table, "back": d_back}
 
 
@@ -80,11 +86,12 @@ class Adam:
         self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
         self.square = {k: np.zeros_like(v) for k, v in weights.items()}
 
-    def update(self, grads: dict[str, np.ndarray]) -> None:
+    def update(self, grads: dict[str, np.ndarray], share: float = 1.0) -> None:
+        """One step, or a ``share`` of it."""
         self.step += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = np.float32(min(1.0, self.clip / max(norm, 1e-12)))
-        rate = self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        rate = share * self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
         for k, g in grads.items():
             g = g * scale
             m, s = self.mean[k], self.square[k]
@@ -102,5 +109,10 @@ class Adam:
                 self.held[k] = g * np.float32(size)
         self.held_size += size
         if self.held_size >= least:
-            self.update({k: g / np.float32(self.held_size) for k, g in self.held.items()})
+            self.flush(least)
+
+    def flush(self, least: int) -> None:
+        """Update with what is held, by a step as much smaller as there are fewer than ``least`` examples."""
+        if self.held_size:
+            self.update({k: g / np.float32(self.held_size) for k, g in self.held.items()}, min(1.0, self.held_size / least))
             self.held, self.held_size = {}, 0

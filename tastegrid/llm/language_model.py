@@ -18,7 +18,7 @@ and the model is as it was initialised; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import log, log10
 
 import numpy as np
@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tastegrid.llm import gru
+from tastegrid.llm.common import slices
 from tastegrid.operators.staging import stage
 
 END = b""  # no word is empty
 HEAD = 65_536  # most words whose counts every task holds
 WIDTH = 512  # documents that learn side by side
 SPAN = 32  # steps of one backpropagation window
+SLICE = 1024  # tokens whose class probabilities are computed at a time
 STEP_TOKENS = 2048  # tokens behind one update of the weights
 FLUSH = 200_000  # distinct words a task holds before it passes their counts on
 BUFFER = 1 << 21  # tokens read before their documents are batched by length
@@ -110,21 +112,28 @@ class Model:
         mean negative log-likelihood."""
         w, n = self.weights, states.shape[1]
         group, at = slots // self.k, slots % self.k
-        top = w["class.w"] @ states
-        top += w["class.b"][:, None]
-        top -= top.max(0)
-        np.exp(top, out=top)
-        total = top.sum(0)
-        here = np.arange(n)
-        logs = np.log(top[group, here] / total).astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
+        logs = np.empty(n)
         if grads:
-            top /= total
-            top[group, here] -= 1
-            top /= n
-            out = {"class.w": top @ states.T, "class.b": top.sum(1), "word.w": np.zeros_like(w["word.w"]), "word.b": np.zeros_like(w["word.b"])}
-            d_states = w["class.w"].T @ top
+            out = {k: np.zeros_like(w[k]) for k in ("class.w", "class.b", "word.w", "word.b")}
+            d_states = np.empty_like(states)
+        for lo in range(0, n, SLICE):  # what a slice needs stays in the cache
+            part, chosen = states[:, lo : lo + SLICE], group[lo : lo + SLICE]
+            here = np.arange(len(chosen))
+            top = w["class.w"] @ part
+            top += w["class.b"][:, None]
+            top -= top.max(0)
+            np.exp(top, out=top)
+            total = top.sum(0)
+            logs[lo : lo + SLICE] = np.log(top[chosen, here] / total)
+            if grads:
+                top /= total
+                top[chosen, here] -= 1
+                top /= n
+                out["class.w"] += top @ part.T
+                out["class.b"] += top.sum(1)
+                d_states[:, lo : lo + SLICE] = w["class.w"].T @ top
+        order = np.argsort(group.astype(np.int16) if self.classes < 1 << 15 else group, kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             rows = order[bounds[c] : bounds[c + 1]]
             part = states[:, rows]
@@ -182,9 +191,15 @@ class Model:
                 owner = np.broadcast_to(np.array(group[:live]), valid.shape)[valid]
                 total += np.bincount(owner, weights=logs, minlength=len(docs))
                 state, came = states[-1], target[-1]
+        if step:
+            step.flush(STEP_TOKENS)
         return total
 
 
+def symbol_type(vocabulary: int) -> str:
+    return "<i2" if vocabulary <= 1 << 15 else "<i4"
+
+
 class _Places(dict):
     """Word to its place in the head; -1 for all others."""
 
@@ -204,7 +219,7 @@ class Counts:
         self.place = _Places({w: i for i, (w, _) in enumerate(ranked)})
         counts = np.array([c for _, c in ranked], np.float64)
         # the last entry stands for words outside the head
-        self.symbol = np.ones(len(ranked) + 1, np.int32)
+        self.symbol = np.ones(len(ranked) + 1, symbol_type(vocabulary))
         self.symbol[:inside] = np.arange(2, inside + 2)
         self.log = np.append(np.log10(counts + 0.5), 0.0)
         self.rest = total - int(counts[:inside].sum()) - end  # tokens outside the vocabulary
@@ -216,9 +231,6 @@ class Counts:
     def places(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.place.__getitem__, found), np.int32, len(found))
 
-    def symbols(self, found: list[bytes]) -> np.ndarray:
-        return np.append(self.symbol[self.places(found)], np.int32(0))
-
 
 def head_words(counts: DataFrame, most: int) -> list:
     """``(word, c)`` of the end mark and of the most frequent words.
@@ -236,20 +248,60 @@ def head_words(counts: DataFrame, most: int) -> list:
     return counts.where((F.col("word") == "") | (F.col("c") >= least)).collect()
 
 
-def buffers(batches: Iterator[pa.RecordBatch], column: int, digest: Callable[[list[bytes]], tuple]) -> Iterator[list[tuple]]:
-    """Documents as ``(symbols, …)`` by ``digest``, each with the row's other values at the end, in runs of about
-    ``BUFFER`` tokens. Words are not kept."""
-    held, size = [], 0
+def symbolised(docs: DataFrame, held_out: Column, key: str, text: str, known: Counts) -> DataFrame:
+    """One row per document: its symbols as bytes, the number of words in the head, the sum of their count logs, of those
+    outside the vocabulary, their number, and the other words with their numbers; ``place`` orders the sample."""
+    kind, key_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
+    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for part in slices(batch):
+                out: list[list] = [[] for _ in range(7)]
+                for value in part.column(1):
+                    found = words(value.as_py())
+                    at = known.places(found)
+                    ids, logs = known.symbol[at], known.log[at]
+                    outside = np.flatnonzero(at < 0)
+                    tail = Counter(found[i] for i in outside.tolist())
+                    rest = ids == 1
+                    values = (
+                        row, np.append(ids, ids.dtype.type(0)).tobytes(), len(found) - len(outside), float(logs.sum()),
+                        float(logs[rest].sum()), int(rest.sum()), [{"word": w, "n": n} for w, n in tail.items()],
+                    )
+                    for column, v in zip(out, values):
+                        column.append(v)
+                    row += 1
+                tails = pa.array(out[6], tail_type).cast(pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).cast(key_type), *(part.column(i) for i in (2, 3)), *(pa.array(c, t) for c, t in zip(out, kinds)), tails],
+                    names=[key, "held_out", "place", "row", "symbols", "n_head", "head_sum", "rest_sum", "n_rest", "tail"],
+                )
+
+    place = F.pmod(F.xxhash64(F.lit("lm"), F.col(key), F.length(text)), F.lit(1 << 20))
+    rows = docs.select(key, F.col(text).alias("text"), held_out.alias("held_out"), place.alias("place"))
+    return rows.mapInArrow(
+        run,
+        f"`{key}` {kind}, held_out boolean, place bigint, row bigint, symbols binary, n_head bigint, head_sum double, rest_sum double, "
+        "n_rest bigint, tail array<struct<word:string,n:bigint>>",
+    )
+
+
+def buffers(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """Rows and the symbols in their first column, in runs of about ``BUFFER`` tokens."""
+    held, docs, size = [], [], 0
     for batch in batches:
-        others = [batch.column(i).to_pylist() for i in range(batch.num_columns) if i != column]
-        for i, value in enumerate(batch.column(column)):
-            held.append((*digest(words(value.as_py())), [x[i] for x in others]))
-            size += len(held[-1][0])
+        for part in slices(batch, column=0):
+            docs += [np.frombuffer(v.as_buffer(), kind) for v in part.column(0)]
+            held.append(part.select(part.schema.names[1:]))
+            size += sum(map(len, docs[-part.num_rows :]))
             if size >= BUFFER:
-                yield held
-                held, size = [], 0
+                yield pa.Table.from_batches(held), docs
+                held, docs, size = [], [], 0
     if held:
-        yield held
+        yield pa.Table.from_batches(held), docs
 
 
 def _averaged(model: Model, parts: DataFrame, fold: int = 16) -> np.ndarray:
@@ -274,34 +326,28 @@ def _averaged(model: Model, parts: DataFrame, fold: int = 16) -> np.ndarray:
     return sum(np.frombuffer(r[1], np.float32) * (r[0] / tokens) for r in found) if tokens else model.vector()
 
 
-def fit(
-    train: DataFrame, key: str, text: str, counts: DataFrame, vocabulary: int, hidden: int, per_class: int,
-    sample_tokens: int, rate: float, seed: int = 5,
-) -> tuple[Model, Counts]:
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = Counts(head_words(counts, HEAD), totals[0], totals[1], vocabulary)
-    model = Model(known.start, hidden, per_class, seed)
+def fit(train: DataFrame, known: Counts, hidden: int, per_class: int, vocabulary: int, sample_tokens: int, rate: float, seed: int = 5) -> Model:
+    """A model of the symbols of ``train``. Its weights depend on how the rows are dealt over tasks, as each task's are
+    averaged once."""
+    model, kind = Model(known.start, hidden, per_class, seed), symbol_type(vocabulary)
     # the sample: pieces of at most 256 words from documents chosen by hash, one of the pieces of each
-    ends = known.end
     wanted = sample_tokens // 256
-    place = F.pmod(F.xxhash64(F.lit("lm"), F.col(key), F.length(text)), F.lit(1 << 20))
-    share = min(1 << 20, -(-(1 << 20) * 2 * wanted // max(1, ends)))
+    share = min(1 << 20, -(-(1 << 20) * 2 * wanted // max(1, known.end)))
 
     def piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for p, value in zip(batch.column(0), batch.column(1)):
-                found = known.symbols(words(value.as_py()))
-                cuts = max(1, len(found) // 256)
-                at = 256 * (p.as_py() % cuts)
-                out.append(found[at : at + 256])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["place", "symbols"])
-
-    chosen = train.select(place.alias("place"), F.col(text).alias("text")).where(F.col("place") < share)
-    pieces = chosen.mapInArrow(piece, "place bigint, symbols array<int>").limit(wanted).collect()
+                found = np.frombuffer(value.as_buffer(), kind)
+                at = 256 * (p.as_py() % max(1, len(found) // 256))
+                out.append(found[at : at + 256].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["place", "symbols"])
+
+    chosen = train.select("place", "symbols").where(F.col("place") < share)
+    pieces = chosen.mapInArrow(piece, "place bigint, symbols binary").limit(wanted).collect()
     if pieces:
         step = gru.Adam(model.weights, rate)
-        docs = [np.array(r[1], np.int64) for r in sorted(pieces)]
+        docs = [np.frombuffer(s, kind) for _, s in sorted((r[0], bytes(r[1])) for r in pieces)]
         model.run(docs, step, width=64)
         step.rate = rate / 2
         model.run(docs, step, width=64)
@@ -310,17 +356,17 @@ def fit(
         own = Model(known.start, hidden, per_class, seed)
         own.load(start)
         step, seen = gru.Adam(own.weights, rate / 4), 0
-        for held in buffers(batches, 0, lambda found: (known.symbols(found),)):
-            own.run([x[0] for x in held], step)
-            seen += sum(len(x[0]) for x in held)
+        for _, docs in buffers(batches, kind):
+            own.run(docs, step)
+            seen += sum(map(len, docs))
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([seen], pa.int64()), pa.array([own.vector().tobytes()], pa.binary())], names=["tokens", "weights"]
             )
 
     start = model.vector()
-    model.load(_averaged(model, stage(train.select(text).mapInArrow(learn, "tokens bigint, weights binary"), "lm-weights")))
-    return model, known
+    model.load(_averaged(model, stage(train.select("symbols").mapInArrow(learn, "tokens bigint, weights binary"), "lm-weights")))
+    return model
 
 
 def scores(
@@ -328,60 +374,36 @@ def scores(
     per_class: int = 32, sample_tokens: int = 200_000, rate: float = 0.01,
 ) -> DataFrame:
     """``(key, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``."""
-    train = docs.where(~held_out)
-    counts = stage(count_words(train, text), "lm-counts")
-    model, known = fit(train, key, text, counts, vocabulary, hidden, per_class, sample_tokens, rate)
-    vector = model.vector()
+    counts = stage(count_words(docs.where(~held_out), text), "lm-counts")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    known, symbols = Counts(head_words(counts, HEAD), totals[0], totals[1], vocabulary), symbol_type(vocabulary)
+    # every text is cut into words twice, to count them and to write its symbols
+    coded = stage(symbolised(docs, held_out, key, text, known), "lm-symbols")
+    vector = fit(coded.where(~F.col("held_out")), known, hidden, per_class, vocabulary, sample_tokens, rate).vector()
     kind = docs.schema[key].dataType.simpleString()
-    key_type = to_arrow_type(docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(known.start, hidden, per_class, 0)
         own.load(vector)
-        row = TaskContext.get().partitionId() << 36
         end_log = log10(known.end + 0.5)
-
-        def digest(found: list[bytes]) -> tuple:
-            """Symbols, words in the head, sum of their count logs, of those outside the vocabulary, their number, tail."""
-            at = known.places(found)
-            ids, logs = known.symbol[at], known.log[at]
-            outside = np.flatnonzero(at < 0)
-            tail = Counter(found[i] for i in outside.tolist())
-            rest = ids == 1
-            return np.append(ids, np.int32(0)), len(found) - len(outside), float(logs.sum()), float(logs[rest].sum()), int(rest.sum()), tail
-
-        for held in buffers(batches, 1, digest):
-            found = own.run([x[0] for x in held]) / log(10)
-            out: list[list] = [[] for _ in range(6)]
-            for (ids, n_head, head_sum, rest_sum, n_rest, tail, _), p in zip(held, found.tolist()):
-                values = (
-                    row, len(ids), n_head + (known.end > 0), head_sum + end_log, p + rest_sum - n_rest * known.rest_log,
-                    [{"word": w, "n": n} for w, n in tail.items()],
-                )
-                for column, v in zip(out, values):
-                    column.append(v)
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            tails = pa.array(out[5], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[-1][0] for x in held], key_type),
-                    pa.array([x[-1][1] for x in held], pa.bool_()),
-                    *(pa.array(c, t) for c, t in zip(out, kinds)),
-                    tails.cast(pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-                ],
-                names=[key, "held_out", "row", "n_tokens", "n_known", "head_sum", "model_sum", "tail"],
-            )
-
+        for rows, found in buffers(batches, symbols):
+            p = own.run(found) / log(10)
+            n_head, head_sum, rest_sum, n_rest = (rows[c].to_numpy() for c in ("n_head", "head_sum", "rest_sum", "n_rest"))
+            made = [np.array(list(map(len, found)), np.int64), n_head + (known.end > 0), head_sum + end_log, p + rest_sum - n_rest * known.rest_log]
+            table = rows.select([key, "held_out", "row"])
+            for name, values in zip(("n_tokens", "n_known", "head_sum", "model_sum"), made):
+                table = table.append_column(name, pa.array(values))
+            yield from table.combine_chunks().to_batches()
+
+    placed = coded.select("symbols", key, "held_out", "row", "n_head", "head_sum", "rest_sum", "n_rest")
+    schema = f"`{key}` {kind}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, head_sum double, model_sum double"
+    passed = placed.mapInArrow(run, schema)
     # words whose count only the table of counts has travel to it
-    schema = f"`{key}` {kind}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, head_sum double, model_sum double, tail array<struct<word:string,n:bigint>>"
-    placed = docs.select(key, F.col(text).alias("text"), held_out.alias("held_out"))
-    passed = stage(placed.mapInArrow(run, schema), "lm-scored")
-    tail = passed.select("row", F.inline("tail")).join(counts, "word", "left")
+    tail = coded.select("row", F.inline("tail")).join(counts, "word", "left")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("n")
     sums = tail.groupBy("row").agg(F.sum(log_c).alias("tail_sum"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("tail_known"))
     more = F.coalesce("tail_sum", F.lit(0.0))
-    return passed.drop("tail").join(sums, "row", "left").select(
+    return passed.join(sums, "row", "left").select(
         key,
         "held_out",
         "n_tokens",

@@ -77,7 +77,7 @@ def test_proximity(frame):
     docs = frame([(1, "aa bb x cc dd ee"), (2, "aa bb cc dd ee"), (3, "aa bb x y z cc dd ee")], "doc_id long, text string")
     terms = positional.window_terms(positional.windows(frame([(1, "aa bb zz cc dd ee aa bb")], "i long, t string"), "i", "t", 2)).where("w != 'zz' and nxt != 'zz'")
     near = positional.window_terms(positional.windows(frame([(1, "bb cc dd ee")], "i long, t string"), "i", "t", 3))
-    postings = positional.index(docs, "doc_id", "text", near.union(terms))
+    postings, _ = positional.index(docs, "doc_id", "text", near.union(terms))
     assert {r.doc_id for r in positional.matches(postings, "doc_id", near).where("win = 'bb cc dd'").collect()} == {2}
     spread = near.where("win = 'cc dd ee'")
     assert {r.doc_id for r in positional.matches(postings, "doc_id", spread, slop=1).collect()} == {1, 2, 3}
@@ -118,6 +118,9 @@ def test_language_model_gradients_and_carried_state(monkeypatch):
             for k, g in grads.items():
                 held[k] = held.get(k, 0) + g * size
 
+        def flush(self, least):
+            pass
+
     model.run(docs, Catch())
     for name, i in [("g.table", 3), ("g.back", 2), ("class.w", 1), ("class.b", 0), ("word.w", 9), ("word.b", 5)]:
         assert -held[name].flat[i] == pytest.approx(numeric(lambda: model.run(docs).sum(), model.weights[name], i), abs=2e-2)
@@ -129,6 +132,26 @@ def test_language_model_gradients_and_carried_state(monkeypatch):
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_few_tokens_teach_too():
+    """Less than one step's tokens make a smaller step; none are thrown away."""
+    rng = np.random.default_rng(3)
+    model = language_model.Model(np.ones(8), 5, 4, 2)
+    docs = [np.array([2, 3, 2, 3, 2, 3, 2, 3, 0] * 5) for _ in range(10)]
+    assert sum(map(len, docs)) < 500 < language_model.STEP_TOKENS
+    before, step = model.run(docs).sum(), gru.Adam(model.weights, 0.01)
+    for _ in range(50):
+        model.run(docs, step)
+    assert step.held_size == 0 and step.step == 50 and model.run(docs).sum() > before + 50
+    # the size of the step follows the share
+    whole, part = {"w": np.zeros(3, np.float32)}, {"w": np.zeros(3, np.float32)}
+    grads = {"w": rng.normal(size=3).astype(np.float32)}
+    a, b = gru.Adam(whole, 0.1), gru.Adam(part, 0.1)
+    a.gather(dict(grads), 100, 100)
+    b.gather(dict(grads), 25, 100)
+    b.flush(100)
+    assert np.allclose(whole["w"], 4 * part["w"])
+
+
 def held(k, n):
     return zlib.crc32(("" if k is None else str(k)).encode()) % n
 
