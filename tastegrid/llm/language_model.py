@@ -252,14 +252,14 @@ def symbolised(docs: DataFrame, held_out: Column, key: str, text: str, known: Co
     """One row per document: its symbols as bytes, the number of words in the head, the sum of their count logs, of those
     outside the vocabulary, their number, and the other words with their numbers; ``place`` orders the sample."""
     kind, key_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(6)]
+                tail_words, tail_n, tail_ends = [], [], [0]
                 for value in part.column(1):
                     found = words(value.as_py())
                     at = known.places(found)
@@ -269,12 +269,17 @@ def symbolised(docs: DataFrame, held_out: Column, key: str, text: str, known: Co
                     rest = ids == 1
                     values = (
                         row, np.append(ids, ids.dtype.type(0)).tobytes(), len(found) - len(outside), float(logs.sum()),
-                        float(logs[rest].sum()), int(rest.sum()), [{"word": w, "n": n} for w, n in tail.items()],
+                        float(logs[rest].sum()), int(rest.sum()),
                     )
                     for column, v in zip(out, values):
                         column.append(v)
+                    tail_words.extend(tail)
+                    tail_n.extend(tail.values())
+                    tail_ends.append(len(tail_n))
                     row += 1
-                tails = pa.array(out[6], tail_type).cast(pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+                texts = pa.array(tail_words, pa.binary()).cast(pa.string())
+                entries = pa.StructArray.from_arrays([texts, pa.array(tail_n, pa.int64())], names=["word", "n"])
+                tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), entries)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(key_type), *(part.column(i) for i in (2, 3)), *(pa.array(c, t) for c, t in zip(out, kinds)), tails],
                     names=[key, "held_out", "place", "row", "symbols", "n_head", "head_sum", "rest_sum", "n_rest", "tail"],

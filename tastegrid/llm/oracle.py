@@ -81,21 +81,27 @@ arc AS (
   SELECT 'trust' AS kind, src AS host, dst AS t, n / sum(n) OVER (PARTITION BY src) AS share FROM link UNION ALL
   SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM link
 ),
-flow(k, kind, host, x) AS (
-  SELECT 0, kind, host, s FROM seed
+flow(k, kind, host, x, y) AS (
+  SELECT 0, kind, host, s, 1.0::DOUBLE FROM seed
   UNION ALL
-  SELECT k, kind, host, sum(x) FROM (
-    SELECT k + 1 AS k, arc.kind, arc.t AS host, x * share * 0.85 AS x FROM flow JOIN arc ON flow.kind = arc.kind AND flow.host = arc.host WHERE k < 100
+  SELECT k, kind, host, sum(x), sum(y) FROM (
+    SELECT k + 1 AS k, arc.kind, arc.t AS host, x * share * 0.85 AS x, y * share * 0.85 AS y
+    FROM flow JOIN arc ON flow.kind = arc.kind AND flow.host = arc.host WHERE k < 100
     UNION ALL
-    SELECT m.k + 1, seed.kind, seed.host, s * 0.15 FROM seed, (SELECT DISTINCT k FROM flow WHERE k < 100) m
+    SELECT m.k + 1, seed.kind, seed.host, s * 0.15, 0.15 FROM seed, (SELECT DISTINCT k FROM flow WHERE k < 100) m
   ) GROUP BY k, kind, host
 ),
+part AS (  -- a host's score over that of a seed of 1 everywhere, at least its own seed
+  SELECT host, kind, x, greatest(coalesce(s, 0), coalesce(x / nullif(y, 0), 0)) AS part
+  FROM flow LEFT JOIN seed USING (kind, host) WHERE k = 100
+),
 score AS (
-  SELECT host, coalesce(sum(x) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(x) FILTER (kind = 'distrust'), 0) AS distrust
-  FROM flow WHERE k = 100 GROUP BY host
+  SELECT host, coalesce(sum(x) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(x) FILTER (kind = 'distrust'), 0) AS distrust,
+    coalesce(sum(part) FILTER (kind = 'distrust'), 0) - coalesce(sum(part) FILTER (kind = 'trust'), 0) AS more
+  FROM part GROUP BY host
 )
 SELECT page_id, judged.host, path, rule,
-  coalesce(by_rule, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(by_rule, CASE WHEN round(coalesce(more, 0) - 0.5, 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(trust, 0), 5)::DOUBLE AS trust, round(coalesce(distrust, 0), 5)::DOUBLE AS distrust
 FROM judged LEFT JOIN score ON score.host = judged.host
 """

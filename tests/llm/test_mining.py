@@ -7,6 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -249,3 +250,25 @@ def test_visits_follow_the_distance():
                     cost += max(lo - at[table, j, a], at[table, j, a] - hi, 0) ** 2
                 costs.append(cost)
             assert np.allclose(costs, sorted(costs)) and len(set(names[j].tolist())) == len(costs)
+
+
+def test_best_of_a_task():
+    """What is left after pruning is what a plain sort leaves, whatever came in between."""
+    rnd = np.random.default_rng(8)
+    best, kept = neighbours.Best(3), {}
+    for _ in range(30):
+        names = [(int(q), 7) for q in rnd.choice(6, 4, replace=False)]
+        asked = best.numbered(names)
+        j = np.repeat(np.arange(4), 5)
+        rep, score = rnd.integers(0, 40, 20), rnd.integers(0, 50, 20) / 8.0
+        score = np.array([kept.setdefault((names[a], r), s) for a, r, s in zip(j.tolist(), rep.tolist(), score.tolist())])
+        best.add(asked[j], pa.array(rep), pa.array(rep * 10), score)
+        if rnd.random() < 0.3:
+            best.prune()
+    best.prune()
+    got = {(x["q"], x["rep"]): x["score"] for b in best.rows(pa.int64()) for x in b.to_pylist()}
+    want = {}
+    for q in range(6):
+        own = sorted(((s, r) for (n, r), s in kept.items() if n[0] == q), reverse=True)
+        want |= {(q, r): s for s, r in own if s >= own[min(2, len(own) - 1)][0]}
+    assert got == want and best.held == 0

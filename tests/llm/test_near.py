@@ -2,6 +2,7 @@
 
 import math
 import random
+import struct
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -175,6 +176,23 @@ def test_shards(frame, spark):
     assert shards.assign(odd.limit(0), "doc_id", "text", [1.0, 2.0]).count() == 0
 
 
+def test_draws_are_recomputed(frame):
+    """The winner of every key, drawn again with the hash of another library."""
+    weights = [1.0, 2.0, 0.5, 3.0, 1.0]
+    keys = [None, *range(-50, 250), 2**62, -(2**63)]
+
+    def winner(key):
+        h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        best = []
+        for i, w in enumerate(weights):
+            drawn = xxhash.xxh64_intdigest(b"rendezvous", xxhash.xxh64_intdigest(struct.pack("<i", i), h)) >> 11
+            best.append((-w / math.log((drawn + 0.5) / 2**53), -i))
+        return -max(best)[1]
+
+    got = shards.assign(frame([(k, "t") for k in keys], "id long, text string"), "id", "text", weights).collect()
+    assert sorted((str(r.id), r.shard) for r in got) == sorted((str(k), winner(k)) for k in keys)
+
+
 def test_shard_weights(spark):
     keys = spark.range(20_000).selectExpr("id", "'t' AS text")
     got = shards.assign(keys, "id", "text", [1.0, 2.0, 5.0]).groupBy("shard").count().toPandas().set_index("shard")["count"]
