@@ -7,10 +7,9 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Params:
-    # Results depend on everything up to the physical section.
+    # Results depend on everything up to the own settings.
     # --- ranking -------------------------------------------------------------
     top_n: int = 10
-    score_digits: int = 7          # scores are ranked after rounding, ties go to the lower id
     page_size: int = 12
     pool_size: int = 500           # candidates each component hands to the blend
     # --- splits --------------------------------------------------------------
@@ -27,9 +26,6 @@ class Params:
     # --- factors -------------------------------------------------------------
     svd_components: int = 50
     svd_grid: tuple[int, ...] = (20, 50, 100)
-    svd_tolerance: float = 1e-4    # residual of a kept vector, relative to its squared singular value
-    svd_max_rounds: int = 400      # products; not converged by then is an error
-    svd_oversample: int = 10       # at least; the basis is never narrower than 1.5 k
     min_grid_rows: int = 200
     als_rank: int = 100
     als_iterations: int = 20
@@ -63,7 +59,11 @@ class Params:
     history_limit: int = 100
     suggestions: int = 6
     suggestion_genres: int = 2
-    # --- physical ------------------------------------------------------------
+    # --- own settings of the jobs --------------------------------------------
+    score_digits: int = 7          # scores are ranked after rounding, ties go to the lower id
+    svd_tolerance: float = 1e-4    # residual of a kept vector, relative to its squared singular value
+    svd_max_rounds: int = 400      # products; not converged by then is an error
+    svd_oversample: int = 10       # vectors that are refined beside the kept ones
     rows_per_block: int = 2_048    # edge of one score tile: memory is rows_per_block² doubles
     rows_per_split: int = 1_000_000  # a key with more rows than this is spread over several tasks
     solve_chunk: int = 4_096       # ratings of one user per partial normal equation

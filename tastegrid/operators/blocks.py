@@ -1,13 +1,13 @@
-"""Exact top-n over products of two long-form matrices, computed tile by tile.
+"""Exact top-n over products of two long-form matrices.
 
 ``left`` holds rows ``(l, col, w…)`` and ``right`` holds ``(r, col, w…)``. Each wanted score of a pair
 ``(l, r)`` is built from sums over the shared columns, ``Σ w·w``. A plain join on ``col`` would emit
 every pair that shares a column, so a column used by a third of all rows would explode. Here rows are
-dealt into blocks by hash, the entries of one block and column are packed into one record (at most
-``rows_per_block`` entries), and Spark shuffles each record to the tiles (left block × right block)
-that need it, sorted by column. A task adds the products into one dense tile as the records stream by;
-only the best n of each tile leave it. Memory is bounded by ``rows_per_block²`` and one Arrow batch,
-whatever the length of a row or column, and no candidate is ever dropped early.
+dealt into blocks by hash and the entries of one block and column are packed into one record (at most
+``rows_per_block`` entries). Spark joins the records of both sides on the column, so a record only meets
+blocks that hold its column, and groups what met by (left block, right block). The product of such a pair of
+blocks is a NumPy kernel on one dense tile; only the best n of each tile leave it. Memory is bounded by
+``rows_per_block²`` and the entries of two blocks; no candidate is ever dropped early.
 """
 
 from __future__ import annotations
@@ -16,33 +16,31 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tastegrid.config import DEFAULTS
-from tastegrid.operators.ranking import top_n
+from tastegrid.operators.ranking import global_rank, top_n
+from tastegrid.operators.skew import split_join
+from tastegrid.operators.staging import stage
 
 _STEP_PRODUCTS = 2_000_000  # products expanded per step for rare columns
 _DENSE_COLUMNS = 256        # frequent columns multiplied per matrix product
 _DENSE_SHARE = 400          # a column is frequent when its products exceed tile area / this
 _CACHED_CELLS = 1 << 18    # tile cells ranked at a time
 _MIN_BLOCKS = 4
-_TASKS_PER_SLOT = 4         # finer than the slots, so that tiles of uneven cost even out
-
-# kinds of record sent to a tile; a left record sorts right before the right record of its column
-_SKIP, _BIAS, _LEFT, _RIGHT = 0, 1, 2, 3
-_SETUP, _FIRST, _SECOND = 0, 1, 2  # phases within a tile
+_ENTRIES_PER_BLOCK = 2_000_000
+_RECORDS_PER_SPLIT = 256    # records of a column beyond which the join deals them over several tasks
+NOISE = 1e-12  # a sum of products counts as positive above this: rounding leaves about 1e-16, ratings differ by far more
 
 Finish = Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]
-_EMPTY = pa.RecordBatch.from_pydict(
-    {"l": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-)
+_OUT = "l long, r long, score double"
 
 
 def finish_dot(acc: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Plain product; only scores that stay positive after rounding count."""
-    return acc[0], acc[0] >= 0.5 * 10.0**-DEFAULTS.score_digits
+    """Plain product; only positive scores count."""
+    return acc[0], acc[0] > NOISE
 
 
 def finish_weighted_mean(acc: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +51,11 @@ def finish_weighted_mean(acc: list[np.ndarray], bias: np.ndarray) -> tuple[np.nd
     return bias[None, :] + acc[0] / np.where(acc[1] > 0, acc[1], 1.0), ok
 
 
+def finish_all(acc: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair counts."""
+    return acc[0], np.ones(acc[0].shape, bool)
+
+
 def finish_biased(acc: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``bias + Σ``; every right row that has a bias is a candidate, shared columns or not."""
     return bias[None, :] + acc[0], np.broadcast_to(~np.isnan(bias)[None, :], acc[0].shape)
@@ -90,223 +93,130 @@ def runs(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-class _Places:
-    """Row numbers inside a tile, handed out in order of arrival."""
-
-    def __init__(self) -> None:
-        self.at: dict[int, int] = {}
-
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        codes, uniq = pd.factorize(ids)
-        at = self.at
-        return np.array([at.setdefault(u, len(at)) for u in uniq.tolist()], dtype=np.int64)[codes]
+# --- one tile -------------------------------------------------------------------------------------
 
-    def known(self, ids: np.ndarray) -> np.ndarray:
-        """Place or -1, without handing out new ones."""
-        return np.array([self.at.get(i, -1) for i in ids.tolist()], dtype=np.int64)
 
-    def ids(self) -> np.ndarray:
-        return np.fromiter(self.at.keys(), dtype=np.int64, count=len(self.at))
+class _Side:
+    """The entries of one side of a tile's records, in the order of the records."""
 
-
-class _Packed:
-    """Column view of a batch of packed records."""
-
-    def __init__(self, batch: pa.RecordBatch, sums: int) -> None:
-        get = lambda name: batch.column(batch.schema.get_field_index(name))
-        self.tile = get("lb").to_numpy(zero_copy_only=False).astype(np.int64) * (1 << 31) + get("rb").to_numpy(
-            zero_copy_only=False
-        )
-        self.phase = get("phase").to_numpy(zero_copy_only=False)
-        self.kind = get("kind").to_numpy(zero_copy_only=False)
-        self.col = get("col")
-        self.ident = get("id").fill_null(-1).to_numpy(zero_copy_only=False)
-        lists = get("e")
-        self.start = lists.offsets.to_numpy()[:-1].astype(np.int64)
+    def __init__(self, lists: pa.ChunkedArray, weights: list[str]):
+        lists = lists.combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         self.size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        inner = lists.values
-        self.ids = inner.field("id").to_numpy(zero_copy_only=False)
-        self.w = [inner.field(f"w{i}").to_numpy(zero_copy_only=False) for i in range(sums)]
-
-    def entries(self, records: np.ndarray) -> np.ndarray:
-        """Positions of all entries of the given records."""
-        sizes = self.size[records]
-        return np.repeat(self.start[records], sizes) + runs(sizes)
-
-
-class _Tile:
-    """Accumulators of one left block × right block."""
-
-    def __init__(self, sums: int) -> None:
-        self.lefts, self.rights = _Places(), _Places()
-        self.acc = [np.zeros((0, 0)) for _ in range(sums)]
-        self.bias: dict[int, float] = {}
-        self.skip: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def _fit(self) -> None:
-        need = (len(self.lefts.at), len(self.rights.at))
-        have = self.acc[0].shape
-        if need[0] > have[0] or need[1] > have[1]:
-            grown = tuple(max(h, int(m * 1.25) + 16) if m > h else h for m, h in zip(need, have))
-            for i, old in enumerate(self.acc):
-                new = np.zeros(grown)
-                new[: have[0], : have[1]] = old
-                self.acc[i] = new
-
-    def setup(self, p: _Packed, records: np.ndarray) -> None:
-        bias = p.entries(records[p.kind[records] == _BIAS])
-        if len(bias):
-            self.bias.update(zip(p.ids[bias].tolist(), p.w[0][bias].tolist()))
-            self.rights.of(p.ids[bias])
-        skip = records[p.kind[records] == _SKIP]
-        if len(skip):
-            self.skip.append((p.ids[p.entries(skip)], np.repeat(p.ident[skip], p.size[skip])))
-
-    def add(self, p: _Packed, left: np.ndarray, right: np.ndarray) -> None:
-        """Add the products of matching left and right records (same column, same order)."""
-        l_pos, r_pos = p.entries(left), p.entries(right)
-        l_at, r_at = self.lefts.of(p.ids[l_pos]), self.rights.of(p.ids[r_pos])
-        self._fit()
-        l_size, r_size = p.size[left], p.size[right]
-        area = len(self.lefts.at) * len(self.rights.at)
-        frequent = l_size * r_size * _DENSE_SHARE > area
-        l_col = np.repeat(np.arange(len(left)), l_size)
-        r_col = np.repeat(np.arange(len(right)), r_size)
-        l_w, r_w = [w[l_pos] for w in p.w], [w[r_pos] for w in p.w]
-        self._add_frequent(np.flatnonzero(frequent), l_col, r_col, l_at, r_at, l_w, r_w)
-        rare = ~frequent[l_col]
-        counts = r_size[l_col[rare]]
-        begin = (np.cumsum(r_size) - r_size)[l_col[rare]]
-        self._add_rare(counts, begin, l_at[rare], r_at, [w[rare] for w in l_w], r_w)
-
-    def _add_frequent(self, columns, l_col, r_col, l_at, r_at, l_w, r_w) -> None:
-        slot = np.full(int(max(l_col.max(initial=-1), r_col.max(initial=-1))) + 1, -1)
-        nl, nr = len(self.lefts.at), len(self.rights.at)
-        for lo in range(0, len(columns), _DENSE_COLUMNS):
-            part = columns[lo : lo + _DENSE_COLUMNS]
-            slot[:] = -1
-            slot[part] = np.arange(len(part))
-            li, ri = np.flatnonzero(slot[l_col] >= 0), np.flatnonzero(slot[r_col] >= 0)
-            for acc, lw, rw in zip(self.acc, l_w, r_w):
-                a, b = np.zeros((nl, len(part))), np.zeros((nr, len(part)))
-                a[l_at[li], slot[l_col[li]]] = lw[li]
-                b[r_at[ri], slot[r_col[ri]]] = rw[ri]
-                acc[:nl, :nr] += a @ b.T
-
-    def _add_rare(self, counts, begin, l_at, r_at, l_w, r_w) -> None:
-        ends = np.cumsum(counts)
-        width = self.acc[0].shape[1]
-        lo = 0
-        while lo < len(l_at):
-            done = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, done + _STEP_PRODUCTS, side="right")))
-            c = counts[lo:hi]
-            li = np.repeat(np.arange(lo, hi), c)
-            ri = np.repeat(begin[lo:hi], c) + runs(c)
-            cells = l_at[li] * width + r_at[ri]
-            for acc, lw, rw in zip(self.acc, l_w, r_w):
-                np.add.at(acc.reshape(-1), cells, lw[li] * rw[ri])
-            lo = hi
-
-    def best(self, n: int | None, digits: int, finish: Finish, same: bool) -> Iterator[pa.RecordBatch]:
-        """Winners of a few rows at a time, so that temporaries stay in the cache."""
-        self._fit()
-        left_ids, right_ids = self.lefts.ids(), self.rights.ids()
-        if not len(left_ids) or not len(right_ids):
-            return
-        bias = np.array([self.bias.get(r, np.nan) for r in right_ids.tolist()]) if self.bias else np.zeros(len(right_ids))
-        if not same:
-            self.skip.append((left_ids, left_ids))
-        li, ri = self.skipped(self.rights)
-        step = max(1, _CACHED_CELLS // len(right_ids))
-        for lo in range(0, len(left_ids), step):
-            hi = min(lo + step, len(left_ids))
-            score, valid = finish([a[lo:hi, : len(right_ids)] for a in self.acc], bias)
-            first, last = np.searchsorted(li, [lo, hi])
-            if first < last:
-                valid = np.array(valid)
-                valid[li[first:last] - lo, ri[first:last]] = False
-            yield best_of_tile(score, valid, left_ids[lo:hi], right_ids, n or len(right_ids), digits)
-
-    def skipped(self, rights: _Places) -> tuple[np.ndarray, np.ndarray]:
-        """Row and column places of the forbidden pairs, sorted by row."""
-        if not self.skip:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        li = np.concatenate([self.lefts.known(ls) for ls, _ in self.skip])
-        ri = np.concatenate([rights.known(rs) for _, rs in self.skip])
-        both = (li >= 0) & (ri >= 0)
-        li, ri = li[both], ri[both]
-        order = np.argsort(li, kind="stable")
-        return li[order], ri[order]
-
-
-def _pairs(p: _Packed, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Left records directly followed by the right record of the same column."""
-    a, b = records[:-1], records[1:]
-    turn = (p.kind[a] == _LEFT) & (p.kind[b] == _RIGHT)
-    a, b = a[turn], b[turn]
-    if len(a):
-        same = pa.compute.equal(p.col.take(pa.array(a)), p.col.take(pa.array(b))).to_numpy(zero_copy_only=False)
-        a, b = a[same.astype(bool)], b[same.astype(bool)]
-    return a, b
-
-
-def _stream(batches: Iterator[pa.RecordBatch], sums: int) -> Iterator[tuple[int, int, _Packed, np.ndarray]]:
-    """``(tile, phase, batch, records)`` in order; a trailing left record waits for its partner."""
-    carry: pa.RecordBatch | None = None
-    for batch in batches:
-        if carry is not None:
-            batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
-            carry = None
-        p = _Packed(batch, sums)
-        total = len(p.kind)
-        if not total:
-            continue
-        if p.kind[-1] == _LEFT:
-            carry = batch.slice(total - 1)
-            total -= 1
-        marks = p.tile[:total] * 4 + p.phase[:total]
-        edges = np.flatnonzero(np.diff(marks)) + 1
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), total]):
-            if lo < hi:
-                yield int(p.tile[lo]), int(p.phase[lo]), p, np.arange(lo, hi)
-    if carry is not None:
-        p = _Packed(carry, sums)
-        yield int(p.tile[0]), int(p.phase[0]), p, np.arange(1)
-
-
-def _tiles(sums: int, n: int | None, digits: int, finish: Finish, same: bool):
-    """``mapInArrow`` body: records arrive sorted by tile, set-up first, then by column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tile = None, None
-        for mark, phase, p, records in _stream(batches, sums):
-            if mark != key:
-                if tile is not None:
-                    yield from tile.best(n, digits, finish, same)
-                key, tile = mark, _Tile(sums)
-            if phase == _SETUP:
-                tile.setup(p, records)
-            else:
-                if finish is finish_biased:  # rows without any shared column rank the items too
-                    tile.lefts.of(p.ids[p.entries(records[p.kind[records] == _LEFT])])
-                left, right = _pairs(p, records)
-                if len(left):
-                    tile.add(p, left, right)
-        if tile is not None:
-            yield from tile.best(n, digits, finish, same)
-
-    return run
+        inner = lists.flatten()
+        self.ids, self.at = np.unique(inner.field("id").to_numpy(zero_copy_only=False), return_inverse=True)
+        self.w = [inner.field(w).to_numpy(zero_copy_only=False) for w in weights]
+        self.record = np.repeat(np.arange(len(self.size)), self.size)
+        self.inner = inner
+
+
+def _sums(left: _Side, right: _Side) -> list[np.ndarray]:
+    """Per weight, the products of matching records added up in a dense tile."""
+    nl, nr = len(left.ids), len(right.ids)
+    acc = [np.zeros((nl, nr)) for _ in left.w]
+    frequent = left.size * right.size * _DENSE_SHARE > nl * nr
+    _add_frequent(acc, np.flatnonzero(frequent), left, right)
+    rare = ~frequent[left.record]
+    counts = right.size[left.record[rare]]
+    begin = (np.cumsum(right.size) - right.size)[left.record[rare]]
+    _add_rare(acc, counts, begin, left.at[rare], [w[rare] for w in left.w], right)
+    return acc
+
+
+def _add_frequent(acc: list[np.ndarray], records: np.ndarray, left: _Side, right: _Side) -> None:
+    slot = np.full(len(left.size), -1)
+    for lo in range(0, len(records), _DENSE_COLUMNS):
+        part = records[lo : lo + _DENSE_COLUMNS]
+        slot[:] = -1
+        slot[part] = np.arange(len(part))
+        li, ri = np.flatnonzero(slot[left.record] >= 0), np.flatnonzero(slot[right.record] >= 0)
+        for total, lw, rw in zip(acc, left.w, right.w):
+            a, b = np.zeros((len(left.ids), len(part))), np.zeros((len(right.ids), len(part)))
+            a[left.at[li], slot[left.record[li]]] = lw[li]
+            b[right.at[ri], slot[right.record[ri]]] = rw[ri]
+            total += a @ b.T
+
+
+def _add_rare(acc, counts, begin, l_at, l_w, right: _Side) -> None:
+    ends = np.cumsum(counts)
+    width = acc[0].shape[1]
+    lo = 0
+    while lo < len(l_at):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + _STEP_PRODUCTS, side="right")))
+        c = counts[lo:hi]
+        li = np.repeat(np.arange(lo, hi), c)
+        ri = np.repeat(begin[lo:hi], c) + runs(c)
+        cells = l_at[li] * width + right.at[ri]
+        for total, lw, rw in zip(acc, l_w, right.w):
+            np.add.at(total.reshape(-1), cells, lw[li] * rw[ri])
+        lo = hi
+
+
+def _places(ids: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places of ``asked`` among the sorted ``ids``; -1 for others."""
+    if not len(ids):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+    return np.where(ids[at] == asked, at, -1)
+
+
+def _forbidden(left_ids: np.ndarray, right_ids: np.ndarray, pairs: pa.Table | None, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column places of pairs that may not be returned, sorted by row."""
+    li, ri = [], []
+    if pairs is not None and pairs.num_rows:
+        li.append(_places(left_ids, pairs["l"].to_numpy()))
+        ri.append(_places(right_ids, pairs["r"].to_numpy()))
+    if not same:
+        li.append(np.arange(len(left_ids)))
+        ri.append(_places(right_ids, left_ids))
+    if not li:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    li, ri = np.concatenate(li), np.concatenate(ri)
+    both = (li >= 0) & (ri >= 0)
+    order = np.argsort(li[both], kind="stable")
+    return li[both][order], ri[both][order]
+
+
+def _winners(
+    acc: list[np.ndarray], bias: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, pairs: pa.Table | None, same: bool,
+    n: int | None, digits: int, finish: Finish, shift: np.ndarray | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """Best of a few rows at a time, so that temporaries stay in the cache; ``shift`` is added to a row's scores."""
+    if not len(left_ids) or not len(right_ids):
+        return
+    li, ri = _forbidden(left_ids, right_ids, pairs, same)
+    step = max(1, _CACHED_CELLS // len(right_ids))
+    for lo in range(0, len(left_ids), step):
+        hi = min(lo + step, len(left_ids))
+        score, valid = finish([a[lo:hi] for a in acc], bias)
+        if shift is not None:
+            score = score + shift[lo:hi, None]
+        first, last = np.searchsorted(li, [lo, hi])
+        if first < last:
+            valid = np.array(valid)
+            valid[li[first:last] - lo, ri[first:last]] = False
+        yield best_of_tile(score, valid, left_ids[lo:hi], right_ids, n or len(right_ids), digits)
+
+
+def _table(found: Iterator[pa.RecordBatch]) -> pa.Table:
+    batches = list(found)
+    if batches:
+        return pa.Table.from_batches(batches)
+    return pa.table({"l": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+# --- blocks and records ---------------------------------------------------------------------------
 
 
 def block_count(df: DataFrame, ident: str, rows_per_block: int, least: int = _MIN_BLOCKS) -> int:
-    """Number of blocks from a distinct-count sketch: sizes need not be exact.
+    """Number of blocks from a distinct-count sketch and the entries: sizes need not be exact.
 
-    One number reaches the driver. Small inputs still get a few blocks so that their tiles use all
+    Two numbers reach the driver. Small inputs still get a few blocks so that their tiles use all
     cores; an empty side gets none. Callers hand in stored frames, so the count is one column scan.
     """
-    n = df.agg(F.approx_count_distinct(ident)).first()[0]
-    return max(least, math.ceil(n / rows_per_block)) if n else 0
+    n, entries = df.agg(F.approx_count_distinct(ident), F.count(F.lit(1))).first()
+    return max(least, math.ceil(n / rows_per_block), math.ceil(entries / _ENTRIES_PER_BLOCK)) if n else 0
 
 
 def _every(blocks: int) -> Column:
@@ -322,55 +232,20 @@ def _no_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "l long, rank long, r long, score double")
 
 
-def _entry(ident: str, weights: list[str], *, blank: bool = False) -> Column:
-    values = [(F.lit(None).cast("double") if blank else F.col(w).cast("double")).alias(w) for w in weights]
-    return F.struct(F.col(ident).cast("long").alias("id"), *values)
+def packed(df: DataFrame, ident: str, block: str, blocks: int, fields: list[str], entries: str = "e") -> DataFrame:
+    """``(block, col, entries)``: the entries of one block and column as one record, at most as many as the block has rows."""
+    entry = F.struct(F.col(ident).cast("long").alias("id"), *(F.col(f).cast("double").alias(f) for f in fields))
+    return df.withColumn(block, _block(ident, blocks)).groupBy(block, "col").agg(F.collect_list(entry).alias(entries))
 
 
-def _packed(df: DataFrame, ident: str, side: str, blocks: int, weights: list[str]) -> DataFrame:
-    """Entries of one block and column as one record: at most as many as the block has rows."""
-    return (
-        df.withColumn(side, _block(ident, blocks)).groupBy(side, "col").agg(F.collect_list(_entry(ident, weights)).alias("e"))
-    )
+def met_records(lefts: DataFrame, rights: DataFrame, mirrored: bool = False) -> DataFrame:
+    """``(lb, rb, el, er)``: records of both sides that share a column.
 
-
-def _record(df: DataFrame, lb: Column, rb: Column, phase: int, kind: int, col: Column, ident: Column) -> DataFrame:
-    return df.select(
-        lb.alias("lb"), rb.alias("rb"), F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), col.alias("col"),
-        ident.cast("long").alias("id"), "e",
-    )
-
-
-def _setup_records(
-    skip: DataFrame | None, bias: DataFrame | None, left_blocks: Column, right_blocks: int, weights: list[str], no_col: Column
-) -> list[DataFrame]:
-    none, parts = F.lit(None), []
-    if skip is not None:
-        packed = (
-            skip.withColumn("lb", _block("l", left_blocks)).groupBy("lb", "r")
-            .agg(F.collect_list(_entry("l", weights, blank=True)).alias("e"))
-        )
-        parts.append(_record(packed, F.col("lb"), _block("r", right_blocks), _SETUP, _SKIP, no_col, F.col("r")))
-    if bias is not None:
-        value = F.struct(
-            F.col("r").cast("long").alias("id"), F.col("bias").cast("double").alias("w0"),
-            *[F.lit(None).cast("double").alias(w) for w in weights[1:]],
-        )
-        packed = bias.withColumn("rb", _block("r", right_blocks)).groupBy("rb").agg(F.collect_list(value).alias("e"))
-        parts.append(_record(packed, _every(left_blocks), F.col("rb"), _SETUP, _BIAS, no_col, none))
-    return parts
-
-
-def _run_tiles(parts: list[DataFrame], body) -> DataFrame:
-    records = parts[0]
-    for part in parts[1:]:
-        records = records.unionByName(part)
-    tasks = _TASKS_PER_SLOT * records.sparkSession.sparkContext.defaultParallelism
-    return (
-        records.repartition(tasks, "lb", "rb")
-        .sortWithinPartitions("lb", "rb", "phase", "col", "kind")
-        .mapInArrow(body, "l long, r long, score double")
-    )
+    A column held by ``b`` left blocks is dealt over ``b / _RECORDS_PER_SPLIT`` tasks at most, so each of its records
+    is written once, and those of the other side at most that often.
+    """
+    met = split_join(rights, lefts, "col", "lb", rows_per_split=_RECORDS_PER_SPLIT)
+    return (met.where("lb <= rb") if mirrored else met).select("lb", "rb", "el", "er")
 
 
 def block_top(
@@ -383,84 +258,64 @@ def block_top(
     skip: DataFrame | None = None,
     bias: DataFrame | None = None,
     same: bool = True,
+    mirrored: bool = False,
     rows_per_block: int = DEFAULTS.rows_per_block,
     digits: int = DEFAULTS.score_digits,
 ) -> DataFrame:
     """``(l, rank, r, score)``: exact best ``n`` right rows of each left row.
 
     ``left``: ``l, col, w0…``; ``right``: ``r, col, w0…`` with ``sums`` weight columns each and one row
-    per cell; ``skip``: pairs ``l, r`` that may not be returned; ``same=False`` leaves out a row's own
-    id; ``bias``: ``r, bias``. ``n=None`` returns every valid pair (rank is then left out).
+    per cell; a column ``shift`` of ``left`` is added to all scores of its row; ``skip``: pairs ``l, r`` that may not be returned; ``same=False`` leaves out a row's own
+    id; ``bias``: ``r, bias``. ``n=None`` returns every valid pair (rank is then left out). ``mirrored`` says that both
+    sides are the same table: then half of the tiles are computed, and each serves both its blocks.
     """
     weights = [f"w{i}" for i in range(sums)]
+    every = finish is finish_biased  # right rows with a bias are candidates without any shared column
     left_blocks = block_count(left, "l", rows_per_block)
-    right_blocks = block_count(right if bias is None else bias, "r", rows_per_block)
+    right_blocks = left_blocks if mirrored else block_count(bias if every else right, "r", rows_per_block)
     if not left_blocks or not right_blocks:
         return _no_rows(left.sparkSession)
-    col_type = left.schema["col"].dataType
-    none, no_col = F.lit(None), F.lit(None).cast(col_type)
-    lefts = _packed(left, "l", "lb", left_blocks, weights)
-    rights = _packed(right.withColumn("col", F.col("col").cast(col_type)), "r", "rb", right_blocks, weights)
-    parts = [
-        _record(lefts, F.col("lb"), _every(right_blocks), _FIRST, _LEFT, F.col("col"), none),
-        _record(rights, _every(left_blocks), F.col("rb"), _FIRST, _RIGHT, F.col("col"), none),
-        *_setup_records(skip, bias, left_blocks, right_blocks, weights, no_col),
-    ]
-    tiles = _run_tiles(parts, _tiles(sums, n, digits, finish, same))
+    own = ["shift"] if "shift" in left.columns else []
+    left = left.select("l", F.col("col").cast("string").alias("col"), *weights, *own)
+    right = right.select("r", F.col("col").cast("string").alias("col"), *weights)
+    if bias is not None:
+        right = right.join(bias.select("r", "bias"), "r", "inner" if finish is not finish_weighted_mean else "left")
+    if every:  # one more column, of weight 0, that all of them share; real ones never begin with a space
+        nothing = [F.lit(0.0).alias(w) for w in weights]
+        mark = F.lit(" ").alias("col")
+        left = left.unionByName(left.select("l").distinct().select("l", mark, *nothing))
+        right = right.unionByName(bias.select("r", mark, *nothing, "bias"))
+    lefts = packed(left, "l", "lb", left_blocks, weights + own, "el")
+    rights = packed(right, "r", "rb", right_blocks, weights + (["bias"] if bias is not None else []), "er")
+    met = met_records(stage(lefts, "left-records"), rights, mirrored)
+    has_bias, limit = bias is not None, n
+
+    def tile(records: pa.Table, pairs: pa.Table | None) -> pa.Table:
+        if not records.num_rows:
+            return _table(iter(()))
+        left, right = _Side(records["el"], weights), _Side(records["er"], weights)
+        acc = _sums(left, right)
+        values = np.zeros(len(right.ids))
+        if has_bias:
+            values[right.at] = right.inner.field("bias").fill_null(np.nan).to_numpy(zero_copy_only=False)
+        shift = None
+        if own:
+            shift = np.zeros(len(left.ids))
+            shift[left.at] = left.inner.field("shift").to_numpy(zero_copy_only=False)
+        found = [*_winners(acc, values, left.ids, right.ids, pairs, same, limit, digits, finish, shift)]
+        if mirrored and records["lb"][0] != records["rb"][0]:
+            turned = [np.ascontiguousarray(a.T) for a in acc]
+            found += _winners(turned, np.zeros(len(left.ids)), right.ids, left.ids, None, same, limit, digits, finish)
+        return _table(iter(found))
+
+    if skip is None:
+        tiles = met.groupBy("lb", "rb").applyInArrow(lambda records: tile(records, None), _OUT)
+    else:
+        pairs = skip.select("l", "r", _block("l", left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"))
+        tiles = met.groupBy("lb", "rb").cogroup(pairs.groupBy("lb", "rb")).applyInArrow(tile, _OUT)
     return tiles if n is None else top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
 
 
-def _chained_tiles(n: int, digits: int, width: int, slice_rows: int):
-    """First product builds the profiles of a left block, the second scores documents against them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tile, profile, norm = None, None, None, None
-        docs: list[int] = []
-        scores: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            if not scores or not len(tile.lefts.at):
-                return _EMPTY
-            score = np.stack(scores, axis=1)
-            places = _Places()
-            places.of(np.array(docs))
-            valid = score >= 0.5 * 10.0**-digits
-            valid[tile.skipped(places)] = False
-            return best_of_tile(score, valid, tile.lefts.ids(), np.array(docs), n, digits)
-
-        for mark, phase, p, records in _stream(batches, 1):
-            if mark != key:
-                if tile is not None:
-                    yield flush()
-                key, tile, profile = mark, _Tile(1), None
-                docs, scores = [], []
-            if phase == _SETUP:
-                tile.setup(p, records)
-            elif phase == _FIRST:
-                left, right = _pairs(p, records)
-                if len(left):
-                    tile.add(p, left, right)
-            else:
-                if profile is None:  # one row per term, so that a document reads whole rows
-                    terms = tile.rights
-                    profile = np.ascontiguousarray(tile.acc[0][: len(tile.lefts.at), : len(terms.at)].T)
-                    norm = np.sqrt((profile * profile).sum(axis=0))
-                    norm[norm == 0] = 1.0
-                for rec in records.tolist():
-                    at = slice(p.start[rec], p.start[rec] + p.size[rec])
-                    rows = tile.rights.known(p.ids[at])
-                    known = rows >= 0
-                    scores.append(p.w[0][at][known] @ profile[rows[known]] / norm)
-                    docs.append(int(p.ident[rec]))
-                    if len(docs) >= slice_rows:
-                        yield flush()
-                        docs, scores = [], []
-        if tile is not None:
-            yield flush()
-
-    return run
-
-
 def chained_top(
     likes: DataFrame,
     docs: DataFrame,
@@ -473,64 +328,75 @@ def chained_top(
 ) -> DataFrame:
     """``(l, rank, r, score)``: documents closest to the weighted sum of the liked documents' vectors.
 
-    ``likes``: ``l, col, w0`` with ``col`` a document; ``docs``: ``r, col, w0`` with ``col`` a term out
-    of at most ``width``. The sums (left row × term) exist only inside a task, ``rows_per_block`` by
-    ``width`` numbers at a time; what is shuffled are the likes and, per left block, the documents.
+    ``likes``: ``l, col, w0`` with ``col`` a document; ``docs``: ``r, col, w0`` with ``col`` a term, a number from 1 to
+    ``width``. Likes of a block of left rows join the vectors of the documents, once each, and a task adds up the block's
+    profiles (left rows × terms), which exist only there. It scores one block of documents, sixteen times as long;
+    profiles are long, so a document shares terms with every block.
     """
     left_blocks = block_count(likes, "l", rows_per_block)
     right_blocks = block_count(docs, "r", rows_per_block * 16, 1)
     if not left_blocks or not right_blocks:
         return _no_rows(likes.sparkSession)
-    none = F.lit(None)
-    lefts = _packed(likes.withColumn("col", F.col("col").cast("long")), "l", "lb", left_blocks, ["w0"])
-    vectors = docs.groupBy("r").agg(F.collect_list(_entry("col", ["w0"])).alias("e"))  # ≤ width entries
-    parts = [
-        _record(lefts, F.col("lb"), _every(right_blocks), _FIRST, _LEFT, F.col("col"), none),
-        _record(
-            vectors.withColumn("rb", _every(right_blocks)), _every(left_blocks), F.col("rb"), _FIRST, _RIGHT, F.col("r"), none
-        ),
-        _record(vectors, _every(left_blocks), _block("r", right_blocks), _SECOND, _RIGHT, F.col("r"), F.col("r")),
-        *_setup_records(skip, None, left_blocks, right_blocks, ["w0"], F.lit(None).cast("long")),
-    ]
-    tiles = _run_tiles(parts, _chained_tiles(n, digits, width, DEFAULTS.rows_per_block))
+    lefts = packed(likes.select("l", F.col("col").cast("long").alias("col"), "w0"), "l", "lb", left_blocks, ["w0"], "el")
+    entry = F.struct(F.col("col").cast("long").alias("id"), F.col("w0").cast("double").alias("w0"))
+    vectors = stage(docs.groupBy(F.col("r").cast("long").alias("r")).agg(F.collect_list(entry).alias("er")), "vectors")  # ≤ width entries
+    liked = split_join(vectors.withColumnRenamed("r", "col"), stage(lefts, "left-records"), "col", "lb", rows_per_split=_RECORDS_PER_SPLIT)
+    none = F.lit(None).cast("long")
+    liked = liked.select("lb", _every(right_blocks).alias("rb"), "el", "er", none.alias("l"), none.alias("r"))
+    if skip is not None:
+        pairs = skip.select(_block("l", left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"), "l", "r")
+        liked = liked.unionByName(pairs, allowMissingColumns=True)
+    asked = vectors.select(_every(left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"), F.col("r").alias("doc"), F.col("er").alias("terms"))
+
+    def tile(records: pa.Table, asked: pa.Table) -> pa.Table:
+        likes = records.filter(pa.compute.is_null(records["l"]))
+        if not likes.num_rows or not asked.num_rows:
+            return _table(iter(()))
+        left, right = _Side(likes["el"], ["w0"]), _Side(likes["er"], ["w0"])
+        profile = np.ascontiguousarray(_sums(left, right)[0].T)  # one row per term, so that a document reads whole rows
+        norm = np.sqrt((profile * profile).sum(axis=0))
+        norm[norm == 0] = 1.0
+        asked = asked.take(pa.compute.sort_indices(asked["doc"]))
+        ids, terms = asked["doc"].to_numpy(), asked["terms"].combine_chunks()
+        offsets, inner = terms.offsets.to_numpy().astype(np.int64), terms.flatten()
+        offsets = offsets - offsets[0]
+        at, w = _places(right.ids, inner.field("id").to_numpy(zero_copy_only=False)), inner.field("w0").to_numpy(zero_copy_only=False)
+        pairs = records.filter(pa.compute.is_valid(records["l"]))
+        score = np.zeros((len(left.ids), len(ids)))
+        for d in range(len(ids)):
+            some = slice(offsets[d], offsets[d + 1])
+            known = at[some] >= 0
+            score[:, d] = w[some][known] @ profile[at[some][known]] / norm
+        return _table(_winners([score], np.zeros(len(ids)), left.ids, ids, pairs, True, n, digits, finish_dot))
+
+    tiles = liked.groupBy("lb", "rb").cogroup(asked.groupBy("lb", "rb")).applyInArrow(tile, _OUT)
     return top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
 
 
-def _dense_tiles(n: int, digits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-
-        def best() -> pd.DataFrame:
-            pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            lefts, rights, skips = (pdf[pdf["kind"] == k] for k in (_LEFT, _RIGHT, _SKIP))
-            if not len(lefts) or not len(rights):
-                return pd.DataFrame({"l": [], "r": [], "score": []})
-            l_ids, r_ids = lefts["id"].to_numpy(np.int64), rights["id"].to_numpy(np.int64)
-            score = np.stack(lefts["vec"].to_numpy()) @ np.stack(rights["vec"].to_numpy()).T
-            score += lefts["shift"].to_numpy(np.float64)[:, None]
-            valid = np.ones(score.shape, dtype=bool)
-            if len(skips):
-                li = pd.Index(l_ids).get_indexer(skips["id"])
-                ri = pd.Index(r_ids).get_indexer(skips["other"].astype("int64"))
-                known = (li >= 0) & (ri >= 0)
-                valid[li[known], ri[known]] = False
-            return best_of_tile(score, valid, l_ids, r_ids, n, digits).to_pandas()
+# --- dense rows -----------------------------------------------------------------------------------
+
+
+def later_tiles(lefts: DataFrame, best: DataFrame, norms: np.ndarray, first: int, n: int, digits: int) -> DataFrame:
+    """``(l, rb)``: the blocks from ``first`` on that may still hold one of the best ``n`` of a row.
+
+    ``norms`` are the greatest lengths of the right blocks, in descending order. A product is at most the product of
+    the lengths, so the blocks that matter to a row are those before the first whose bound is below its n-th best score.
+    """
+    edge = best.where(F.col("rank") == n).select("l", F.col("score").alias("edge"))
+    slack = 10.0**-digits
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch["lb"].to_numpy(np.int64) * (1 << 31) + batch["rb"].to_numpy(np.int64)
-            edges = np.flatnonzero(np.diff(marks)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(batch)]):
-                if lo == hi:
-                    continue
-                if marks[lo] != key and held:
-                    yield best()
-                    held = []
-                key = marks[lo]
-                held.append(batch.iloc[lo:hi])
-        if held:
-            yield best()
-
-    return run
+            norm, shift = (batch[c].to_numpy(zero_copy_only=False) for c in ("norm", "shift"))
+            edge = batch["edge"].fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where(norm > 0, (edge - shift - slack) / norm, np.where(edge - shift - slack > 0, np.inf, -np.inf))
+            need = np.searchsorted(-norms, -least, side="right")
+            more = np.maximum(need - first, 0)
+            at = pa.array(np.repeat(np.arange(len(more)), more))
+            yield pa.RecordBatch.from_arrays([batch["l"].take(at), pa.array((first + runs(more)).astype(np.int32))], names=["l", "rb"])
+
+    return lefts.select("l", "norm", "shift").join(edge, "l", "left").mapInArrow(run, "l long, rb int")
 
 
 def dense_top(
@@ -544,36 +410,48 @@ def dense_top(
 ) -> DataFrame:
     """Exact best ``n`` of ``shift + vec·vec`` for dense factor rows, one matrix product per tile.
 
-    ``left``: ``l, vec, shift``; ``right``: ``r, vec``; ``skip``: pairs ``l, r`` never returned. Each
-    tile holds at most about ``2 * rows_per_block`` vectors, so no factor table is ever broadcast.
+    ``left``: ``l, vec, shift``; ``right``: ``r, vec``; ``skip``: pairs ``l, r`` never returned. Right rows are ranged into
+    blocks by length, the longest first. All left rows meet the first block; its scores tell which later blocks can still
+    hold one of a row's best (:func:`later_tiles`), and only those are computed. Each tile holds at most about
+    ``2 * rows_per_block`` vectors, so no factor table is ever broadcast.
     """
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")
     left_blocks = block_count(left, "l", rows_per_block)
-    right_blocks = block_count(right, "r", rows_per_block)
-    if not left_blocks or not right_blocks:
+    lefts = left.select(F.col("l").cast("long").alias("l"), vec, F.col("shift").cast("double").alias("shift"))
+    lefts = stage(lefts.select("*", length, _block("l", max(1, left_blocks)).alias("lb")), "dense-left")
+    rights = right.select(F.col("r").cast("long").alias("r"), vec).select("*", length)
+    ranked = global_rank(rights, [F.col("norm").desc(), F.col("r")], "place")
+    rights = stage(ranked.select("r", "vec", "norm", F.floor((F.col("place") - 1) / rows_per_block).cast("int").alias("rb")), "dense-right")
+    # one number per block
+    norms = np.array([r["norm"] for r in rights.groupBy("rb").agg(F.max("norm").alias("norm")).orderBy("rb").collect()])
+    if not left_blocks or not len(norms):
         return _no_rows(left.sparkSession)
-    nothing = F.lit(None).cast("long").alias("other")
-    no_shift = F.lit(None).cast("double").alias("shift")
-    vec = F.col("vec").cast("array<double>").alias("vec")
-    records = left.select(
-        _block("l", left_blocks).alias("lb"), _every(right_blocks).alias("rb"), F.lit(_LEFT).alias("kind"),
-        F.col("l").alias("id"), nothing, vec, F.col("shift").cast("double").alias("shift"),
-    ).unionByName(
-        right.select(
-            _every(left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"), F.lit(_RIGHT).alias("kind"),
-            F.col("r").alias("id"), nothing, vec, no_shift,
-        )
-    )
-    if skip is not None:
-        records = records.unionByName(
-            skip.select(
-                _block("l", left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"),
-                F.lit(_SKIP).alias("kind"), F.col("l").alias("id"), F.col("r").alias("other"),
-                F.lit(None).cast("array<double>").alias("vec"), no_shift,
-            )
-        )
-    tiles = (
-        records.repartition(_TASKS_PER_SLOT * left.sparkSession.sparkContext.defaultParallelism, "lb", "rb")
-        .sortWithinPartitions("lb", "rb")
-        .mapInPandas(_dense_tiles(n, digits), "l long, r long, score double")
-    )
-    return top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
+
+    def tile(rows: pa.Table, others: pa.Table) -> pa.Table:
+        own = rows.filter(pa.compute.is_null(rows["r"]))
+        if not own.num_rows or not others.num_rows:
+            return _table(iter(()))
+        own = own.take(pa.compute.sort_indices(own["l"]))
+        others = others.take(pa.compute.sort_indices(others["r"]))
+        a, b = (t["vec"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (own, others))
+        l_ids, r_ids = own["l"].to_numpy(), others["r"].to_numpy()
+        pairs = rows.filter(pa.compute.is_valid(rows["r"]))
+        found = _winners([a @ b.T], np.zeros(len(r_ids)), l_ids, r_ids, pairs, True, n, digits, finish_all, own["shift"].to_numpy())
+        return _table(found)
+
+    def computed(routes: DataFrame) -> DataFrame:
+        """Best rows of the tiles that the routes ``(l, rb)`` name."""
+        own = lefts.join(routes, "l").select("lb", "rb", "l", "vec", "shift", F.lit(None).cast("long").alias("r"))
+        places = stage(own.select("lb", "rb").distinct(), "tiles")
+        others = rights.join(places, "rb").select("lb", "rb", F.col("r"), "vec")
+        if skip is not None:
+            pairs = skip.select(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), _block("l", left_blocks).alias("lb"))
+            own = own.unionByName(pairs.join(rights.select("r", "rb"), "r"), allowMissingColumns=True)
+        return own.groupBy("lb", "rb").cogroup(others.groupBy("lb", "rb")).applyInArrow(tile, _OUT)
+
+    first = stage(top_n(computed(lefts.select("l", F.lit(0).alias("rb"))), "l", "score", "r", n), "dense-first")
+    if len(norms) > 1:
+        routes = stage(later_tiles(lefts, first, norms, 1, n, digits), "dense-routes")
+        first = top_n(first.select("l", "r", "score").unionByName(computed(routes)), "l", "score", "r", n)
+    return first.select("l", "rank", "r", "score")

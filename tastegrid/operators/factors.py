@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from tastegrid.config import DEFAULTS
 from tastegrid.functions.numeric import hash_position, keyed_hash
 from tastegrid.operators.blocks import dense_top
+from tastegrid.operators.krylov import images, leading, vectors
 from tastegrid.operators.neighbours import centred
-from tastegrid.operators.skew import checked, hot_from_counts, hot_keys, split_join
+from tastegrid.operators.skew import hot_from_counts, split_join
 from tastegrid.operators.staging import stage
 
 
@@ -29,69 +30,31 @@ class FactorModel(NamedTuple):
     rounds: int = 0
 
 
-FILTER_DEGREE = 10  # most products between two checks of the SVD
-FILTER_GAIN = 1e4  # most that its filter stretches one direction over another
-
-
 # --- small dense algebra on distributed factor tables ---------------------------------------------
 
 
-def gram(factors: DataFrame, width: int, other: str = "vec") -> np.ndarray:
-    """``VᵀV`` of a factor table, or ``VᵀW`` with ``other``: partial products per task, summed by cell; width² numbers return."""
+def gram(factors: DataFrame, width: int) -> np.ndarray:
+    """``VᵀV`` of a factor table: partial products per task, summed by cell; width² numbers return."""
 
     def partial(batches):
         total = np.zeros((width, width))
         for pdf in batches:
             if len(pdf):
                 v = np.stack(pdf["vec"].to_numpy())
-                total += v.T @ (v if other == "vec" else np.stack(pdf[other].to_numpy()))
+                total += v.T @ v
         yield pd.DataFrame({"cell": np.arange(width * width), "v": total.reshape(-1)})
 
-    cells = factors.select(*{"vec": 0, other: 0}).mapInPandas(partial, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    cells = factors.select("vec").mapInPandas(partial, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v"))
     out = np.zeros(width * width)
     for row in cells.collect():
         out[row["cell"]] = row["v"]
     return out.reshape(width, width)
 
 
-def added(parts: dict[str, np.ndarray]) -> Column:
-    """Sum of factor columns, each times its small matrix."""
-    matrices = list(parts.values())
-
-    @F.pandas_udf("array<double>")
-    def multiply(*columns: pd.Series) -> pd.Series:
-        if not len(columns[0]):
-            return columns[0]
-        return pd.Series(list(sum(np.stack(c.to_numpy()) @ m for c, m in zip(columns, matrices))))
-
-    return multiply(*[F.col(c) for c in parts])
-
-
-def times(vec: str, matrix: np.ndarray) -> Column:
-    """Factor rows times a small matrix."""
-    return added({vec: matrix})
-
-
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _spread_sum(entries: DataFrame, factors: DataFrame, on: str, to: str, width: int, hot: DataFrame | bool) -> DataFrame:
-    """Sparse matrix × factor table: ``(to, Σ dev · vec)`` with map-side partial sums."""
-    joined = split_join(factors.select(on, "vec"), entries, on, to, hot=hot)
-    sums = joined.groupBy(to).agg(*[F.sum(F.col("dev") * F.col("vec")[j]).alias(f"s{j}") for j in range(width)])
-    return sums.select(to, F.array(*[f"s{j}" for j in range(width)]).alias("vec"))
-
-
-def _orthonormal(square: np.ndarray) -> np.ndarray:
-    """Matrix that turns columns with this Gram matrix into orthonormal ones; null directions become 0."""
-    length = np.sqrt(np.maximum(np.diag(square), 0.0))
-    unit = np.where(length > 0, 1.0 / np.where(length > 0, length, 1.0), 0.0)
-    value, vector = np.linalg.eigh(square * np.outer(unit, unit))
-    keep = value > max(value.max(), 0.0) * 1e-13
-    return unit[:, None] * vector @ np.diag(np.where(keep, 1.0 / np.sqrt(np.where(keep, value, 1.0)), 0.0))
-
-
 # --- centred SVD ----------------------------------------------------------------------------------
 
 
@@ -104,70 +67,23 @@ def fit_svd(
     max_rounds: int = DEFAULTS.svd_max_rounds,
     seed: int = DEFAULTS.seed,
 ) -> FactorModel:
-    """Truncated SVD of the user-centred ratings (missing = 0) by randomised, Chebyshev-filtered subspace iteration.
+    """Truncated SVD of the user-centred ratings (missing = 0) by a restarted block Krylov method (:mod:`krylov`).
 
     It goes on until every one of the ``k`` kept vectors is within ``tolerance`` of an eigenvector of ``AᵀA`` (residual over
     squared singular value; values alone settle long before vectors); a matrix that has not settled after ``max_rounds``
-    products raises. Between two checks the basis goes through a polynomial that stays small on ``[0, least value of the
-    basis]`` and grows fastest above, which takes about a third of the products of plain powers on flat spectra; its
-    degree is held so low that the basis keeps its digits. The basis is half as wide again as ``k``. The matrix stays a long table
-    and both factor sides stay distributed; only width × width Gram matrices reach the driver. Each product is written
-    out, so the lineage never grows.
+    products raises. Both factor sides stay distributed; only Gram matrices of the search space reach the driver.
     """
     entries = stage(centred(ratings, "userId", "movieId"), "svd-entries")
     shape = entries.agg(F.countDistinct("userId").alias("u"), F.countDistinct("movieId").alias("i")).first()
     limit = min(shape["u"], shape["i"])
     k = max(1, min(k, limit - 1))
-    width = min(k + max(oversample, k // 2), limit)
-    start = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda j: F.xxhash64("movieId", j, F.lit(seed)).cast("double") / float(1 << 63),
+    found = leading(
+        entries, "userId", "movieId", "dev", k, extra=oversample, tolerance=tolerance, max_rounds=max_rounds, limit=limit, seed=seed
     )
-    long = entries.select("userId", "movieId", "dev")
-    items = stage(entries.select("movieId").distinct().withColumn("vec", start), "svd-start")
-    hot_users, hot_items = checked(hot_keys(long, "userId")), checked(hot_keys(long, "movieId"))
-    one, rounds = np.eye(width), 0
-
-    def product(basis: DataFrame) -> DataFrame:
-        """``basis`` with the column ``prod``, ``AᵀA`` times its ``vec``."""
-        users = _spread_sum(long, basis, "movieId", "userId", width, hot_items)
-        return basis.join(_spread_sum(long, users, "userId", "movieId", width, hot_users).withColumnRenamed("vec", "prod"), "movieId")
-
-    basis = items
-    while True:
-        basis = basis.select("movieId", times("vec", _orthonormal(gram(basis, width))).alias("vec"))
-        both = stage(product(basis), "svd-round")
-        rounds += 1
-        square = gram(both, width, "prod")
-        value, turn = np.linalg.eigh((square + square.T) / 2)
-        value, turn = np.maximum(value[::-1], 0.0), turn[:, ::-1]
-        off = both.select(added({"prod": turn, "vec": -turn * value}).alias("vec"))
-        length = np.sqrt(np.maximum(np.diag(gram(off, width)), 0.0))[:k]
-        # below a thousandth of the largest singular value, relative residuals are those of rounding
-        moved = float(np.max(length / np.maximum(value[:k], value[0] * 1e-6))) if value[0] > 0 else 0.0
-        if moved <= tolerance:
-            break
-        if rounds >= max_rounds:
-            raise RuntimeError(f"no SVD within {tolerance} after {rounds} rounds: a kept vector is still off by {moved:.1e}")
-        half = value[-1] / 2
-        if half <= value[0] * 1e-12:
-            basis = both.select("movieId", F.col("prod").alias("vec"))
-            continue
-        top = np.arccosh(max(value[0] / half - 1.0, 1.001))
-        degree = min(max(1, int(np.log(2 * FILTER_GAIN) / top)), FILTER_DEGREE, max_rounds - rounds)
-        first = scale = half / max(value[0] - half, half)
-        basis = both.select(
-            "movieId", times("vec", turn).alias("old"), added({"prod": turn * (scale / half), "vec": -turn * scale}).alias("vec")
-        )
-        for _ in range(1, degree):
-            after = 1.0 / (2.0 / first - scale)
-            new = added({"prod": one * (2 * after / half), "vec": one * (-2 * after), "old": one * (-scale * after)})
-            basis = stage(product(basis).select("movieId", F.col("vec").alias("old"), new.alias("vec")), "svd-filter")
-            rounds, scale = rounds + 1, after
-    items = stage(both.select("movieId", times("vec", turn[:, :k]).alias("vec")), "svd-items")
-    users = stage(_spread_sum(long, items, "movieId", "userId", k, hot_items), "svd-users")
+    items = stage(vectors(found.columns, "c").withColumnRenamed("c", "movieId"), "svd-items")
+    users = stage(vectors(images(found), "r").withColumnRenamed("r", "userId"), "svd-users")
     means = entries.groupBy("userId").agg(F.first("mean").alias("mean"))
-    return FactorModel(means.join(users, "userId"), items, [float(v) for v in np.sqrt(value[:k])], moved, rounds)
+    return FactorModel(means.join(users, "userId"), items, [float(v) for v in np.sqrt(found.values)], found.moved, found.rounds)
 
 
 def predict(pairs: DataFrame, model: FactorModel, overall: float, dims: int | None = None) -> Column | DataFrame:

@@ -96,3 +96,24 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("c"))
     edges = cum.where(holds(low) | holds(high)).agg(F.min("v").alias("a"), F.max("v").alias("b"))
     return edges.select((F.col("a") + (F.col("b") - F.col("a")) * (place - low)).alias("value"))
+
+
+def filled_lists(best: DataFrame, asked: DataFrame, items: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    """``best (l, rank, r, score)`` with every list of ``asked (l)`` filled up to ``n`` by the smallest ids of ``items (r)``,
+    at score 0; ``gone (l, r)`` are pairs that no list may hold.
+
+    A list with ``h`` rows and ``g`` pairs gone finds what it lacks among the ``n + h + g`` smallest ids, so it joins that many
+    places of the ordered items.
+    """
+    sizes = best.groupBy("l").agg(F.count(F.lit(1)).alias("_have"))
+    lost = gone.groupBy("l").agg(F.count(F.lit(1)).alias("_gone"))
+    short = asked.select("l").distinct().join(sizes, "l", "left").where(F.coalesce("_have", F.lit(0)) < n)
+    short = stage(short.join(lost, "l", "left").fillna(0, ["_have", "_gone"]), "short-lists")
+    if short.isEmpty():
+        return best
+    places = global_rank(items.select("r").distinct(), [F.col("r").asc()], "_place")
+    more = short.select("l", "_have", F.explode(F.sequence(F.lit(1), n + F.col("_have") + F.col("_gone"))).alias("_place"))
+    more = more.join(places, "_place").join(best.select("l", "r"), ["l", "r"], "left_anti").join(gone.select("l", "r"), ["l", "r"], "left_anti")
+    rank = F.col("_have") + F.row_number().over(Window.partitionBy("l").orderBy("r"))
+    more = more.select("l", rank.cast("long").alias("rank"), "r", F.lit(0.0).alias("score")).where(F.col("rank") <= n)
+    return best.select("l", "rank", "r", "score").unionByName(more)

@@ -5,8 +5,8 @@ where an iterative job would otherwise grow its lineage. The copy is a plain Par
 executors costs a re-read, never a recompute.
 
 The folder is the one named by ``spark.checkpoint.dir``; where a session leaves it unset, a folder inside
-the warehouse takes its place, which all executors share as well. Each session writes below one run
-folder of its own, which is removed when the session's JVM ends.
+the warehouse takes its place. A warehouse on the driver's own disk is refused on a cluster, as executors can't share it.
+Each session writes below one run folder of its own, which is removed when the session's JVM ends.
 """
 
 from __future__ import annotations
@@ -18,6 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 _runs: dict[str, str] = {}
 
 
+def check_shared(scheme: str, master: str, folder: str) -> None:
+    """Refuse a folder on a machine's own disk unless everything runs on that machine."""
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {folder} is on the driver's disk")
+
+
 def stage_root(spark: SparkSession) -> str:
     """The run folder of this session's application."""
     app = spark.sparkContext.applicationId
@@ -26,7 +32,14 @@ def stage_root(spark: SparkSession) -> str:
         parent = configured.rstrip("/") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
         _runs[app] = f"{parent}/tastegrid-{app}-{uuid4().hex[:8]}"
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_runs[app])
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not configured:
+            try:
+                check_shared(files.getUri().getScheme(), spark.sparkContext.master, parent)
+            except ValueError:
+                del _runs[app]
+                raise
+        files.deleteOnExit(path)
     return _runs[app]
 
 

@@ -157,7 +157,7 @@ def user_cf(n: int) -> list[tuple[str, str]]:
         (
             "sims",
             """SELECT l, r, s / (x.z * y.z) AS sim FROM dots JOIN len x ON x.userId = l JOIN len y ON y.userId = r
-               WHERE x.z > 0 AND y.z > 0 AND round(s / (x.z * y.z), 7) > 0""",
+               WHERE x.z > 0 AND y.z > 0 AND s / (x.z * y.z) > 1e-12""",
         ),
         ("near", "SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY l ORDER BY round(sim, 7) DESC, r) <= 50"),
         (
@@ -168,13 +168,7 @@ def user_cf(n: int) -> list[tuple[str, str]]:
                  AND NOT EXISTS (SELECT 1 FROM act s WHERE s.userId = n.l AND s.movieId = d.movieId)
                GROUP BY n.l, d.movieId""",
         ),
-        # the mean of the user shifts all scores alike, so the order is taken without it
-        (
-            "user_cf",
-            f"""SELECT userId, movieId, score, row_number() OVER (PARTITION BY userId
-                    ORDER BY round(score - m, 7) DESC, movieId) AS rank
-                FROM cf_all JOIN mu USING (userId) QUALIFY rank <= {n}""",
-        ),
+        ("user_cf", top("cf_all", "userId", "movieId", n)),
     ]
 
 
@@ -224,9 +218,29 @@ def similar(where: str = "true", n: int = 10) -> list[tuple[str, str]]:
         (
             "cosines",
             f"""SELECT a.movieId, b.movieId AS similarId, sum(a.w * b.w) AS score FROM tw a JOIN tw b
-                ON a.term = b.term AND a.movieId <> b.movieId WHERE {where} GROUP BY ALL HAVING round(sum(a.w * b.w), 7) > 0""",
+                ON a.term = b.term AND a.movieId <> b.movieId WHERE {where} GROUP BY ALL HAVING sum(a.w * b.w) > 1e-12""",
+        ),
+        ("positive", top("cosines", "movieId", "similarId", n)),
+        *filled("positive", "sims", "movieId", "similarId", f"SELECT DISTINCT movieId FROM tw a WHERE {where}", "SELECT movieId, movieId AS similarId FROM tw", n),
+    ]
+
+
+def filled(source: str, out: str, key: str, item: str, asked: str, gone: str, n: int) -> list[tuple[str, str]]:
+    """Lists of fewer than ``n`` rows go on with the items of smallest id, at score 0."""
+    return [
+        (f"{out}_short", f"SELECT {key}, count({item}) AS have FROM ({asked}) LEFT JOIN {source} USING ({key}) GROUP BY {key} HAVING count({item}) < {n}"),
+        (f"{out}_gone", f"SELECT {key}, {item} FROM {source} UNION SELECT {key}, {item} FROM ({gone})"),
+        (
+            f"{out}_more",
+            f"""SELECT s.{key}, i.{item}, have, row_number() OVER (PARTITION BY s.{key} ORDER BY i.{item}) AS rn
+                FROM {out}_short s, (SELECT DISTINCT movieId AS {item} FROM tw) i
+                WHERE NOT EXISTS (SELECT 1 FROM {out}_gone g WHERE g.{key} = s.{key} AND g.{item} = i.{item})""",
+        ),
+        (
+            out,
+            f"""SELECT {key}, {item}, score, rank FROM {source} UNION ALL
+                SELECT {key}, {item}, 0.0, have + rn FROM {out}_more WHERE have + rn <= {n}""",
         ),
-        ("sims", top("cosines", "movieId", "similarId", n)),
     ]
 
 
@@ -244,14 +258,15 @@ def profile(n: int) -> list[tuple[str, str]]:
         (
             "prof_all",
             """SELECT p.userId, t.movieId, sum(p.w * t.w) AS score FROM prof p JOIN tw t USING (term)
-               GROUP BY p.userId, t.movieId HAVING round(sum(p.w * t.w), 7) > 0""",
+               GROUP BY p.userId, t.movieId HAVING sum(p.w * t.w) > 1e-12""",
         ),
         (
             "prof_new",
             """SELECT * FROM prof_all a WHERE NOT EXISTS
                (SELECT 1 FROM ratings s WHERE s.userId = a.userId AND s.movieId = a.movieId)""",
         ),
-        ("profile", top("prof_new", "userId", "movieId", n)),
+        ("prof_top", top("prof_new", "userId", "movieId", n)),
+        *filled("prof_top", "profile", "userId", "movieId", "SELECT DISTINCT userId FROM likes JOIN tw USING (movieId)", "SELECT userId, movieId FROM ratings", n),
     ]
 
 
@@ -610,7 +625,7 @@ add(
         "pairs",
         """SELECT l, r, s / (x.z * y.z) AS sim, row_number() OVER (PARTITION BY l ORDER BY round(s / (x.z * y.z), 7) DESC, r) AS rn
            FROM dots JOIN len x ON x.movieId = l JOIN len y ON y.movieId = r
-           WHERE x.z > 0 AND y.z > 0 AND round(s / (x.z * y.z), 7) > 0""",
+           WHERE x.z > 0 AND y.z > 0 AND s / (x.z * y.z) > 1e-12""",
     ),
     (
         "scored",
@@ -645,6 +660,77 @@ add(
     ("ratings",),
 )
 
+
+def folded(target: str, weight: str, base: str, rhs: str, known: str = "true", dual: bool = False) -> tuple:
+    """Normal equations ``Σ weight·v·vᵀ + base`` of each user, by Gauss-Jordan elimination; they are positive definite.
+
+    ``dual``: users with fewer than ``FOLD_K`` distinct vectors take the combination of them that meets the mean target
+    of each, which is the solution of smallest norm.
+    """
+    k = q.FOLD_K
+    return (
+        (
+            "fixed",
+            f"""SELECT movieId, (embedding::DOUBLE[])[1:{k}] AS v FROM movies JOIN embeddings
+                ON movieId % 7 <> 0 AND vec_id = 2 * (movieId % (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 1)) + 1""",
+        ),
+        ("means", "SELECT userId, avg(rating) AS m FROM ratings GROUP BY userId"),
+        ("obs", f"SELECT userId, v, rating, ({target})::DOUBLE AS t, ({weight})::DOUBLE AS w FROM ratings JOIN means USING (userId) JOIN fixed USING (movieId)"),
+        ("sizes", f"SELECT userId, count(DISTINCT v) AS d FROM obs GROUP BY userId HAVING {known}"),
+        ("ij", f"SELECT i, j FROM range(1, {k + 1}) a(i), range(1, {k + 1}) b(j)"),
+        ("gram", "SELECT i, j, sum(v[i] * v[j]) AS g FROM fixed, ij GROUP BY i, j"),
+        (
+            "cells",
+            f"""SELECT userId, i, j, sum(w * v[i] * v[j]) + {base} AS g FROM obs JOIN sizes USING (userId), ij JOIN gram USING (i, j)
+                WHERE NOT {dual} OR d >= {k} GROUP BY userId, i, j, gram.g
+                UNION ALL SELECT userId, i, {k + 1}, sum({rhs} * v[i]) FROM obs JOIN sizes USING (userId), range(1, {k + 1}) a(i)
+                WHERE NOT {dual} OR d >= {k} GROUP BY userId, i""",
+        ),
+        (
+            "short",
+            f"""SELECT userId, v, avg(t) AS t, row_number() OVER (PARTITION BY userId ORDER BY v) AS i, d
+                FROM obs JOIN sizes USING (userId) WHERE {dual} AND d < {k} GROUP BY userId, v, d""",
+        ),
+        (
+            "short_cells",
+            """SELECT a.userId, a.i, b.i AS j, list_dot_product(a.v, b.v) AS g FROM short a JOIN short b USING (userId)
+               UNION ALL SELECT userId, i, d + 1, t FROM short""",
+        ),
+        ("start", "SELECT userId, i, list(g ORDER BY j) AS a, count(*) - 1 AS n FROM (SELECT * FROM cells UNION ALL SELECT * FROM short_cells) GROUP BY userId, i"),
+    )
+
+
+def folded_rows() -> str:
+    k = q.FOLD_K
+    x = "a[n + 1]"
+    return f"""SELECT userId, place::BIGINT AS place, CASE WHEN round(x, 5) = 0 THEN 0.0::DOUBLE ELSE round(x, 5) END AS x FROM (
+        SELECT userId, i AS place, {x} AS x FROM solved WHERE userId NOT IN (SELECT userId FROM short)
+        UNION ALL SELECT userId, p AS place, sum({x} * v[p]) AS x FROM solved JOIN short USING (userId, i), range(1, {k + 1}) r(p) GROUP BY userId, p)"""
+
+
+ELIMINATED = (
+    "eliminated(userId, step, i, a, n)",
+    """SELECT userId, 0, i, a, n FROM start
+       UNION ALL
+       SELECT userId, step + 1, i, CASE WHEN i = step + 1 THEN list_transform(a, lambda z: z / p[step + 1])
+           ELSE list_transform(range(1, n + 2), lambda c: a[c] - p[c] * a[step + 1] / p[step + 1]) END, n
+       FROM (SELECT *, first_value(a) OVER (PARTITION BY userId ORDER BY CASE WHEN i = step + 1 THEN 0 ELSE 1 END) AS p FROM eliminated)
+       WHERE step < n""",
+)
+
+
+def add_fold(name: str, *equations: str, **more: object) -> None:
+    parts = [*with_views("ratings", "movies"), *folded(*equations, **more)]
+    head = ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in parts)
+    ORACLE[name] = f"WITH RECURSIVE {head},\n{ELIMINATED[0]} AS ({ELIMINATED[1]}),\nsolved AS (SELECT * FROM eliminated WHERE step = n)\n{folded_rows()}"
+
+
+_EYE = "CASE WHEN i = j THEN {} ELSE 0 END"
+add_fold("fold_least_squares", "rating - m", "1", "0", "t", dual=True)
+add_fold("fold_ridge", "rating - 3.0", "1", _EYE.format(0.01 * q.FOLD_K), "t", known="count(*) >= 2")
+add_fold("fold_als", "1 + 40.0 * rating", "40.0 * rating", "gram.g + " + _EYE.format(0.01), "t")
+add_fold("fold_als_observed", "1 + 40.0 * rating", "1 + 40.0 * rating", _EYE.format(0.01), "t")
+
 # --- text -----------------------------------------------------------------------------------------
 
 add("soup", "SELECT movieId, soup FROM soups", ("catalog",), SOUP)
@@ -748,10 +834,7 @@ add(
     ("best", top("blended", "userId", "movieId", 10)),
 )
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STRATEGY_LABELS.items())
-add(
-    "strategy",
-    f"""SELECT userId, rated, liked, genres, strategy, CASE strategy {_LABELS} END AS label FROM chosen""",
-    ("interactions", "preferences"),
+CHOSEN = (
     USERS,
     IMPLICIT,
     (
@@ -770,6 +853,9 @@ add(
            ELSE 'popularity' END AS strategy FROM facts""",
     ),
 )
+_CHOSEN_VIEWS = ("interactions", "preferences")
+add("strategy", f"SELECT userId, rated, liked, genres, strategy, CASE strategy {_LABELS} END AS label FROM chosen", _CHOSEN_VIEWS, *CHOSEN)
+add("stream_strategy", "SELECT userId, rated, liked, genres, strategy FROM chosen", _CHOSEN_VIEWS, *CHOSEN)
 add(
     "genre_cold_start",
     RECS + "best",

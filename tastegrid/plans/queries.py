@@ -536,6 +536,40 @@ def _vectors_for(ids: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
     return picked.join(vectors.select(F.col(key).alias("_v"), "vec"), "_v").drop("_v")
 
 
+FOLD_K = 4  # length of the fixed item vectors on which users are folded in
+
+
+def _folded(v: Views, fold: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``(userId, place, x)`` of every user's vector; the item vectors are fixed, and one movie in seven has none."""
+    items = _vectors_for(v.movies.select("movieId"), "movieId", v.item_vectors).withColumn("vec", F.slice("vec", 1, FOLD_K))
+    users = fold(v.ratings.select("userId", "movieId", "rating"), stage(items, "fixed-vectors"))
+    return users.select("userId", F.posexplode("vec").alias("place", "x")).select(
+        "userId", (F.col("place") + 1).cast("long").alias("place"), F.round("x", 5).alias("x")
+    )
+
+
+@model
+def fold_least_squares(v: Views) -> DataFrame:
+    """The solution of smallest norm, on deviations from the user's own mean."""
+    return _folded(v, lambda ratings, items: factors.fold_in_svd(ratings, items, FOLD_K))
+
+
+@model
+def fold_ridge(v: Views) -> DataFrame:
+    """The serving form: ridge, one centre, at least two known items."""
+    return _folded(v, lambda ratings, items: factors.fold_in_svd(ratings, items, FOLD_K, ridge=0.01 * FOLD_K, centre=3.0, min_items=2))
+
+
+@model
+def fold_als(v: Views) -> DataFrame:
+    return _folded(v, lambda ratings, items: factors.fold_in_als(ratings, items, FOLD_K))
+
+
+@model
+def fold_als_observed(v: Views) -> DataFrame:
+    return _folded(v, lambda ratings, items: factors.fold_in_als(ratings, items, FOLD_K, observed_only=True))
+
+
 # --- text -----------------------------------------------------------------------------------------
 
 
@@ -794,6 +828,14 @@ def stream_counts(v: Views) -> DataFrame:
     return streams.run_counts(v.spark, v.folder)
 
 
+@query
+def stream_strategy(v: Views) -> DataFrame:
+    """Strategy per user as the stream keeps it; equal to ``strategy`` on the same events."""
+    genres = v.preferences.select("userId", F.size("preferred_genres").alias("genres"))
+    df = streams.run_status(v.spark, v.folder, v.users, v.movies, genres)
+    return df.select("userId", "rated", "liked", "genres", "strategy")
+
+
 @query
 def stream_activity(v: Views) -> DataFrame:
     return streams.run_activity(v.spark, v.folder)

@@ -128,3 +128,57 @@ def test_chained(frame):
         n=5, width=11, skip=frame(seen, "l long, r long"), rows_per_block=4,
     )
     assert found(got) == best(score, (score >= 5e-8) & (likes == 0), 5)
+
+
+def test_mirrored_tiles(frame):
+    """Half of the tiles, the same rows; also when every pair is asked for."""
+    a = sparse(19, 11)
+    score = a @ a.T
+    valid = score > 1e-12
+    np.fill_diagonal(valid, False)
+    left, right = long(frame, a, "l"), long(frame, a, "r")
+    got = block_top(left, right, n=4, rows_per_block=3, same=False, mirrored=True)
+    assert found(got) == best(score, valid, 4)
+    pairs = block_top(left, right, n=None, rows_per_block=3, same=False, mirrored=True).collect()
+    assert len(pairs) == valid.sum() and {(r["l"], r["r"]) for r in pairs} == set(zip(*[x.tolist() for x in np.nonzero(valid)]))
+
+
+def test_shift_decides_rounding(frame):
+    """A row's shift is added before scores are rounded and ranked."""
+    left = frame([(1, 5, 1.0, 0.5)], "l long, col long, w0 double, shift double")
+    right = frame([(10, 5, 1.00000004), (11, 5, 1.00000008)], "r long, col long, w0 double")
+    got = block_top(left, right, n=2).collect()
+    assert [(r["rank"], r["r"], round(r["score"], 9)) for r in got] == [(1, 11, 1.50000008), (2, 10, 1.50000004)]
+
+
+def test_records_go_only_where_their_column_is(frame):
+    """A record meets the blocks that hold its column, so a column of b blocks is not copied to the others."""
+    rows = [(i, "all", 1.0) for i in range(64)] + [(i, f"own{i}", 1.0) for i in range(64)]
+    lefts = blocks.packed(frame(rows, "l long, col string, w0 double"), "l", "lb", 16, ["w0"], "el").cache()
+    rights = blocks.packed(frame(rows, "r long, col string, w0 double"), "r", "rb", 16, ["w0"], "er")
+    met = blocks.met_records(lefts, rights)
+    held = {r["col"]: r["count"] for r in lefts.groupBy("col").count().collect()}
+    assert held["all"] > 10 and met.count() == sum(b * b for b in held.values()) < 16 * len(lefts.collect())
+    half = blocks.met_records(lefts, rights, mirrored=True)
+    assert half.count() == sum(b * (b + 1) // 2 for b in held.values())
+
+
+def test_long_rows_end_the_scan(frame):
+    """Blocks of short vectors are left out where the long ones already fill the lists, and only there."""
+    rng = np.random.default_rng(9)
+    u, v = rng.normal(size=(40, 6)), rng.normal(size=(200, 6)) * (0.97 ** np.arange(200))[:, None]
+    users = frame([(i, r.tolist(), float(i % 3)) for i, r in enumerate(u)], "l long, vec array<double>, shift double")
+    items = frame([(i, r.tolist()) for i, r in enumerate(v)], "r long, vec array<double>")
+    score = u @ v.T + (np.arange(40) % 3)[:, None]
+    seen = [(i, j) for i in range(40) for j in range(0, 200, 7)]
+    valid = np.ones(score.shape, bool)
+    valid[[i for i, _ in seen], [j for _, j in seen]] = False
+    got = dense_top(users, items, n=5, rows_per_block=10, skip=frame(seen, "l long, r long"))
+    assert found(got) == best(score, valid, 5)
+    norms = np.sort(np.sqrt((v * v).sum(1)))[::-1][::10]
+    lefts = users.selectExpr("l", "sqrt(aggregate(vec, 0D, (s, x) -> s + x * x)) AS norm", "shift")
+    first = frame([(i, 5, -float(np.sort(-s)[4])) for i, s in enumerate(score)], "l long, rank long, score double")
+    routes = blocks.later_tiles(lefts, first, norms, 1, 5, 7).collect()
+    assert 0 < len(routes) < 0.6 * 40 * (len(norms) - 1)
+    short = frame([(i, 4, 0.0) for i in range(40)], "l long, rank long, score double")  # lists that are not full need every block
+    assert blocks.later_tiles(lefts, short, norms, 1, 5, 7).count() == 40 * (len(norms) - 1)

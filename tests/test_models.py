@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastegrid.operators import content, evaluation, factors, hybrid, interactions, neighbours, popularity as pop, search, textmodel
+from tastegrid.operators import content, evaluation, factors, hybrid, interactions, krylov, neighbours, popularity as pop, search, textmodel
 
 RNG = np.random.default_rng(3)
 RATING = "userId long, movieId long, rating double"
@@ -68,6 +68,27 @@ def test_svd_default_tolerance_gives_the_exact_lists(frame):
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, want)]) > 0.99
 
 
+def test_krylov_restarts_and_rows_in_pieces(frame):
+    """Small blocks, so that long rows are cut, and a space that is cut several times."""
+    rng = np.random.default_rng(12)
+    m = np.where(rng.random((60, 80)) < 0.2, rng.normal(size=(60, 80)), 0.0)
+    m[3] = rng.normal(size=80)  # longer than a block
+    m[:, 5] = rng.normal(size=60)
+    entries = frame([(int(u), int(i), float(m[u, i])) for u, i in zip(*np.nonzero(m))], "u long, i long, v double")
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    for block in (25, 10**6):
+        got = krylov.leading(entries, "u", "i", "v", 4, extra=2, tolerance=1e-6, max_rounds=100, limit=60, seed=3, block_entries=block)
+        assert (got.packed.heavy is not None) == (block == 25) and got.rounds > 4
+        assert np.allclose(got.values, s[:4] ** 2, rtol=1e-9) and got.moved <= 1e-6
+        right, left = np.zeros((80, 4)), np.zeros((60, 4))
+        for r in krylov.vectors(got.columns, "c").collect():
+            right[r["c"]] = r["vec"]
+        for r in krylov.vectors(krylov.images(got), "r").collect():
+            left[r["r"]] = r["vec"]
+        assert np.allclose(right.T @ right, np.eye(4), atol=1e-8)
+        assert np.allclose(left @ right.T, (u[:, :4] * s[:4]) @ vt[:4], atol=1e-4)
+
+
 def _items(frame, k=4, n=9):
     v = RNG.normal(size=(n, k))
     return v, frame([(i, r.tolist()) for i, r in enumerate(v)], "movieId long, vec array<double>")
@@ -205,7 +226,9 @@ def test_similar_unknown_item_falls_back(frame):
     scores = frame([(1, 5.0), (2, 4.0), (3, 3.0)], "movieId long, score double")
     asked = frame([(1,), (77,)], "movieId long")
     got = textmodel.similar_or_popular(asked, textmodel.fit_tfidf(docs), scores, n=2).collect()
-    assert {(r["movieId"], r["rank"], r["similarId"]) for r in got} == {(1, 1, 2), (77, 1, 1), (77, 2, 2)}
+    # the list of a known item goes on with the item of smallest id when no more share a term
+    assert {(r["movieId"], r["rank"], r["similarId"]) for r in got} == {(1, 1, 2), (1, 2, 3), (77, 1, 1), (77, 2, 2)}
+    assert [r["score"] for r in got if r["similarId"] == 3] == [0.0]
 
 
 def test_blend(frame):
