@@ -32,6 +32,8 @@ _CACHED_CELLS = 1 << 18    # tile cells ranked at a time
 _MIN_BLOCKS = 4
 _ENTRIES_PER_BLOCK = 2_000_000
 _RECORDS_PER_SPLIT = 256    # records of a column beyond which the join deals them over several tasks
+TILES_PER_TASK = 2
+MOST_TASKS = 20_000
 NOISE = 1e-12  # a sum of products counts as positive above this: rounding leaves about 1e-16, ratings differ by far more
 
 Finish = Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -228,6 +230,11 @@ def _block(ident: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
 
 
+def tile_groups(df: DataFrame, tiles: int):
+    """``df`` grouped by tile, a few tiles a task: their costs differ, so more would make tasks uneven."""
+    return df.repartition(min(max(1, -(-tiles // TILES_PER_TASK)), MOST_TASKS), "lb", "rb").groupBy("lb", "rb")
+
+
 def _no_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "l long, rank long, r long, score double")
 
@@ -272,7 +279,7 @@ def block_top(
     weights = [f"w{i}" for i in range(sums)]
     every = finish is finish_biased  # right rows with a bias are candidates without any shared column
     left_blocks = block_count(left, "l", rows_per_block)
-    right_blocks = left_blocks if mirrored else block_count(bias if every else right, "r", rows_per_block)
+    right_blocks = left_blocks if mirrored else block_count(right if bias is None else bias, "r", rows_per_block)
     if not left_blocks or not right_blocks:
         return _no_rows(left.sparkSession)
     own = ["shift"] if "shift" in left.columns else []
@@ -308,11 +315,12 @@ def block_top(
             found += _winners(turned, np.zeros(len(left.ids)), right.ids, left.ids, None, same, limit, digits, finish)
         return _table(iter(found))
 
+    count = left_blocks * right_blocks
     if skip is None:
-        tiles = met.groupBy("lb", "rb").applyInArrow(lambda records: tile(records, None), _OUT)
+        tiles = tile_groups(met, count).applyInArrow(lambda records: tile(records, None), _OUT)
     else:
         pairs = skip.select("l", "r", _block("l", left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"))
-        tiles = met.groupBy("lb", "rb").cogroup(pairs.groupBy("lb", "rb")).applyInArrow(tile, _OUT)
+        tiles = tile_groups(met, count).cogroup(tile_groups(pairs, count)).applyInArrow(tile, _OUT)
     return tiles if n is None else top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
 
 
@@ -369,7 +377,8 @@ def chained_top(
             score[:, d] = w[some][known] @ profile[at[some][known]] / norm
         return _table(_winners([score], np.zeros(len(ids)), left.ids, ids, pairs, True, n, digits, finish_dot))
 
-    tiles = liked.groupBy("lb", "rb").cogroup(asked.groupBy("lb", "rb")).applyInArrow(tile, _OUT)
+    count = left_blocks * right_blocks
+    tiles = tile_groups(liked, count).cogroup(tile_groups(asked, count)).applyInArrow(tile, _OUT)
     return top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
 
 
@@ -448,7 +457,8 @@ def dense_top(
         if skip is not None:
             pairs = skip.select(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), _block("l", left_blocks).alias("lb"))
             own = own.unionByName(pairs.join(rights.select("r", "rb"), "r"), allowMissingColumns=True)
-        return own.groupBy("lb", "rb").cogroup(others.groupBy("lb", "rb")).applyInArrow(tile, _OUT)
+        count = places.count()
+        return tile_groups(own, count).cogroup(tile_groups(others, count)).applyInArrow(tile, _OUT)
 
     first = stage(top_n(computed(lefts.select("l", F.lit(0).alias("rb"))), "l", "score", "r", n), "dense-first")
     if len(norms) > 1:

@@ -187,5 +187,5 @@ def test_status_is_forgotten_in_time(spark, frame, tmp_path):
         source = interaction_rows(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"))
         jobs.keep_status(source, known, genres, f"{tmp_path}/out", f"{tmp_path}/cp", keep_ms=1500).awaitTermination()
         row = jobs.read_status(spark, f"{tmp_path}/out", frame([(1,)], "userId long"), genres).first()
-        assert (row["rated"], row["liked"]) == ((3, 1), (0, 1))[i] and row["strategy"] == ("hybrid", "popularity")[i]
+        assert (row["rated"], row["liked"]) == ((3, 0), (0, 1))[i] and row["strategy"] == ("hybrid", "popularity")[i]
         time.sleep(2)
