@@ -283,28 +283,33 @@ def block_top(
     if not left_blocks or not right_blocks:
         return _no_rows(left.sparkSession)
     own = ["shift"] if "shift" in left.columns else []
-    left = left.select("l", F.col("col").cast("string").alias("col"), *weights, *own)
-    right = right.select("r", F.col("col").cast("string").alias("col"), *weights)
-    if bias is not None:
-        right = right.join(bias.select("r", "bias"), "r", "inner" if finish is not finish_weighted_mean else "left")
+    kinds = {df.schema["col"].dataType for df in (left, right)}
+    col = F.col("col") if len(kinds) == 1 and not every else F.col("col").cast("string")
+    left, right = left.select("l", col.alias("col"), *weights, *own), right.select("r", col.alias("col"), *weights)
     if every:  # one more column, of weight 0, that all of them share; real ones never begin with a space
         nothing = [F.lit(0.0).alias(w) for w in weights]
         mark = F.lit(" ").alias("col")
         left = left.unionByName(left.select("l").distinct().select("l", mark, *nothing))
-        right = right.unionByName(bias.select("r", mark, *nothing, "bias"))
+        right = right.unionByName(bias.select("r", mark, *nothing))
     lefts = packed(left, "l", "lb", left_blocks, weights + own, "el")
-    rights = packed(right, "r", "rb", right_blocks, weights + (["bias"] if bias is not None else []), "er")
+    rights = packed(right, "r", "rb", right_blocks, weights, "er")
     met = met_records(stage(lefts, "left-records"), rights, mirrored)
     has_bias, limit = bias is not None, n
 
-    def tile(records: pa.Table, pairs: pa.Table | None) -> pa.Table:
+    def tile(records: pa.Table, extras: pa.Table | None) -> pa.Table:
         if not records.num_rows:
             return _table(iter(()))
         left, right = _Side(records["el"], weights), _Side(records["er"], weights)
         acc = _sums(left, right)
-        values = np.zeros(len(right.ids))
+        values, pairs = np.zeros(len(right.ids)), None
+        if extras is not None:
+            is_bias = pa.compute.is_null(extras["l"])
+            pairs = extras.filter(pa.compute.invert(is_bias))
         if has_bias:
-            values[right.at] = right.inner.field("bias").fill_null(np.nan).to_numpy(zero_copy_only=False)
+            given = extras.filter(is_bias)
+            at = _places(right.ids, given["r"].to_numpy())
+            values[:] = np.nan
+            values[at[at >= 0]] = given["bias"].to_numpy()[at >= 0]
         shift = None
         if own:
             shift = np.zeros(len(left.ids))
@@ -316,11 +321,18 @@ def block_top(
         return _table(iter(found))
 
     count = left_blocks * right_blocks
-    if skip is None:
-        tiles = tile_groups(met, count).applyInArrow(lambda records: tile(records, None), _OUT)
+    extras = []  # pairs that may not be returned, and biases, one copy for each block of the other side
+    if skip is not None:
+        pair = [F.col(c).cast("long").alias(c) for c in ("l", "r")]
+        extras.append(skip.select(_block("l", left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"), *pair, F.lit(None).cast("double").alias("bias")))
+    if has_bias:
+        row = [F.lit(None).cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.col("bias").cast("double").alias("bias")]
+        extras.append(bias.select(_every(left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"), *row))
+    if extras:
+        others = extras[0] if len(extras) == 1 else extras[0].unionByName(extras[1])
+        tiles = tile_groups(met, count).cogroup(tile_groups(others, count)).applyInArrow(tile, _OUT)
     else:
-        pairs = skip.select("l", "r", _block("l", left_blocks).alias("lb"), _block("r", right_blocks).alias("rb"))
-        tiles = tile_groups(met, count).cogroup(tile_groups(pairs, count)).applyInArrow(tile, _OUT)
+        tiles = tile_groups(met, count).applyInArrow(lambda records: tile(records, None), _OUT)
     return tiles if n is None else top_n(tiles, "l", "score", "r", n).select("l", "rank", "r", "score")
 
 
