@@ -6,6 +6,8 @@ what is built on them) have no SQL and are checked against NumPy in the tests.
 
 from __future__ import annotations
 
+import re
+
 from tastegrid.functions.stopwords import ENGLISH
 from tastegrid.operators.hybrid import STRATEGY_LABELS
 from tastegrid.plans import queries as q
@@ -50,6 +52,13 @@ def top(source: str, key: str, item: str, n: int, score: str = "score") -> str:
                FROM {source} QUALIFY rank <= {n}"""
 
 
+def renamed(steps: list[tuple[str, str]], prefix: str, **tables: str) -> list[tuple[str, str]]:
+    """The same steps under other names, reading other tables."""
+    names = {n: prefix + n for n, _ in steps} | tables
+    word = re.compile(r"(?<![\w.'])(" + "|".join(names) + r")\b(?!\s*\()")
+    return [(prefix + n, word.sub(lambda m: names[m[0]], sql)) for n, sql in steps]
+
+
 SPLIT = [
     (
         "marked",
@@ -172,6 +181,37 @@ def user_cf(n: int) -> list[tuple[str, str]]:
     ]
 
 
+def item_cf(n: int) -> list[tuple[str, str]]:
+    return [
+        active(3, 5),
+        ("mi", "SELECT movieId, avg(rating) AS m FROM act GROUP BY movieId"),
+        ("dev", "SELECT userId, movieId, rating - m AS d FROM act JOIN mi USING (movieId)"),
+        ("len", "SELECT movieId, sqrt(sum(d * d)) AS z FROM dev GROUP BY movieId"),
+        (
+            "dots",
+            """SELECT a.movieId AS l, b.movieId AS r, sum(a.d * b.d) AS s FROM dev a JOIN dev b
+               ON a.userId = b.userId AND a.movieId <> b.movieId GROUP BY ALL""",
+        ),
+        (
+            "pairs",
+            """SELECT l, r, s / (x.z * y.z) AS sim, row_number() OVER (PARTITION BY l ORDER BY round(s / (x.z * y.z), 7) DESC, r) AS rn
+               FROM dots JOIN len x ON x.movieId = l JOIN len y ON y.movieId = r
+               WHERE x.z > 0 AND y.z > 0 AND s / (x.z * y.z) > 1e-12""",
+        ),
+        (
+            "scored",
+            """SELECT d.userId, p.r AS movieId, sum(sim * d.d) / sum(sim) AS x, min(rn) AS rn FROM dev d JOIN pairs p ON p.l = d.movieId
+               WHERE d.userId IN (SELECT userId FROM users) GROUP BY d.userId, p.r""",
+        ),
+        (
+            "open",
+            """SELECT userId, movieId, m + x AS score FROM scored c JOIN mi USING (movieId) WHERE rn <= 50 AND NOT EXISTS
+               (SELECT 1 FROM act s WHERE s.userId = c.userId AND s.movieId = c.movieId)""",
+        ),
+        ("best", top("open", "userId", "movieId", n)),
+    ]
+
+
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 
 SOUP = (
@@ -607,38 +647,7 @@ add(
 )
 add("genre_recs", RECS + "tagged", ("ratings", "movies"), *bayes(), USERS, *tag_recs("ratings", "users", "bayes", 10, "tagged"))
 add("user_cf", RECS + "user_cf", ("ratings",), USERS, *user_cf(10))
-add(
-    "item_cf",
-    RECS + "best",
-    ("ratings",),
-    USERS,
-    active(3, 5),
-    ("mi", "SELECT movieId, avg(rating) AS m FROM act GROUP BY movieId"),
-    ("dev", "SELECT userId, movieId, rating - m AS d FROM act JOIN mi USING (movieId)"),
-    ("len", "SELECT movieId, sqrt(sum(d * d)) AS z FROM dev GROUP BY movieId"),
-    (
-        "dots",
-        """SELECT a.movieId AS l, b.movieId AS r, sum(a.d * b.d) AS s FROM dev a JOIN dev b
-           ON a.userId = b.userId AND a.movieId <> b.movieId GROUP BY ALL""",
-    ),
-    (
-        "pairs",
-        """SELECT l, r, s / (x.z * y.z) AS sim, row_number() OVER (PARTITION BY l ORDER BY round(s / (x.z * y.z), 7) DESC, r) AS rn
-           FROM dots JOIN len x ON x.movieId = l JOIN len y ON y.movieId = r
-           WHERE x.z > 0 AND y.z > 0 AND s / (x.z * y.z) > 1e-12""",
-    ),
-    (
-        "scored",
-        """SELECT d.userId, p.r AS movieId, sum(sim * d.d) / sum(sim) AS x, min(rn) AS rn FROM dev d JOIN pairs p ON p.l = d.movieId
-           WHERE d.userId IN (SELECT userId FROM users) GROUP BY d.userId, p.r""",
-    ),
-    (
-        "open",
-        """SELECT userId, movieId, m + x AS score FROM scored c JOIN mi USING (movieId) WHERE rn <= 50 AND NOT EXISTS
-           (SELECT 1 FROM act s WHERE s.userId = c.userId AND s.movieId = c.movieId)""",
-    ),
-    ("best", top("open", "userId", "movieId", 10)),
-)
+add("item_cf", RECS + "best", ("ratings",), USERS, *item_cf(10))
 add(
     "factor_topn",
     RECS + "best",
@@ -969,14 +978,48 @@ add(
 PERSONAL = [
     *SPLIT,
     *bayes("train"),
-    VOTES,
-    *popular("bayes", "train", "picked", 10, "pop"),
-    *popular("votes", "train", "picked", 10, "voted"),
+    *popular("bayes", "train", "picked", q.POOL, "pop"),
     *tag_recs("train", "picked", "bayes", 10, "tagged"),
+    *renamed(user_cf(10), "uc_", ratings="train", users="picked"),
+    *renamed(item_cf(10), "ic_", ratings="train", users="picked"),
+    ("mine", "SELECT * FROM train WHERE userId IN (SELECT userId FROM picked)"),
+    *TFIDF,
+    *renamed(profile(q.POOL), "tf_", ratings="mine"),
+    (
+        "mf_all",
+        """SELECT p.userId, m.movieId, 2.5::DOUBLE + list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score
+           FROM picked p JOIN embeddings u ON p.userId % 7 <> 0 AND u.vec_id = 2 * (p.userId % (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0)),
+                movies m JOIN embeddings i ON m.movieId % 7 <> 0 AND i.vec_id = 2 * (m.movieId % (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 1)) + 1
+           WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.userId = p.userId AND s.movieId = m.movieId)""",
+    ),
+    ("mf", top("mf_all", "userId", "movieId", q.POOL)),
+    (
+        "stacked",
+        """SELECT userId, 'popularity' AS component, movieId, round(score, 7) AS score FROM pop
+           UNION ALL SELECT userId, 'content', movieId, round(score, 7) FROM tf_profile
+           UNION ALL SELECT userId, 'factors', movieId, round(score, 7) FROM mf""",
+    ),
+    ("scaled", normed("stacked")),
+    (
+        "merged",
+        """SELECT userId, movieId, coalesce(max(norm) FILTER (component = 'content'), 0) AS c,
+           coalesce(avg(norm) FILTER (component = 'factors'), 0) AS f, coalesce(max(norm) FILTER (component = 'popularity'), 0) AS p
+           FROM scaled GROUP BY userId, movieId""",
+    ),
+    (
+        "blended",
+        f"""SELECT m.userId, movieId, CASE WHEN coalesce(n, 0) < {q.DEFAULTS.cold_start_ratings}
+                THEN 0.7::DOUBLE * (0.3::DOUBLE * c + 0.7::DOUBLE * f) + 0.3::DOUBLE * p
+                ELSE 0.3::DOUBLE * c + 0.7::DOUBLE * f END AS score
+            FROM merged m LEFT JOIN (SELECT userId, count(*) AS n FROM train GROUP BY userId) h ON h.userId = m.userId""",
+    ),
+    ("mixed", top("blended", "userId", "movieId", 10)),
     (
         "lists",
-        """SELECT 'popularity' AS model, userId, movieId FROM pop UNION ALL SELECT 'vote', userId, movieId FROM voted
-           UNION ALL SELECT 'genre_content', userId, movieId FROM tagged""",
+        """SELECT 'popularity' AS model, userId, movieId FROM pop WHERE rank <= 10 UNION ALL SELECT 'genre_content', userId, movieId FROM tagged
+           UNION ALL SELECT 'user_cf', userId, movieId FROM uc_user_cf UNION ALL SELECT 'item_cf', userId, movieId FROM ic_best
+           UNION ALL SELECT 'tfidf_content', userId, movieId FROM tf_profile WHERE rank <= 10
+           UNION ALL SELECT 'matrix_factorization', userId, movieId FROM mf WHERE rank <= 10 UNION ALL SELECT 'hybrid', userId, movieId FROM mixed""",
     ),
     ("wanted", "SELECT userId, movieId FROM test WHERE rating >= 4"),
     (
@@ -999,11 +1042,11 @@ PERSONAL = [
             FROM totals t JOIN (SELECT model, count(DISTINCT movieId) AS c FROM lists GROUP BY model) s ON s.model = t.model""",
     ),
 ]
-add("eval_personal", "SELECT * FROM metrics", ("ratings", "movies"), *PERSONAL)
+add("eval_personal", "SELECT * FROM metrics", ("ratings", "movies", "catalog"), *PERSONAL)
 add(
     "compare_models",
     "SELECT row_number() OVER (ORDER BY f1 DESC, model) AS place, model, f1 FROM metrics",
-    ("ratings", "movies"),
+    ("ratings", "movies", "catalog"),
     *PERSONAL,
 )
 ERRORS = (
@@ -1020,7 +1063,7 @@ add(
         UNION ALL SELECT 'cf_rows', (SELECT count(*) FROM train), 15000.0 UNION ALL SELECT 'rmse', (SELECT rmse FROM errors), 1.0
         UNION ALL SELECT 'evaluated_users', (SELECT evaluated_users FROM metrics WHERE model = 'popularity'), 90.0
         UNION ALL SELECT 'coverage', (SELECT coverage FROM metrics WHERE model = 'popularity'), 0.98)""",
-    ("ratings", "movies"),
+    ("ratings", "movies", "catalog"),
     *PERSONAL,
     ERRORS,
 )
