@@ -127,6 +127,23 @@ def test_fold_in_als_both_forms(frame):
             assert np.allclose(row["vec"], np.linalg.solve(a + 0.1 * np.eye(4), y.T @ c))
 
 
+def test_fold_in_solves_users_together_and_leaves_short_ones_out(frame):
+    """Tasks whose users all know too few items give no rows, and no task calls Python once per user."""
+    _, items = _items(frame)
+    ratings = frame([(u, u % 9, 4.0) for u in range(50)], "userId long, movieId long, rating double")
+    for chunk in (4096, 1):
+        users = factors.fold_in_svd(ratings, items, 4, ridge=0.04, centre=3.0, min_items=2, chunk=chunk)
+        assert users.select("userId", "mean", "vec").collect() == []
+    heavy = ratings.unionByName(frame([(7, i, float(i % 5) + 1) for i in range(9) if i != 7], ratings.schema))
+    got = {
+        chunk: {r["userId"]: r["vec"] for r in factors.fold_in_svd(heavy, items, 4, ridge=0.04, centre=3.0, min_items=2, chunk=chunk).collect()}
+        for chunk in (4096, 3)
+    }
+    assert set(got[3]) == set(got[4096]) == {7} and np.allclose(got[3][7], got[4096][7])
+    plan = factors.fold_in_svd(ratings, items, 4)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsIn" not in plan
+
+
 def test_als_fit_and_unseen_only(frame):
     m, ratings = table(frame)
     model = factors.als_factors(factors.fit_als(ratings, rank=3, iterations=3))
