@@ -1,6 +1,8 @@
 """Tile kernels against brute force, with blocks small enough that several tiles are needed."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from tastegrid.operators import blocks
@@ -182,3 +184,47 @@ def test_long_rows_end_the_scan(frame):
     assert 0 < len(routes) < 0.6 * 40 * (len(norms) - 1)
     short = frame([(i, 4, 0.0) for i in range(40)], "l long, rank long, score double")  # lists that are not full need every block
     assert blocks.later_tiles(lefts, short, norms, 1, 5, 7).count() == 40 * (len(norms) - 1)
+
+
+def test_dense_blocks_are_large(frame, monkeypatch):
+    """A vector is written once for every block of the other side, so thousands of rows are one block."""
+    dealt = []
+    monkeypatch.setattr(blocks, "tile_groups", lambda df, tiles, plain=blocks.tile_groups: (dealt.append(df.count()), plain(df, tiles))[1])
+    rng = np.random.default_rng(3)
+    u, v = rng.normal(size=(300, 3)), rng.normal(size=(9000, 3))
+    users = frame([(i, r.tolist(), 0.0) for i, r in enumerate(u)], "l long, vec array<double>, shift double")
+    items = frame([(i, r.tolist()) for i, r in enumerate(v)], "r long, vec array<double>")
+    got = dense_top(users, items, n=3)
+    assert dealt[0] == 300 and len(dealt) == 2  # every user meets one block of items, once
+    score = u @ v.T
+    assert found(got) == best(score, np.ones(score.shape, bool), 3)
+
+
+def test_dense_tile_stops_at_the_bound(monkeypatch):
+    """Inside a tile the bound leaves out what can't be among the best, whatever the cut into columns."""
+    rng = np.random.default_rng(4)
+    u, v = rng.normal(size=(30, 4)), rng.normal(size=(500, 4)) * (0.99 ** np.arange(500))[:, None]
+    v[17] = v[3]  # a tie
+    ids = rng.permutation(500)
+    tables = []
+    for x, name, of in ((u, "l", np.arange(30)), (v, "r", ids)):
+        t = pa.table({name: of, "vec": pa.array(x.tolist(), pa.list_(pa.float64())), "norm": np.sqrt((x * x).sum(1))})
+        tables.append(t if name == "l" else t.take(pa.compute.sort_indices(t, sort_keys=[("norm", "descending"), ("r", "ascending")])))
+    gone = pa.table({"l": np.repeat(np.arange(30), 50), "r": np.tile(ids[:100:2], 30)})
+    score = np.empty((30, 500))
+    score[:, ids] = u @ v.T + 1.0
+    valid = np.ones(score.shape, bool)
+    valid[:, ids[:100:2]] = False
+    want = best(score, valid, 6)
+    monkeypatch.setattr(blocks, "_BOUNDED_COLUMNS", 8)
+    products = []
+    monkeypatch.setattr(blocks, "best_of_tile", lambda s, *rest, plain=blocks.best_of_tile: (products.append(s.size), plain(s, *rest))[1])
+    for edge in (np.full(30, -np.inf), np.array([score[i, want[i, 6][0]] for i in range(30)])):
+        sides = blocks._Dense(tables[0], "l"), blocks._Dense(tables[1], "r")
+        found_ = pa.Table.from_batches(blocks._dense_winners(*sides, np.ones(30), edge, gone, 6, 7)).to_pylist()
+        rows = {}
+        for row in found_:
+            rows.setdefault(row["l"], []).append(row)
+        got = {(l, k): (x["r"], round(x["score"], 7)) for l, xs in rows.items() for k, x in enumerate(xs, 1)}
+        assert got == want
+    assert sum(products) < 0.8 * 2 * score.size
