@@ -228,3 +228,15 @@ def test_dense_tile_stops_at_the_bound(monkeypatch):
         got = {(l, k): (x["r"], round(x["score"], 7)) for l, xs in rows.items() for k, x in enumerate(xs, 1)}
         assert got == want
     assert sum(products) < 0.8 * 2 * score.size
+
+
+def test_profile_blocks_are_large(frame, monkeypatch):
+    """Documents are written once per left block and likes once per right block: few blocks, few copies."""
+    dealt = []
+    monkeypatch.setattr(blocks, "tile_groups", lambda df, tiles, plain=blocks.tile_groups: (dealt.append(df.count()), plain(df, tiles))[1])
+    likes = frame([(i, i % 50, 1.0) for i in range(20_000)], "l long, col long, w0 double")
+    docs = frame([(d, d % 5 + 1, 1.0) for d in range(50)], "r long, col long, w0 double")
+    got = chained_top(likes, docs, n=2, width=5)
+    rows = {(r["l"], r["rank"]): (r["r"], r["score"]) for r in got.where("l < 10").collect()}
+    assert rows == {(i, k): (i % 5 + 5 * (k - 1), 1.0) for i in range(10) for k in (1, 2)}
+    assert dealt[1] <= 16 * 50  # twenty blocks of 1,024 before
