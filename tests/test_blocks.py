@@ -240,3 +240,44 @@ def test_profile_blocks_are_large(frame, monkeypatch):
     rows = {(r["l"], r["rank"]): (r["r"], r["score"]) for r in got.where("l < 10").collect()}
     assert rows == {(i, k): (i % 5 + 5 * (k - 1), 1.0) for i in range(10) for k in (1, 2)}
     assert dealt[1] <= 16 * 50  # twenty blocks of 1,024 before
+
+
+def test_sparse_blocks_are_large(frame, monkeypatch):
+    """A record is written once per block of the other side that holds its column, so thousands of rows are one block."""
+    dealt = []
+    monkeypatch.setattr(blocks, "tile_groups", lambda df, tiles, plain=blocks.tile_groups: (dealt.append(df.count()), plain(df, tiles))[1])
+    rows = [(i, i % 60, 1.0 + i % 7) for i in range(50_000)]
+    left, right = frame(rows, "l long, col long, w0 double"), frame(rows, "r long, col long, w0 double")
+    got = block_top(left, right, n=1).where("l < 40").collect()
+    assert {(r["l"], r["r"], r["score"]) for r in got} == {(i, next(j for j in range(i % 60, 50_000, 60) if j % 7 == 6), 7.0 * (1 + i % 7)) for i in range(40)}
+    assert dealt == [60 * 8 * 8]  # 25 blocks a side of 2,048 rows before: 60 * 25 * 25
+
+
+@pytest.mark.parametrize("sparse_share", [0, 10**9])
+@pytest.mark.parametrize("rows_per_block", [7, 1000])
+def test_both_kernels(frame, monkeypatch, sparse_share, rows_per_block):
+    """Sorted products and dense tiles return the same: shifts, forbidden pairs, weighted means, mirrored blocks, all pairs."""
+    monkeypatch.setattr(blocks, "_SPARSE_SHARE", sparse_share)
+    monkeypatch.setattr(blocks, "_SORTED_PRODUCTS", 50)
+    monkeypatch.setattr(blocks, "_MERGED_ROWS", 10)
+    monkeypatch.setattr(blocks, "DEFAULTS", __import__("dataclasses").replace(blocks.DEFAULTS, rows_per_block=5))
+    a, b = sparse(25, 14), sparse(90, 14)
+    banned = [(i, j) for i in range(25) for j in range(90) if (i + j) % 6 == 0]
+    bias = RNG.normal(size=90).round(3)
+    weight = np.abs(a) @ np.abs(b).T
+    score = bias[None, :] + np.divide(a @ b.T, weight, out=np.zeros(weight.shape), where=weight > 0) + np.arange(25)[:, None]
+    valid = weight > 0
+    valid[tuple(np.array(banned).T)] = False
+    left = frame([(i, f"c{j}", float(a[i, j]), abs(float(a[i, j])), float(i)) for i, j in np.argwhere(a).tolist()], "l long, col string, w0 double, w1 double, shift double")
+    right = frame([(i, f"c{j}", float(b[i, j]), abs(float(b[i, j]))) for i, j in np.argwhere(b).tolist()], "r long, col string, w0 double, w1 double")
+    got = block_top(left, right, n=3, sums=2, finish=blocks.finish_weighted_mean, skip=frame(banned, "l long, r long"),
+                    bias=frame([(i, float(x)) for i, x in enumerate(bias)], "r long, bias double"), rows_per_block=rows_per_block)
+    assert found(got) == best(score, valid, 3)
+    own = b @ b.T
+    valid = own > blocks.NOISE
+    np.fill_diagonal(valid, False)
+    sides = long(frame, b, "l"), long(frame, b, "r")
+    got = block_top(*sides, n=4, same=False, mirrored=True, rows_per_block=rows_per_block)
+    assert found(got) == best(own, valid, 4)
+    pairs = block_top(*sides, n=None, same=False, mirrored=True, rows_per_block=rows_per_block).collect()
+    assert len(pairs) == valid.sum() and {(r["l"], r["r"]) for r in pairs} == set(zip(*map(list, np.nonzero(valid))))
