@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tastegrid.operators.ranking import exact_quantile
+from tastegrid.operators.staging import stage
 
 # The feature columns kept for users and movies, optional ones last.
 USER_COLUMNS = (
@@ -66,6 +67,7 @@ def select_present(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def process_features(users: DataFrame, movies: DataFrame, threshold: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Low-variance drop, fill, then the final column sets."""
-    ready = [fill_missing(drop_low_variance(df, threshold)) for df in (users, movies)]
+    """Low-variance drop, fill, then the final column sets. Both tables are read several times, so they are stored first."""
+    stored = [stage(users, "user-features"), stage(movies, "movie-features")]
+    ready = [fill_missing(drop_low_variance(df, threshold)) for df in stored]
     return select_present(ready[0], USER_COLUMNS), select_present(ready[1], MOVIE_COLUMNS)

@@ -300,3 +300,19 @@ def test_search_tiers(frame):
     assert got == {
         (1, 1): 16.5, (1, 2): 10.0, (2, 3): 20.0, (3, 2): 1.0, (4, 3): 1.0, (7, 1): 20.5, (7, 2): 14.0,
     }
+
+
+def test_feature_tables_are_computed_once(frame):
+    """Variances, gaps, medians and the result all read the stored copy."""
+    from tastegrid.operators import selection
+
+    users = frame([(i, 1.0 * i, None if i % 3 else 2.0 * i) for i in range(12)], "userId long, avg_rating double, std_rating double").coalesce(1)
+    runs = users.sparkSession.sparkContext.accumulator(0)
+
+    def counted(batches):
+        runs.add(1)
+        yield from batches
+
+    movies = frame([(1, 2)], "movieId long, n_ratings long")
+    picked, _ = selection.process_features(users.mapInArrow(counted, users.schema), movies)
+    assert picked.where("std_rating = 9").count() == 8 and runs.value == 1
