@@ -302,6 +302,16 @@ def test_search_tiers(frame):
     }
 
 
+def test_popular_lists_are_not_shuffled(frame):
+    """The ranks of a list become rows after the last exchange, so only seen items travel."""
+    m, ratings = table(frame)
+    users = frame([(u,) for u in range(14)], "userId long")
+    lists = pop.popular_for_users(pop.bayes_popularity(ratings), users, ratings, n=3)
+    plan = lists._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    before_rows = plan[: plan.index("Generate")].splitlines()
+    assert not any("Exchange hashpartitioning" in line or "Sort" in line for line in before_rows)
+
+
 def test_feature_tables_are_computed_once(frame):
     """Variances, gaps, medians and the result all read the stored copy."""
     from tastegrid.operators import selection
