@@ -4,52 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tastegrid.config import DEFAULTS
 from tastegrid.operators.interactions import implicit_weight
 
 OUT = "userId long, rated long, known long, liked long, genres long, strategy string"
+STATE = "rated long, known long, movies array<long>, weights array<double>, changed array<long>"
 
 
 class UserStatus(StatefulProcessor):
     """Per user: numbers of ratings and of known rated items, and the liked items with their strongest weight.
 
     All of it is forgotten ``keep_ms`` after its last change, so users who stay away leave no state behind, and a like counts
-    only that long.
+    only that long. A user's state is one value, read and written once per batch: every access is a round trip to the JVM.
     """
 
     def __init__(self, cold_start: int, min_known: int, min_liked: int, keep_ms: int | None):
         self.cold_start, self.min_known, self.min_liked, self.keep_ms = cold_start, min_known, min_liked, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "rated long, known long", self.keep_ms)
-        self.liked = handle.getMapState("liked", "movieId long", "weight double", self.keep_ms)
+        self.status = handle.getValueState("status", STATE, self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rated, known = (int(x) for x in self.counts.get()) if self.counts.exists() else (0, 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.keep_ms else 0
+        held = self.status.get()
+        rated, known, movies, weights, changed = held if held is not None else (0, 0, [], [], [])
+        kept = {m: (w, at) for m, w, at in zip(movies, weights, changed) if not self.keep_ms or at + self.keep_ms > now}
         genres = 0
-        for part in rows:
-            rated += int(part["is_rated"].sum())
-            known += int(part["is_known"].sum())
-            genres = max(genres, int(part["genres"].max()))
-            best = part[part["movieId"].notna() & part["weight"].notna()].groupby("movieId")["weight"].max()
-            for movie, weight in best.items():
-                at = (int(movie),)
-                if not self.liked.containsKey(at) or self.liked.getValue(at)[0] < weight:
-                    self.liked.updateValue(at, (float(weight),))
-        self.counts.update((rated, known))
-        liked = sum(1 for _ in self.liked.keys())
+        for movie, weight, is_rated, is_known, wanted in ((r["movieId"], r["weight"], r["is_rated"], r["is_known"], r["genres"]) for r in rows):
+            rated += is_rated
+            known += is_known
+            genres = max(genres, wanted)
+            if movie is not None and weight is not None and (movie not in kept or kept[movie][0] < weight):
+                kept[movie] = weight, now
+        liked = len(kept)
+        self.status.update((rated, known, [*kept], [w for w, _ in kept.values()], [at for _, at in kept.values()]))
         if rated >= self.cold_start and known >= self.min_known:
             strategy = "hybrid"
         elif liked >= self.min_liked:
             strategy = "content"
         else:
             strategy = "genre" if genres else "popularity"
-        values = [[int(key[0])], [rated], [known], [liked], [genres], [strategy]]
-        yield pd.DataFrame(dict(zip(("userId", "rated", "known", "liked", "genres", "strategy"), values)))
+        yield Row(userId=int(key[0]), rated=rated, known=known, liked=liked, genres=genres, strategy=strategy)
 
     def close(self) -> None:
         pass
@@ -76,7 +74,7 @@ def user_status(
         F.col("userId").cast("long").alias("userId"), F.col("movieId").cast("long").alias("movieId"), implicit_weight().alias("weight"),
         rated.alias("is_rated"), (rated & F.coalesce("_known", F.lit(False))).alias("is_known"), F.coalesce("genres", F.lit(0)).cast("long").alias("genres"),
     )
-    return rows.groupBy("userId").transformWithStateInPandas(
+    return rows.groupBy("userId").transformWithState(
         statefulProcessor=UserStatus(cold_start, min_known, min_liked, keep_ms), outputStructType=OUT, outputMode="Update",
         timeMode="ProcessingTime" if keep_ms else "None",
     )

@@ -189,3 +189,33 @@ def test_status_is_forgotten_in_time(spark, frame, tmp_path):
         row = jobs.read_status(spark, f"{tmp_path}/out", frame([(1,)], "userId long"), genres).first()
         assert (row["rated"], row["liked"]) == ((3, 0), (0, 1))[i] and row["strategy"] == ("hybrid", "popularity")[i]
         time.sleep(2)
+
+
+def test_status_is_read_and_written_once_per_user():
+    from pyspark.sql import Row
+    from tastegrid.streaming.status import UserStatus
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+    status = UserStatus(3, 2, 2, None)
+    status.init(Handle())
+    row = lambda movie, weight: Row(movieId=movie, weight=weight, is_rated=False, is_known=False, genres=0)
+    for weight in (3.0, 5.0):
+        out = list(status.handleInputRows((7,), iter([row(m, weight) for m in range(50)] + [row(None, 1.0), row(9, None)]), None))
+        assert [(r["userId"], r["liked"], r["strategy"]) for r in out] == [(7, 50, "content")]
+    assert calls == ["get", "update"] * 2 and set(status.status.held[3]) == {5.0}
