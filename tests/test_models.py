@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +328,26 @@ def test_feature_tables_are_computed_once(frame):
     movies = frame([(1, 2)], "movieId long, n_ratings long")
     picked, _ = selection.process_features(users.mapInArrow(counted, users.schema), movies)
     assert picked.where("std_rating = 9").count() == 8 and runs.value == 1
+
+
+def test_terms_are_counted_inside_their_rows(frame):
+    rows = [(1, "red fox red fox"), (1, "blue fox"), (2, "blue fox fox"), (3, ""), (4, None), (5, "red blue red"), (None, "red fox"), (None, "blue")]
+    found = textmodel.fit_tfidf(frame(rows, "movieId long, soup string"), min_df=1, max_df=1.0, stop_words=())
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    counts: dict = {}
+    for movie, soup in rows:
+        words = (soup or "").split()
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            counts.setdefault(movie, Counter())[term] += 1
+    df = Counter(t for c in counts.values() for t in c)
+    want = {}
+    for movie, c in counts.items():
+        w = {t: n * (np.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
+        want |= {(movie, t): x / np.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+    got = {(r["movieId"], r["term"]): r["weight"] for r in found.collect()}
+    assert got == pytest.approx(want) and found.count() == len(want)
+    total = Counter()
+    for c in counts.values():
+        total.update(c)
+    order = sorted(total, key=lambda t: (-total[t], t))
+    assert {r["term"]: r["term_id"] for r in found.collect()} == {t: i + 1 for i, t in enumerate(order)}
