@@ -351,3 +351,18 @@ def test_terms_are_counted_inside_their_rows(frame):
         total.update(c)
     order = sorted(total, key=lambda t: (-total[t], t))
     assert {r["term"]: r["term_id"] for r in found.collect()} == {t: i + 1 for i, t in enumerate(order)}
+
+
+def test_vectors_travel_short_where_no_digit_is_lost(frame):
+    users = frame([(1, 1.0, [0.5, 0.25]), (2, 2.0, [0.1, 1e300]), (3, 3.0, [float("nan"), 1.0]), (4, 4.0, None)], "userId long, mean double, vec array<double>")
+    items = frame([(7, [2.0, 0.1]), (8, [0.1, 1e-300])], "movieId long, vec array<double>")
+    pairs = frame([(u, m) for u in (1, 2, 3, 4, 5) for m in (7, 8, 9)], "userId long, movieId long")
+    for dims in (None, 1):
+        found = factors.predict(pairs, factors.FactorModel(users, items, []), 9.0, dims)
+        assert "array<float>" in found._jdf.queryExecution().analyzed().toString()
+        got = {(r["userId"], r["movieId"]): r["pred"] for r in found.collect()}
+        u, m = {r["userId"]: r for r in users.collect()}, {r["movieId"]: r["vec"] for r in items.collect()}
+        for (a, b), pred in got.items():
+            vec = u[a]["vec"] if a in u else None
+            want = (u[a]["mean"] if a in u else 9.0) + (sum(x * y for x, y in list(zip(vec, m[b]))[:dims]) if vec and b in m else 0.0)
+            assert pred == want or (pred != pred and want != want)
