@@ -366,3 +366,11 @@ def test_vectors_travel_short_where_no_digit_is_lost(frame):
             vec = u[a]["vec"] if a in u else None
             want = (u[a]["mean"] if a in u else 9.0) + (sum(x * y for x, y in list(zip(vec, m[b]))[:dims]) if vec and b in m else 0.0)
             assert pred == want or (pred != pred and want != want)
+
+
+def test_genre_counts_read_no_sales(spark):
+    from conftest import SMALL
+    from tastegrid.plans.queries import QUERIES
+
+    plan = QUERIES["user_top_genres"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3  # lineitem, orders and part, once each
