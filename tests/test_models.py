@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import numpy as np
@@ -91,6 +92,31 @@ def test_krylov_restarts_and_rows_in_pieces(frame):
         assert np.allclose(left @ right.T, (u[:, :4] * s[:4]) @ vt[:4], atol=1e-4)
 
 
+def test_krylov_rounds_write_their_own_block_only(frame, monkeypatch):
+    """The search space is joined where it lies, a turned one takes the place of those before."""
+    monkeypatch.setattr(krylov, "BLOCK_COLUMNS", 8)
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((30, 40)) < 0.4, rng.normal(size=(30, 40)), 0.0)
+    packed = krylov.pack(frame([(int(u), int(i), float(m[u, i])) for u, i in zip(*np.nonzero(m))], "u long, i long, v double"), "u", "i", "v", 100)
+    space = krylov._begun(packed, 4, 1)
+    begun = space.pieces[0].inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.exists(begun)
+    one = krylov._stepped(space, packed, np.eye(4), np.zeros((4, 0)))
+    assert len(one.pieces) == 1 and not os.path.exists(begun)
+    two = krylov._stepped(one, packed, np.vstack([np.zeros((4, 4)), np.eye(4)]), None)
+    assert two.groups == 5 and len(two.pieces) == 2 and two.pieces[0] is one.pieces[0]
+    plan = krylov._joined(two)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    c, q = ([], [])
+    for row in krylov._joined(two).toArrow().to_batches():
+        for i in range(row.num_rows):
+            ids, qp, width = krylov._held(row.slice(i, 1), 2)
+            c, q = [*c, *ids], [*q, *qp]
+    v = np.zeros((40, 16))
+    v[c] = q
+    assert width == 8 and np.allclose(m.T @ m @ v[:, :4], v[:, 4:8]) and np.allclose(m.T @ m @ v[:, :8], v[:, 8:])
+
+
 def _items(frame, k=4, n=9):
     v = RNG.normal(size=(n, k))
     return v, frame([(i, r.tolist()) for i, r in enumerate(v)], "movieId long, vec array<double>")
