@@ -15,7 +15,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = around.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-    both = around.join(least, "u")
+    both = around.join(least.hint("merge"), "u")  # staged ids are small as files, a broadcast of their rows is not
     if large:
         out = both.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -141,6 +141,8 @@ def links(found: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         )
         .toDF("a", "fp_a", "seg", "same", "at")
     )
+    # Spark sizes both sides by the file of ``found``, not by the rows that ``inline`` makes of it, and would send them whole to the driver
+    stored = stored.hint("merge")
     apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     first = reduce(
         lambda x, y: x & y,
@@ -165,7 +167,7 @@ def links(found: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
 def _classes(found: DataFrame, edges: DataFrame) -> DataFrame:
     """``(fp, component_id)`` of ``found (rep, fp)`` joined up by ``edges`` of representatives."""
     roots = components(edges)
-    joined_up = found.join(roots, found["rep"] == roots["node"], "left")
+    joined_up = found.join(roots.hint("merge"), found["rep"] == roots["node"], "left")  # compressed ids are sized too low
     return joined_up.select("fp", F.coalesce("root", "rep").alias("component_id"))
 
 
@@ -200,7 +202,7 @@ def near_duplicates(
         classes = stage(classes, "simhash-ring")
         left = classes.where("component_id is not null").withColumnRenamed("component_id", "rep")
         classes = _classes(classes.withColumnRenamed("component_id", "rep"), links(left, distance, cut(distance)))
-    return marks.join(classes, "fp").select(
+    return marks.join(classes.hint("merge"), "fp").select(
         key, _hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
 

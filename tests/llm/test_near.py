@@ -112,6 +112,13 @@ def test_links_come_once(frame, near_texts):
     assert sorted(got) == want
 
 
+def test_multiplied_fingerprints_are_not_broadcast(frame):
+    # at Spark's own limit of 10 MB: the file of the fingerprints is small, the rows asked for are 67 times as many
+    found = simhash.stage(frame([(i, i * 7919) for i in range(2000)], "rep long, fp long"), "found")
+    for df in (simhash.links(found), simhash._classes(found, found.selectExpr("rep AS a", "rep + 1 AS b"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(frame):
     rnd = random.Random(1)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(rnd.randrange(900, 960), rnd.randrange(900, 960)) for _ in range(40)]
