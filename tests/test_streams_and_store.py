@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.operators import hybrid
 from tastegrid.operators.interactions import implicit_weights, rated_items
+from tastegrid.operators.staging import stage
 from tastegrid.sources.fixtures import interaction_rows
 from tastegrid.sources.layers import Store
 from tastegrid.sources.raw import read_ratings, read_text_table
@@ -219,3 +220,16 @@ def test_status_is_read_and_written_once_per_user():
         out = list(status.handleInputRows((7,), iter([row(m, weight) for m in range(50)] + [row(None, 1.0), row(9, None)]), None))
         assert [(r["userId"], r["liked"], r["strategy"]) for r in out] == [(7, 50, "content")]
     assert calls == ["get", "update"] * 2 and set(status.status.held[3]) == {5.0}
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """What a staged step shuffled is deleted when the step ends."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(files.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(files.getAllFiles().size()))
+    before = held()
+    assert stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted").count() == 7
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before
