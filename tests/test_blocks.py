@@ -165,6 +165,36 @@ def test_records_go_only_where_their_column_is(frame):
     assert half.count() == sum(b * (b + 1) // 2 for b in held.values())
 
 
+def test_records_keep_every_digit():
+    """Entries as bytes: short where nothing is lost, weights of 1 and repeated ones left out, whatever batch wrote them."""
+    rng = np.random.default_rng(2)
+    odd = rng.normal(size=7)
+    tables = [
+        ([3, 5, 1, 9, 2, 2, 8], odd, odd, np.ones(7)),
+        ([1 << 40, -5, 1, 0, 2, 2, 8], odd, odd / 3, odd * 1e300),
+        ([1, 2, 3, 4, 5, 6, 7], np.arange(7) / 2, np.ones(7), np.full(7, np.nan)),
+    ]
+    ends, written = np.array([0, 2, 3, 7], np.int32), []
+    for ids, *w in tables:
+        inner = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, w)], names=["id", "w0", "w1", "w2"])
+        written.append(blocks._bytes(pa.ListArray.from_arrays(pa.array(ends), inner), ["w0", "w1", "w2"]))
+    assert len(written[0][2].as_py()) == 2 + 4 * 12 and len(written[1][2].as_py()) == 2 + 4 * 32
+    records = pa.concat_arrays(written)  # one chunk with records of three kinds
+    for part, n in ((records, 3), (records.slice(3, 3), 1)):
+        size, ids, *w = blocks._entries(part, 3)
+        some = tables if n == 3 else tables[1:2]
+        assert size.tolist() == [2, 1, 4] * n and ids.tolist() == [i for t in some for i in t[0]]
+        assert all(np.array_equal(x, np.concatenate([t[k + 1] for t in some]), equal_nan=True) for k, x in enumerate(w))
+
+
+def test_the_side_with_more_entries_is_written_less(frame):
+    left = frame([(i % 20, i, 1.0) for i in range(100)], "l long, col long, w0 double")
+    right = frame([(i % 9000, i % 300, 1.0) for i in range(20_000)], "r long, col long, w0 double")
+    assert blocks.shared_blocks(left, right, right, 131_072) == (4, 16)  # four blocks at least, eight a side before
+    many = blocks.shared_blocks(left, right.selectExpr("r * 9 AS r", "col", "w0").union(right.selectExpr("r * 9 + 1", "col", "w0")), right, 131_072)
+    assert many[0] < 4 and many[0] * many[1] >= 64
+
+
 def test_long_rows_end_the_scan(frame):
     """Blocks of short vectors are left out where the long ones already fill the lists, and only there."""
     rng = np.random.default_rng(9)

@@ -201,6 +201,18 @@ def test_flat_ratings_have_no_neighbours(frame):
     assert neighbours.user_cf(ratings, ratings.select("userId")).count() == 0
 
 
+def test_neighbours_of_all_users_share_their_tiles(frame, monkeypatch):
+    """Where every user is asked for, half of the blocks serve all; pairs of items, which are counted and read, are stored."""
+    halves, plain = [], neighbours.block_top
+    monkeypatch.setattr(neighbours, "block_top", lambda *a, **k: (halves.append(k.get("mirrored")), plain(*a, **k))[1])
+    rows = frame([(u, m, float((u * m) % 5 + 1)) for u in range(12) for m in range(9) if (u + m) % 4], "userId long, movieId long, rating double")
+    users = rows.select("userId").distinct()
+    whole, part = ({(r["userId"], r["rank"], r["movieId"], round(r["score"], 7)) for r in neighbours.user_cf(rows, some).collect()} for some in (users, users.where("userId < 5")))
+    assert halves == [True, None, False, None] and {r for r in whole if r[0] < 5} == part
+    _, pairs = neighbours.item_similarity(rows)
+    assert all("item-pairs" in f for f in pairs.inputFiles())
+
+
 def test_neighbour_scores_by_hand(frame):
     m, ratings = table(frame, 14, 10, 0.5)
     dev, mean = centred(m)
