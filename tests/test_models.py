@@ -1,4 +1,5 @@
 import os
+import time
 from collections import Counter
 
 import numpy as np
@@ -179,6 +180,19 @@ def test_als_fit_and_unseen_only(frame):
     assert best and all(m[r["userId"], r["movieId"]] == 0 for r in best)
 
 
+def test_als_rounds_leave_no_shuffle_files(frame, spark, monkeypatch):
+    """Earlier rounds are cut off and cleaned while later ones run, so few files are left although nobody has asked for garbage since."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(files.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(files.getAllFiles().size()))
+    monkeypatch.setattr(factors, "garbage_collected", lambda s, plain=factors.garbage_collected: plain(s, 0.3))
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = held()
+    model = factors.fit_als(frame([(u, i, 1.0 + (u * i) % 5) for u in range(40) for i in range(30)], RATING), rank=3)
+    time.sleep(1)
+    assert model.rank == 3 and held() - before < 300  # 102 here, 912 with all rounds in reach
+
+
 def test_predict_falls_back_to_means(frame):
     model = factors.FactorModel(
         frame([(1, 2.0, [1.0, 2.0])], "userId long, mean double, vec array<double>"),
