@@ -93,6 +93,14 @@ def test_krylov_restarts_and_rows_in_pieces(frame):
         assert np.allclose(left @ right.T, (u[:, :4] * s[:4]) @ vt[:4], atol=1e-4)
 
 
+def test_krylov_blocks_are_large(frame, monkeypatch):
+    """A vector goes to every block that holds its column: tables that fit into few blocks get no more than a few."""
+    monkeypatch.setattr(krylov, "SPREAD_ENTRIES", 10)
+    rows = frame([(u, m, 1.0 + u % 3) for u in range(100) for m in range(4)], "u long, m long, v double")
+    assert 1 < krylov.pack(rows, "u", "m", "v", 1000).blocks.count() <= krylov.SPREAD  # 40 blocks of 10 entries
+    assert krylov.pack(rows, "u", "m", "v", 20).blocks.count() > krylov.SPREAD
+
+
 def test_krylov_rounds_write_their_own_block_only(frame, monkeypatch):
     """The search space is joined where it lies, a turned one takes the place of those before."""
     monkeypatch.setattr(krylov, "BLOCK_COLUMNS", 8)
